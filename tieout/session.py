@@ -21,6 +21,15 @@ def build_session(app: str = "tieout", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A small table of metadata (one row per column, table or check) computed once and kept as literal rows.
+
+    Rules build on each other's results; without this every rule would carry the plans, and rerun the
+    scans, of all the rules before it.
+    """
+    return df.sparkSession.createDataFrame(df.toArrow())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative job through the cluster's shared checkpoint folder."""
     spark = df.sparkSession
