@@ -63,7 +63,7 @@ if __name__ == "__main__":
     from tieout.session import build_session
 
     folder = sys.argv[1]
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(folder), 0
     for name in sys.argv[2:] or QUERIES:

@@ -31,35 +31,38 @@ MEASURE_HINTS = (
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """The kind of every column: ``column, position, <kind counts>, data_type``. One pass, one row per column."""
-    counts = []
-    for i, f in enumerate(df.schema.fields):
-        for kind in KINDS:
-            counts.append(F.count_if(_kind(quoted(f.name), f.dataType) == kind).alias(f"c{i}_{kind}"))
-    wide = df.agg(*counts)
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"), F.lit(i).alias("position"), *[F.col(f"c{i}_{kind}").alias(kind) for kind in KINDS]
-        )
-        for i, c in enumerate(df.columns)
-    ]
-    long = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return long.withColumn("data_type", column_kind({kind: F.col(kind) for kind in KINDS}))
+    """The kind of every column: ``column, position, <kind counts>, data_type``.
+
+    The text columns become (column, text) rows, so the pattern tests exist once in the generated code
+    however wide the table is. Kinds are counted per task before the shuffle of a few rows per column.
+    """
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    other = [f for f in df.schema.fields if f.name not in text]
+    parts = []
+    if text:
+        cells = df.select(*[quoted(c) for c in text]).unpivot([], [quoted(c) for c in text], "column", "cell")
+        parts.append(cells.select("column", cell_kind(F.col("cell")).alias("kind")))
+    if other:
+        kinds = df.select(*[_kind(quoted(f.name), f.dataType).alias(f.name) for f in other])
+        parts.append(kinds.unpivot([], [quoted(f.name) for f in other], "column", "kind"))
+    counted = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy("column")
+        .agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in KINDS])
+    )
+    place = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column")) - 1
+    found = counted.select("column", place.cast("int").alias("position"), *KINDS)
+    return found.withColumn("data_type", column_kind({kind: F.col(kind) for kind in KINDS}))
 
 
 def _kind(value: Column, dtype: T.DataType) -> Column:
-    present = value.isNotNull()
-    if isinstance(dtype, T.BooleanType):
-        return F.when(present, "boolean")
+    """The kind of a cell that has a type already."""
+    kind = F.lit(kind_of(dtype))
     if is_float(dtype) or isinstance(dtype, T.DecimalType):
-        return F.when(present, F.when(value == F.floor(value), "integer").otherwise("decimal"))
-    if is_number(dtype):
-        return F.when(present, "integer")
-    if isinstance(dtype, T.DateType):
-        return F.when(present, "date")
-    if is_temporal(dtype):
-        return F.when(present, F.when(value.cast("timestamp_ntz") == F.date_trunc("day", value).cast("timestamp_ntz"), "date").otherwise("dateTime"))
-    return cell_kind(value.cast("string"))
+        kind = F.when(value == F.floor(value), "integer").otherwise("decimal")
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        kind = F.when(value == value.cast("date").cast(dtype), "date").otherwise("dateTime")
+    return F.when(value.isNotNull(), kind)
 
 
 def coerce_columns(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:

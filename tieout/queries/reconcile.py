@@ -219,7 +219,7 @@ def compare_tolerance_rel(t):
 @query(
     compare_sql(MONTHS, MONTHS_EDITED, ["year", "month"], "total", tail="""
       ORDER BY CASE WHEN status IN ('onlySource', 'onlyTarget') THEN 3 WHEN status = 'mismatch' THEN 2 ELSE 0 END DESC,
-        ABS(delta) DESC LIMIT 12""")
+        ABS(delta) DESC, '6:d:' || year || '|' || (length(month) + 2) || ':d:' || month LIMIT 12""")
 )
 def compare_worst_first_top(t):
     result = month_comparison(t)
