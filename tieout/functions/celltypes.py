@@ -23,7 +23,9 @@ KINDS = ["integer", "decimal", "boolean", "date", "dateTime", "string"]
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (trimmed(text) == "")
+    """Missing, empty or nothing but white space. A printable first character settles most cells."""
+    printable = F.substring(text, 1, 1).between("!", "~")
+    return text.isNull() | F.when(printable, False).otherwise(trimmed(text) == "")
 
 
 def to_date(text: Column) -> Column:

@@ -71,8 +71,10 @@ def number_text(value: Column, dtype: T.DataType) -> Column:
         return strip_fraction_zeros(text) if dtype.scale > 0 else text
     x = value.cast("double")
     whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
+    # Within this range Spark writes a fraction without an exponent and without trailing zeros.
+    short = (F.abs(x) >= F.lit(1e-3)) & (F.abs(x) < F.lit(1e7))
     fine = strip_fraction_zeros(F.coalesce(x.try_cast("decimal(38,18)").cast("string"), x.cast("string")))
-    return F.when(whole, x.cast("bigint").cast("string")).otherwise(fine)
+    return F.when(whole, x.cast("bigint").cast("string")).when(short, x.cast("string")).otherwise(fine)
 
 
 def share(part: Column, whole: Column) -> Column:

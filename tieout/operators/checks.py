@@ -109,11 +109,20 @@ def key_overlap(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     )
 
 
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every distinct row with the sides it occurs on; repeated rows combine before the one shuffle."""
+    if len(left.columns) != len(right.columns):
+        raise ValueError("the two sides have different numbers of columns")
+    tagged = lambda df, l, r: df.toDF(*left.columns).withColumns({"__l": F.lit(l), "__r": F.lit(r)})
+    stacked = tagged(left, 1, 0).unionByName(tagged(right, 0, 1))
+    return stacked.groupBy(*[quoted(c) for c in left.columns]).agg(F.max("__l").alias("__l"), F.max("__r").alias("__r"))
+
+
 def only_left(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct rows of the left side that the right side lacks (NULL equals NULL)."""
-    return left.subtract(right)
+    return _sides(left, right).where("__l = 1 and __r = 0").drop("__l", "__r")
 
 
 def in_both(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct rows present on both sides (NULL equals NULL)."""
-    return left.intersect(right)
+    return _sides(left, right).where("__l = 1 and __r = 1").drop("__l", "__r")

@@ -32,6 +32,7 @@ from tieout.functions.normalize import (
 )
 from tieout.functions.numbers import SUM_TYPE
 from tieout.model import Pair, Side, pairs, quoted, resolve
+from tieout.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -201,11 +202,13 @@ def compare(
     normalize: Normalize = Normalize(),
     min_overlap: int = 1,
     max_keys: int | None = None,
+    materialize: bool = False,
 ) -> Comparison:
     """Compare two sides at the grain of ``keys`` over the ``values``.
 
     ``keys`` and ``values`` are column names, (source, target[, label]) tuples or ``Pair``s. Nothing
-    runs until the result is used. A truncated read, too fine a grain (``max_keys``), two empty
+    runs until the result is used, unless ``materialize`` asks for the grouped keys to be checkpointed,
+    which lets the rows, the summary and a drill tree share one read of the sides. A truncated read, too fine a grain (``max_keys``), two empty
     sides and keys that never meet are refused: ``rows`` is empty and ``summary`` says why.
     """
     source = source if isinstance(source, Side) else Side(source)
@@ -259,6 +262,8 @@ def compare(
     grouped = stacked.groupBy(*[f"k{i}" for i in range(nk)]).agg(*aggs)
     if nk == 0:
         grouped = grouped.where("source_row_count + target_row_count > 0")
+    if materialize:
+        grouped = checkpointed(grouped)
 
     tags = [k.tagged(f"k{i}", normalize.granularity) for i, k in enumerate(key_forms)]
     cells = [
@@ -307,13 +312,16 @@ def _summarise(
     if truncated_side:
         rows = rows.where(F.lit(False))
     s, t = F.col("source_row_count"), F.col("target_row_count")
+    # Counting a hash of the whole row keeps every column in this branch of the plan. The shuffle is
+    # then the same one the rows use, and Spark runs it once; with pruned columns it would run twice.
+    whole = F.xxhash64(*[c for c in rows.columns if c != "status"])
     counted = rows.agg(
         F.count_if(F.col("status") == "match").alias("matched"),
         F.count_if(F.col("status") == "mismatch").alias("mismatched"),
         F.count_if(F.col("status") == "onlySource").alias("only_source"),
         F.count_if(F.col("status") == "onlyTarget").alias("only_target"),
-        F.count_if(s > 0).alias("source_keys"),
-        F.count_if(t > 0).alias("target_keys"),
+        F.count(F.when(s > 0, whole)).alias("source_keys"),
+        F.count(F.when(t > 0, whole)).alias("target_keys"),
         F.count_if(s > 1).alias("source_duplicate_keys"),
         F.count_if(t > 1).alias("target_duplicate_keys"),
         F.coalesce(F.sum(s), F.lit(0)).alias("source_rows"),

@@ -12,11 +12,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tieout.functions.normalize import is_temporal
 from tieout.model import quoted
-from tieout.operators.profile import kind_of, value_text
+from tieout.operators.profile import kind_of, value_counts
 from tieout.session import settled
 
 # Name patterns, and the limits and weights of the relationship and role rules.
@@ -61,47 +60,73 @@ def primary_keys(profiles: DataFrame) -> DataFrame:
     )
 
 
-def _match_text(value: Column, dtype: T.DataType) -> Column:
-    return F.substring(value.cast("string"), 1, 10) if is_temporal(dtype) else value_text(value, dtype)
+def _candidates(profiles: DataFrame, keys: DataFrame) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Columns that can still be part of a relationship, and the key of each table.
 
-
-def distinct_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct present values of all columns of all tables: ``table, column, family, value``."""
+    A foreign key has no more values than the largest key of its family allows; the profile has exact
+    counts, so this drops nothing that could match. Dates are matched by day, of which there can be
+    fewer than the counted timestamps, so a date column only needs some date key.
+    """
+    own = {r["table"]: r["column"] for r in keys.collect()}  # one row per table
+    limits: dict[str, float] = {}
+    for r in keys.select(_family(F.col("data_type")).alias("f"), "key_values").collect():
+        limits[r["f"]] = max(limits.get(r["f"], 0.0), r["key_values"] * DOMAIN_SLACK + DOMAIN_EXTRA)
+    wanted: dict[str, list[str]] = {}
+    rows = profiles.select("table", "column", "position", "distinct_count", _family(F.col("data_type")).alias("f"))
+    for r in sorted(rows.collect(), key=lambda r: (r["table"], r["position"])):  # one row per column
+        fits = r["f"] in limits and (r["f"] == "time" or 0 < r["distinct_count"] <= limits[r["f"]])
+        if fits or own.get(r["table"]) == r["column"]:
+            wanted.setdefault(r["table"], []).append(r["column"])
+    return wanted, own
+
+
+def match_values(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Distinct present values of some columns of all tables: ``table, column, family, value``; dates by day."""
     frames = []
-    for name, df in tables.items():
-        texts = df.select(*[_match_text(quoted(c), df.schema[c].dataType).alias(c) for c in df.columns])
-        kinds = F.create_map(*[F.lit(x) for c in df.columns for x in (c, kind_of(df.schema[c].dataType))])
-        long = texts.unpivot([], [quoted(c) for c in df.columns], "column", "value").where("value is not null")
-        frames.append(long.select(F.lit(name).alias("table"), "column", _family(kinds[F.col("column")]).alias("family"), "value"))
-    return reduce(DataFrame.unionByName, frames).select("table", "column", "family", "value").distinct()
+    for name, names in columns.items():
+        df = tables[name]
+        days = df.select(*[quoted(c).cast("date").alias(c) if is_temporal(df.schema[c].dataType) else quoted(c) for c in names])
+        kinds = F.create_map(*[F.lit(x) for c in names for x in (c, kind_of(df.schema[c].dataType))])
+        frames.append(
+            value_counts(days).select(F.lit(name).alias("table"), "column", _family(kinds[F.col("column")]).alias("family"), "value")
+        )
+    return reduce(DataFrame.unionByName, frames)
 
 
-def containment(tables: Mapping[str, DataFrame], keys: DataFrame) -> DataFrame:
-    """For each column and each primary key of another table: distinct values, and how many the key has.
+def containment(tables: Mapping[str, DataFrame], profiles: DataFrame, keys: DataFrame) -> DataFrame:
+    """For each candidate column and each key of another table: distinct values, and how many the key has.
 
     A value occurs once per column here, so the join has no hot rows: its fan-out is at most the
     number of tables.
     """
-    values = distinct_values(tables)
-    key_columns = keys.select(
-        F.col("table").alias("parent"), F.col("column").alias("parent_column"), F.col("key_values")
+    columns, own = _candidates(profiles, keys)
+    spark = profiles.sparkSession
+    if not columns:
+        return spark.createDataFrame(
+            [], "table string, column string, parent string, parent_column string, key_values bigint, hits bigint, values bigint"
+        )
+    values = match_values(tables, columns)
+    is_key = F.lit(False)
+    for table, column in own.items():
+        is_key = is_key | ((F.col("table") == table) & (F.col("column") == column))
+    key_values = values.where(is_key).select(
+        F.col("family").alias("parent_family"), F.col("value").alias("key_value"), F.col("table").alias("parent"), F.col("column").alias("parent_column")
     )
-    # One row per table.
-    key_values = values.join(
-        F.broadcast(key_columns), (F.col("table") == F.col("parent")) & (F.col("column") == F.col("parent_column"))
-    ).select(F.col("family").alias("parent_family"), F.col("value").alias("key_value"), "parent", "parent_column", "key_values")
     hits = (
-        values.join(
+        values.where(~is_key)
+        .join(
             key_values,
             (F.col("value") == F.col("key_value"))
             & (F.col("family") == F.col("parent_family"))
             & (F.col("table") != F.col("parent")),
         )
-        .groupBy("table", "column", "parent", "parent_column", "key_values")
+        .groupBy("table", "column", "parent", "parent_column")
         .agg(F.count(F.lit(1)).alias("hits"))
     )
     sizes = values.groupBy("table", "column").agg(F.count(F.lit(1)).alias("values"))
-    return hits.join(sizes, ["table", "column"])
+    domains = keys.select(F.col("table").alias("parent"), "key_values")
+    # The counts are one row per column, the domains one per table.
+    return hits.join(F.broadcast(sizes), ["table", "column"]).join(F.broadcast(domains), "parent")
 
 
 def affinity(child: Column, key: Column, parent: Column) -> Column:
@@ -120,13 +145,11 @@ def relationships(tables: Mapping[str, DataFrame], profiles: DataFrame, keys: Da
     keys = primary_keys(profiles) if keys is None else keys
     order = {name: i for i, name in enumerate(tables)}
     turn = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    own = keys.select("table", "column")
     places = profiles.select("table", "column", "position")
     share = F.col("hits") / F.col("values")
     near = affinity(F.col("column"), F.col("parent_column"), F.col("parent"))
     candidates = (
-        containment(tables, keys)
-        .join(own, ["table", "column"], "left_anti")
+        containment(tables, profiles, keys)
         .where(F.col("values") <= F.col("key_values") * DOMAIN_SLACK + DOMAIN_EXTRA)
         .withColumn("containment", share)
         .withColumn("affinity", near)

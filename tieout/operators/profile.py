@@ -104,12 +104,37 @@ def value_text(value: Column, dtype: T.DataType) -> Column:
     return text if is_temporal(dtype) else F.when(~is_blank(text), text)
 
 
+def _carried(dtype: T.DataType) -> str:
+    """The type under which a column's values are counted, so columns of one type share a pass."""
+    if isinstance(dtype, T.IntegralType):
+        return "bigint"
+    return "double" if is_float(dtype) else dtype.simpleString()
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every distinct present value of every column with its frequency: ``column, value, n``."""
+    """Every distinct present value of every column with its frequency: ``column, value, n``.
+
+    Columns of one type are turned into (column, value) rows together and counted in that type; only
+    the distinct values that are left become text.
+    """
     columns = list(columns or df.columns)
-    texts = df.select(*[value_text(quoted(c), df.schema[c].dataType).alias(c) for c in columns])
-    long = texts.unpivot([], [quoted(c) for c in columns], "column", "value")
-    return long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        groups.setdefault(_carried(df.schema[c].dataType), []).append(c)
+    parts = []
+    for carried, names in groups.items():
+        numbered = [str(columns.index(c)) for c in names]
+        typed_columns = df.select(*[quoted(c).cast(carried).alias(n) for c, n in zip(names, numbered)])
+        dtype = typed_columns.schema[0].dataType
+        counts = (
+            typed_columns.unpivot([], [quoted(n) for n in numbered], "at", "value")
+            .where("value is not null")
+            .groupBy("at", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        parts.append(counts.select(F.col("at").cast("int").alias("at"), value_text(F.col("value"), dtype).alias("value"), "n"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("at") + 1)
+    return reduce(DataFrame.unionByName, parts).where("value is not null").select(name.alias("column"), "value", "n")
 
 
 def _statistics(df: DataFrame) -> DataFrame:

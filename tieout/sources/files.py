@@ -37,20 +37,22 @@ def table_id(name: str, taken: Sequence[str] = ()) -> str:
     return unique
 
 
-def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A delimited file with a header row, every column as text; rows without any content are dropped.
+def read_text_table(spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = True) -> DataFrame:
+    """Delimited text with a header row, every column as text; rows without any content are dropped.
 
     Short rows are padded with NULL and long ones cut to the header, as Spark's permissive reader
-    does. Only the header line is read on the driver.
+    does. A line break inside quotes belongs to its cell, which ties each file to one task; pass
+    ``multiline=False`` for files known to have none, and Spark splits them. Only the header line is
+    read on the driver.
     """
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     sep = delimiter or READERS.get(kind, ",")
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "false", "mode": "PERMISSIVE"}
-    headers = spark.read.options(**options, header="true", inferSchema="false").csv(path).columns
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "header": "true", "multiLine": str(multiline).lower()}
+    headers = spark.read.options(**options, inferSchema="false").csv(path).columns
     # Spark numbers blank headers itself (_c0, _c1 …) while reading.
     names = clean_headers([None if h == f"_c{i}" else h for i, h in enumerate(headers)])
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = spark.read.options(**options, header="true", enforceSchema="true").schema(schema).csv(path).toDF(*names)
+    rows = spark.read.options(**options, enforceSchema="true").schema(schema).csv(path).toDF(*names)
     return drop_blank_rows(rows)
 
 
