@@ -1,7 +1,7 @@
 """Impact, order and cycles over an edges table ``src, dst``: ``src`` depends on ``dst``.
 
-The iterations move whole frontiers: each round is a join with the edges, and its result is
-checkpointed, so the plan stays small and a lost executor replays one round at most.
+The iterations move whole frontiers: each round is a join with the edges, and its result is written
+to the shared folder, so the plan stays small and a lost executor replays one round at most.
 """
 
 from __future__ import annotations
@@ -9,30 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieout.session import checkpointed
+from tieout.session import Kept, checkpointed, stored
 
 
 def cascade_impact(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Everything that depends, directly or not, on the nodes of ``start``: ``node, distance``.
 
-    The starting nodes themselves are left out.
+    The starting nodes themselves are left out. Each round writes the newly reached nodes only; what
+    was reached before is read from the earlier rounds' tables.
     """
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("of")).distinct()
-    reached = checkpointed(start.select("node").distinct().withColumn("distance", F.lit(0)))
-    frontier, distance = reached.select("node"), 0
+    spark = edges.sparkSession
+    steps = checkpointed(edges.select(F.col("src").alias("node"), F.col("dst").alias("of")).distinct())
+    rounds = [stored(start.select("node").distinct().withColumn("distance", F.lit(0)))]
     while True:
-        distance += 1
+        reached, frontier = rounds[0].read(spark, *rounds[1:]), rounds[-1].read(spark)
         fresh = (
-            steps.join(frontier.withColumnRenamed("node", "of"), "of")
+            steps.join(frontier.select(F.col("node").alias("of")), "of")
             .select("node")
             .distinct()
-            .join(reached, "node", "left_anti")
+            .join(reached.select("node"), "node", "left_anti")
+            .withColumn("distance", F.lit(len(rounds)))
         )
-        fresh = checkpointed(fresh)
-        if fresh.isEmpty():
+        written = stored(fresh)
+        if written.read(spark).isEmpty():
             return reached.where("distance > 0")
-        reached = checkpointed(reached.unionByName(fresh.withColumn("distance", F.lit(distance))))
-        frontier = fresh
+        rounds.append(written)
 
 
 def usage_states(nodes: DataFrame, edges: DataFrame, related: DataFrame | None = None, report_refs: DataFrame | None = None) -> DataFrame:
@@ -60,20 +61,22 @@ def deletion_order(edges: DataFrame, doomed: DataFrame) -> DataFrame:
 
     Each round removes the nodes no remaining node depends on.
     """
-    remaining = checkpointed(doomed.select("node").distinct())
+    spark = edges.sparkSession
+    everything = checkpointed(doomed.select("node").distinct())
+    remaining = everything
     inside = edges.where("src <> dst").join(remaining.withColumnRenamed("node", "src"), "src", "left_semi")
     inside = checkpointed(inside.join(remaining.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct())
-    done, step = None, 0
+    rounds: list[Kept] = []
     while True:
-        step += 1
-        free = checkpointed(remaining.join(inside.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
-        if free.isEmpty():
+        free = remaining.join(inside.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+        written = stored(free.withColumn("step", F.lit(len(rounds) + 1)))
+        placed = written.read(spark).select("node")
+        if placed.isEmpty():
             stuck = remaining.withColumn("step", F.lit(None).cast("int"))
-            return stuck if done is None else done.unionByName(stuck)
-        placed = free.withColumn("step", F.lit(step))
-        done = placed if done is None else checkpointed(done.unionByName(placed))
-        remaining = checkpointed(remaining.join(free, "node", "left_anti"))
-        inside = checkpointed(inside.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
+            return rounds[0].read(spark, *rounds[1:]).unionByName(stuck) if rounds else stuck
+        rounds.append(written)
+        remaining = everything.join(rounds[0].read(spark, *rounds[1:]).select("node"), "node", "left_anti")
+        inside = checkpointed(inside.join(placed.withColumnRenamed("node", "src"), "src", "left_anti"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:

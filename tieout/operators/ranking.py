@@ -1,8 +1,9 @@
 """Global order without a single-task window: ranks, row positions, shares and top members.
 
-A window without a partition sends every row to one task. Here the value axis is cut at approximate
-quantiles first; each slice is ranked on its own, and the sizes of the slices before it (a table of
-one row per slice) are added. Only as many numbers as there are slices ever reach the driver.
+A window without a partition sends every row to one task. Here rows are range-partitioned and sorted
+within the partitions, which numbers them locally; the sizes of the partitions before (one row per
+partition) complete the number. The numbered rows are written once, so numbers never change when a
+lost executor makes Spark repeat work.
 """
 
 from __future__ import annotations
@@ -13,70 +14,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.model import quoted
+from tieout.session import checkpointed
 
+# Fixed value: Spark's row ids keep the partition above this bit and the row within it below.
+ROW_BITS = 33
 
-def _slices(df: DataFrame, value: str, slices: int | None) -> Column:
-    """Slice number of a row; larger values come first and equal values share a slice."""
+
+def _numbered(df: DataFrame, order: Sequence[Column], name: str, slices: int | None) -> DataFrame:
+    """Rows with their number, counted from 1, in a total order."""
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = quoted(value).cast("double")
-    cuts = []
-    if n > 1:
-        probabilities = [i / n for i in range(1, n)]
-        cuts = sorted(set(df.select(x.alias("x")).approxQuantile("x", probabilities, 0.5 / n)))
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > x))
-
-
-def _offsets(sliced: DataFrame, weight: Column) -> DataFrame:
-    sizes = sliced.groupBy("slice").agg(weight.alias("n"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    placed = checkpointed(placed)
+    slice_no = F.shiftright("__id", ROW_BITS)
+    sizes = placed.groupBy(slice_no.alias("__slice")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per slice, so this window and the broadcast are bounded by the number of slices.
-    return F.broadcast(sizes.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    offsets = sizes.select("__slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    local = F.col("__id").bitwiseAND(F.lit((1 << ROW_BITS) - 1)) + 1
+    return (
+        placed.withColumn("__slice", slice_no)
+        .join(F.broadcast(offsets), "__slice")
+        .withColumn(name, (local + F.col("__before")).cast("bigint"))
+        .drop("__id", "__slice", "__before")
+    )
 
 
 def dense_rank(members: DataFrame, value: str, name: str = "rank", slices: int | None = None) -> DataFrame:
     """Dense rank by value, largest first; a blank ranks after every value.
 
-    Values are made distinct before they are ranked, so ties of any size cost one row.
+    Values are made distinct before they are numbered, so ties of any size cost one row.
     """
     values = members.select(quoted(value).alias("__value")).where("__value is not null").distinct()
-    sliced = values.withColumn("slice", _slices(values, "__value", slices))
-    local = F.dense_rank().over(Window.partitionBy("slice").orderBy(F.col("__value").desc()))
-    ranks = (
-        sliced.withColumn("local", local)
-        .join(_offsets(sliced, F.count(F.lit(1))), "slice")
-        .select("__value", (F.col("local") + F.col("before")).cast("bigint").alias(name))
-    )
-    after_all = values.agg(F.count(F.lit(1)) + 1).scalar()
+    ranks = _numbered(values, [F.col("__value").desc()], name, slices)
+    after_all = ranks.agg(F.count(F.lit(1)) + 1).scalar()
     joined = members.join(ranks, quoted(value) == F.col("__value"), "left").drop("__value")
     return joined.withColumn(name, F.coalesce(quoted(name), after_all))
 
 
 def row_positions(members: DataFrame, order: str, ties: Sequence[str], name: str = "position", slices: int | None = None) -> DataFrame:
-    """Position of each row, counted from 1 in ascending order of a numeric or date column.
+    """Position of each row, counted from 1 in ascending order, blanks last.
 
-    ``ties`` must make the order total. Rows that share one order value share a slice; order by a
-    column in which no value is frequent, such as a period of an aggregated axis.
+    ``ties`` make the order total. They take part in the partitioning, so rows that share one order
+    value are spread over partitions as well.
     """
-    numeric = members.withColumn("__order", order_value(members, order))
-    sliced = numeric.withColumn("slice", -_slices(numeric, "__order", slices))
-    local = F.row_number().over(Window.partitionBy("slice").orderBy(F.col("__order").asc_nulls_last(), *[quoted(t) for t in ties]))
-    return (
-        sliced.withColumn("local", local)
-        .join(_offsets(sliced, F.count(F.lit(1))), "slice")
-        .withColumn(name, (F.col("local") + F.col("before")).cast("bigint"))
-        .drop("slice", "local", "before", "__order")
-    )
-
-
-def order_value(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType.typeName()
-    if kind == "date":
-        return F.unix_date(quoted(column)).cast("double")
-    if kind.startswith("timestamp"):
-        return F.unix_micros(quoted(column).cast("timestamp")).cast("double")
-    return quoted(column).cast("double")
+    return _numbered(members, [quoted(order).asc_nulls_last(), *[quoted(t).asc_nulls_last() for t in ties]], name, slices)
 
 
 def previous_row(members: DataFrame, order: str, ties: Sequence[str], value: str, name: str = "previous") -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "tieout", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,15 +33,40 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="tieout-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+@dataclass(frozen=True)
+class Kept:
+    """An intermediate table written to the shared folder."""
+
+    path: str
+    schema: StructType
+
+    def read(self, spark: SparkSession, *more: "Kept") -> DataFrame:
+        """The table, followed by others of the same columns. The schema is known, so none is inferred."""
+        return spark.read.schema(self.schema).parquet(self.path, *[k.path for k in more])
+
+
+def stored(df: DataFrame) -> Kept:
+    """Write an intermediate table once to the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/tieout-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return Kept(path, df.schema)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative job through the cluster's shared checkpoint folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tieout-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a job: the table is computed once, written, and read back.
+
+    Whatever is lost later is read again from the written table. (``DataFrame.checkpoint`` would
+    compute its input twice, once to count it and once to write it.)
+    """
+    return stored(df).read(df.sparkSession)
