@@ -28,9 +28,14 @@ def exact(value: Column) -> Column:
     return value.try_cast(INPUT_TYPE)
 
 
+def addable(value: Column) -> Column:
+    """A number ready for an exact sum: not-a-number counts as blank, and one too large raises."""
+    return F.when(~F.isnan(value.cast("double")), value.cast(INPUT_TYPE))
+
+
 def exact_sum(value: Column) -> Column:
     """Sum without binary rounding. An overflow raises instead of turning into a quiet NULL."""
-    return F.sum(exact(value)).cast(SUM_TYPE)
+    return F.sum(addable(value)).cast(SUM_TYPE)
 
 
 def safe_divide(numerator: Column, denominator: Column, alternate: Column | float | None = None) -> Column:

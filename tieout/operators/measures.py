@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tieout.functions.dates import MISSING, bucket_label
 from tieout.functions.normalize import is_float, is_number
-from tieout.functions.numbers import SUM_TYPE, exact
+from tieout.functions.numbers import SUM_TYPE, addable
 from tieout.model import Measure, Model, quoted, Rel
 
 BLANK = "(blank)"
@@ -43,9 +43,9 @@ def aggregate(m: Measure) -> Column:
     """The Spark aggregate of one measure. Blanks are ignored; sums are exact."""
     value = m.input
     if m.kind == "sum":
-        return F.sum(exact(value)).cast(SUM_TYPE)
+        return F.sum(addable(value)).cast(SUM_TYPE)
     if m.kind == "avg":
-        return F.try_divide(F.sum(exact(value)).cast("double"), F.count(exact(value)).cast("double"))
+        return F.try_divide(F.sum(addable(value)).cast("double"), F.count(addable(value)).cast("double"))
     if m.kind in ("count", "count_rows"):
         return F.count(value)
     if m.kind == "distinct":
@@ -160,10 +160,10 @@ def group_by_dimension(
         part = fact.groupBy(key).agg(F.count(value).alias("__v"))
         final = F.sum("__v")
     elif measure.kind == "sum":
-        part = fact.groupBy(key).agg(F.sum(exact(value)).cast(SUM_TYPE).alias("__v"))
+        part = fact.groupBy(key).agg(F.sum(addable(value)).cast(SUM_TYPE).alias("__v"))
         final = F.sum("__v").cast(SUM_TYPE)
     elif measure.kind == "avg":
-        part = fact.groupBy(key).agg(F.sum(exact(value)).alias("__v"), F.count(exact(value)).alias("__n"))
+        part = fact.groupBy(key).agg(F.sum(addable(value)).alias("__v"), F.count(addable(value)).alias("__n"))
         final = F.try_divide(F.sum("__v").cast("double"), F.sum("__n").cast("double"))
     else:
         extreme = F.min if measure.kind == "min" else F.max

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tieout.functions.numbers import SUM_TYPE, exact, exact_sum, safe_divide
+from tieout.functions.numbers import SUM_TYPE, addable, exact_sum, safe_divide
 from tieout.model import quoted
 
 COMPARISONS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
@@ -64,8 +64,8 @@ def margin(df: DataFrame, revenue: Column, cost: Column, by: Sequence[str] = ())
 def weighted_average(df: DataFrame, value: Column, weight: Column, by: Sequence[str] = ()) -> DataFrame:
     """Mean of a value weighted by another; a row without either one has no part in it."""
     both = value.isNotNull() & weight.isNotNull()
-    top = F.sum(F.when(both, exact(value * weight)))
-    return df.groupBy(*[quoted(b) for b in by]).agg(safe_divide(top, F.sum(F.when(both, exact(weight)))).alias("weighted_avg"))
+    top = F.sum(F.when(both, addable(value * weight)))
+    return df.groupBy(*[quoted(b) for b in by]).agg(safe_divide(top, F.sum(F.when(both, addable(weight)))).alias("weighted_avg"))
 
 
 def product_sum(df: DataFrame, a: Column, b: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieout.functions.dates import MONTHS_IN, period_index, period_start
-from tieout.functions.numbers import SUM_TYPE, exact, safe_divide
+from tieout.functions.numbers import SUM_TYPE, addable, safe_divide
 from tieout.model import Measure, quoted
 from tieout.operators.measures import aggregate
 
@@ -30,7 +30,7 @@ def totals(fact: DataFrame, date: str, value: Column, axis: str = "day", by: Seq
     """Exact totals per group and period: ``by…, period, value``."""
     return fact.where(quoted(date).isNotNull()).groupBy(
         *[quoted(b) for b in by], period_start(quoted(date), axis).alias("period")
-    ).agg(F.sum(exact(value)).cast(SUM_TYPE).alias("value"))
+    ).agg(F.sum(addable(value)).cast(SUM_TYPE).alias("value"))
 
 
 def measures_by_period(
@@ -62,6 +62,25 @@ def to_date(periods: DataFrame, unit: str, by: Sequence[str] = (), value: str =
     return periods.withColumn(name or f"{unit}_to_date", F.sum(quoted(value)).over(w))
 
 
+def over_parts(
+    periods: DataFrame,
+    parts: Sequence[str],
+    step: Callable[[DataFrame, str], DataFrame],
+    formula: Callable[[Mapping[str, Column]], Column],
+    name: str,
+) -> DataFrame:
+    """A derived measure under a time shift: ``step`` is applied to each part, then the formula.
+
+    The year-to-date of a ratio is the ratio of the year-to-dates, never a sum or mean of ratios.
+    ``step(df, part)`` must add the shifted part as ``<part>_shifted``.
+    """
+    out = periods
+    for part in parts:
+        out = step(out, part)
+    shifted = {part: quoted(f"{part}_shifted") for part in parts}
+    return out.withColumn(name, formula(shifted)).drop(*[f"{part}_shifted" for part in parts])
+
+
 def running_total(periods: DataFrame, by: Sequence[str] = (), value: str = "value", name: str = "running") -> DataFrame:
     w = _window(by).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     return periods.withColumn(name, F.sum(quoted(value)).over(w))
@@ -310,7 +329,7 @@ def field_suite(fact: DataFrame, date: str, value: Column, by: Sequence[str], ki
     daily = (
         fact.where(quoted(date).isNotNull())
         .groupBy(*[quoted(b) for b in by], quoted(date).cast("date").alias("period"))
-        .agg(F.sum(exact(value)).cast(SUM_TYPE).alias("value"), F.count(exact(value)).alias("rows"))
+        .agg(F.sum(addable(value)).cast(SUM_TYPE).alias("value"), F.count(addable(value)).alias("rows"))
     )
     out = measure_suite(daily, by, [k for k in kinds if k in MEASURE_SUITE_KINDS])
     if "average" in kinds:

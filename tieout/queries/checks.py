@@ -175,6 +175,21 @@ def suite_by_table(t):
     return S.by_table(S.suite_frame(checks(t)))
 
 
+@query(
+    SUITE + """ SELECT check_id, table_name, status, CAST(CASE WHEN check_id = 'c5' THEN 1 ELSE 0 END AS BIGINT) AS refused FROM runs
+      UNION ALL SELECT 'c7', 'Other checks', 'inconclusive', 0 UNION ALL SELECT 'c8', 'lineitem', 'inconclusive', 0"""
+)
+def suite_isolated(t):
+    """Each check as a job of its own: a broken query and a missing column spoil only their own check."""
+    broken = lambda: t.spark.table("no_such_table")
+    failing = [
+        S.Check("c7", "broken query", broken, broken, values=("n",)),
+        S.Check("c8", "missing column", C.row_count(t.lineitem), C.row_count(t.lineitem), values=("gone",), table="lineitem"),
+    ]
+    runs = S.run_suite(t.spark, checks(t) + failing)
+    return runs.select("check_id", "table_name", "status", F.col("refusal_kind").isNotNull().cast("bigint").alias("refused"))
+
+
 @query(
     """WITH e AS (SELECT * FROM orders WHERE month(o_orderdate) <> 7)
     SELECT 'orders' AS "table", 'row count' AS "check", 'Failed' AS status, 'row_count' AS metric,

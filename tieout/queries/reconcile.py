@@ -11,6 +11,7 @@ from tieout.model import Side
 from tieout.operators.compare import Comparison, compare
 from tieout.operators.drill import drill_matrix
 from tieout.queries.registry import m, money, query, total
+from tieout.sources.queries import capped
 
 # The edits, stated once for Spark and once for SQL.
 BUMPED_SQL = "o_totalprice + CASE WHEN o_orderkey % 500 = 0 THEN 1000 ELSE 0 END"
@@ -292,7 +293,8 @@ def compare_refusal_no_overlap(t):
 
 @query(refused_sql("truncated", "'target'", rows="0"))
 def compare_refusal_truncated(t):
-    return counts(compare(t.orders, Side(t.orders, truncated=True), ["o_orderkey"], ["o_totalprice"]))
+    """A read that hits its row cap is refused, and neither side's rows are compared."""
+    return counts(compare(Side(t.orders), capped(t.orders, 100), ["o_orderkey"], ["o_totalprice"]))
 
 
 @query(refused_sql("grainTooFine", "'both'"))

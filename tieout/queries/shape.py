@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tieout.operators import discover as D
 from tieout.operators import lineage as L
 from tieout.operators import profile as P
 from tieout.queries.registry import STAR, query, ratio, text
+from tieout.session import shared_folder
+from tieout.sources.export import extract_tables, guarded
+from tieout.sources.files import read_table
 
 # Column kinds of the given tables, for building SQL.
 KINDS = {
@@ -216,6 +221,33 @@ def coerce_text(t):
     return typed.select("okey", "price", text("day").alias("day"), F.date_format("stamp", "yyyy-MM-dd HH:mm:ss").alias("stamp"), "flag", "mixed")
 
 
+@query(
+    """SELECT p_partkey, CASE WHEN p_size > 40 THEN '''=' || p_name WHEN p_size > 30 THEN '''@' || p_name WHEN p_size > 20 THEN 'x=' || p_name ELSE p_name END AS guarded FROM part"""
+)
+def csv_guard(t):
+    """Names that a spreadsheet would run get a leading apostrophe."""
+    size, name = F.col("p_size"), F.col("p_name")
+    risky = (
+        F.when(size > 40, F.concat(F.lit("="), name)).when(size > 30, F.concat(F.lit("@"), name))
+        .when(size > 20, F.concat(F.lit("x="), name)).otherwise(name)
+    )
+    return t.part.select("p_partkey", guarded(risky).alias("guarded"))
+
+
+@query(
+    """SELECT c_custkey, c_name || ', "' || c_mktsegment || '"' AS label, c_nationkey, c_acctbal,
+      CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer"""
+)
+def csv_round_trip(t):
+    """Customers written as CSV, read back as text, and given their types again."""
+    label = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"'))
+    segment = F.when(F.col("c_nationkey") % 3 != 0, F.col("c_mktsegment"))
+    table = t.customer.select("c_custkey", label.alias("label"), "c_nationkey", "c_acctbal", segment.alias("segment"))
+    folder = f"{shared_folder(t.spark)}/tieout-csv-{uuid.uuid4().hex}"
+    written = extract_tables({"customer": table}, folder)
+    return P.typed(read_table(t.spark, written["customer"]))
+
+
 KEYS = """k AS (SELECT tbl, col, data_type, distinct_count AS key_values,
     row_number() OVER (PARTITION BY tbl ORDER BY CASE WHEN regexp_matches(col, '(_id$|id$|key|code|_no$|number)', 'i') THEN 3 ELSE 0 END
       + CASE data_type WHEN 'integer' THEN 2 WHEN 'decimal' THEN 0 ELSE 1 END DESC, position) AS nth

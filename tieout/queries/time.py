@@ -112,6 +112,23 @@ def ratio_points(t):
     return changed.select(text("period").alias("period"), ratio("order_value", 7).alias("order_value"), ratio("points", 6).alias("points"))
 
 
+@query(
+    f"""WITH p AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, {total('o_totalprice')} AS v, COUNT(*) AS n FROM orders GROUP BY 1)
+    SELECT CAST(d AS VARCHAR) AS period, round(CAST(SUM(v) OVER w AS DOUBLE) / SUM(n) OVER w, 6) AS order_value_ytd FROM p
+    WINDOW w AS (PARTITION BY year(d) ORDER BY d)"""
+)
+def ratio_ytd(t):
+    """The year-to-date of a ratio."""
+    parts = TI.measures_by_period(
+        t.orders, "o_orderdate", [Measure("v", "sum", F.col("o_totalprice")), Measure("n", "count_rows")], "month"
+    )
+    shifted = TI.over_parts(
+        parts, ["v", "n"], lambda df, part: TI.to_date(df, "year", value=part, name=f"{part}_shifted"),
+        lambda c: safe_divide(c["v"], c["n"]), "order_value_ytd",
+    )
+    return shifted.select(text("period").alias("period"), ratio("order_value_ytd").alias("order_value_ytd"))
+
+
 def window_sum(low: str, high: str) -> str:
     return f"(SELECT SUM(b.v) FROM p b WHERE b.grp = a.grp AND b.d > {low} AND b.d <= {high})"
 
