@@ -10,7 +10,10 @@ import json
 import os
 import time
 
+from tieout.operators import checks as C
+from tieout.plans.suite import Check, run_suite
 from tieout.queries import QUERIES
+from tieout.queries.registry import STAR, Tables
 from tieout.session import build_session
 
 HEADLINE = [
@@ -23,6 +26,23 @@ HEADLINE = [
 ]
 
 
+def full_suite(spark, folder) -> list[Check]:
+    """47 checks of the kinds a proposed suite has, each table against a second read of itself."""
+    a, b = Tables(spark, folder).star(), Tables(spark, folder).star()
+    made: list[tuple[str, object, tuple, tuple]] = []
+    for table in STAR:
+        made.append((table, C.row_count, (), ("row_count",)))
+        for column in a[table].columns:
+            made.append((table, C.distinct_values, (column,), ("distinct_values",)))
+    made.append(("lineitem", C.duplicate_keys, (["l_orderkey", "l_linenumber"],), ("duplicate_keys", "extra_rows")))
+    made.append(("orders", C.date_coverage, ("o_orderdate",), ("first_date", "last_date", "days")))
+    checks = [
+        Check(f"c{i}", f"{t} {f.__name__} {args}", f(a[t], *args), f(b[t], *args), values=values, table=t)
+        for i, (t, f, args, values) in enumerate(made)
+    ]
+    return checks[-47:]
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +68,10 @@ def main() -> None:
             if attempt:
                 times.append(round(time.perf_counter() - begun, 3))
         best[name], every[name] = min(times), times
+    begun = time.perf_counter()
+    outcomes = run_suite(spark, full_suite(spark, folder), parallel=int(cpus)).collect()
+    suite = round(time.perf_counter() - begun, 3)
+    assert len(outcomes) == 47 and all(r["status"] == "pass" for r in outcomes)
     print(
         json.dumps(
             {
@@ -56,6 +80,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": best,
                 "runs": every,
+                "suite_of_47_checks": suite,
                 "sf": os.path.basename(folder.rstrip("/")),
             }
         ),

@@ -288,3 +288,35 @@ def test_drill_matrix(spark):
 def test_cells_array(classification):
     row = compare(*classification, keys=[("Yr", "Year")], values=[("Amt", "Total")]).cells().where("status = 'mismatch'").first()
     assert row["key"] == ["2024"] and row["cells"][0]["label"] == "Total" and row["cells"][0]["delta"] == -10
+
+
+def test_materialized_comparison_is_the_same(classification):
+    pairing = dict(keys=[("Yr", "Year")], values=[("Amt", "Total")])
+    lazy, kept = compare(*classification, **pairing), compare(*classification, **pairing, materialize=True)
+    assert sorted(map(str, lazy.rows.collect())) == sorted(map(str, kept.rows.collect()))
+    assert lazy.summary.first() == kept.summary.first()
+
+
+def test_labels_must_not_collide(classification):
+    with pytest.raises(ValueError, match="collide"):
+        compare(*classification, keys=[("Yr", "Year", "status")], values=[("Amt", "Total")])
+    with pytest.raises(ValueError, match="collide"):
+        compare(*classification, keys=[("Yr", "Year")], values=[("Amt", "Total"), ("Yr", "Total")])
+
+
+def test_rows_and_verdict_share_one_read_of_each_side(spark, tmp_path):
+    """The verdict reuses the shuffle of the rows: each file is scanned once."""
+    path = str(tmp_path / "t")
+    spark.range(1000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v")).write.parquet(path)
+    rows = compare(spark.read.parquet(path), spark.read.parquet(path), ["k"], ["v"]).rows
+    rows.collect()
+    assert "ReusedExchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_third_of_all_rows_on_one_key(spark):
+    df = spark.range(90_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").cast("double").alias("v")
+    )
+    changed = df.withColumn("v", F.col("v") + F.when(F.col("v") == 3, 0.5).otherwise(0.0))
+    s = summary(compare(df, changed, ["k"], ["v"]))
+    assert (s["matched"], s["mismatched"], s["source_rows"], s["source_duplicate_keys"]) == (60_000, 1, 90_000, 1)

@@ -28,45 +28,66 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | F.when(printable, False).otherwise(trimmed(text) == "")
 
 
+def _us_day(s: Column) -> Column:
+    return F.try_to_timestamp(F.regexp_extract(s, r"^(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit("M/d/yyyy")).cast("date")
+
+
+def _us_moment(s: Column) -> Column:
+    spaced = F.regexp_replace(s, "T", " ")
+    return F.coalesce(
+        F.try_to_timestamp(spaced, F.lit("M/d/yyyy H:mm:ss")), F.try_to_timestamp(spaced, F.lit("M/d/yyyy H:mm"))
+    ).cast("timestamp_ntz")
+
+
+def _iso_moment(s: Column) -> Column:
+    zoned = s.rlike(r":\d{2}(\.\d+)?" + ZONE_SUFFIX)
+    return F.when(zoned, F.convert_timezone(None, F.lit("UTC"), s.try_cast("timestamp"))).otherwise(s.try_cast("timestamp_ntz"))
+
+
 def to_date(text: Column) -> Column:
     """An ISO or US date (or the day of a datetime); NULL for anything that is no calendar date."""
     s = trimmed(text)
-    us = F.regexp_extract(s, r"^(\d{1,2}/\d{1,2}/\d{4})", 1)
     return (
         F.when(s.rlike(ISO_DATE), s.try_cast("date"))
-        .when(s.rlike(US_DATE) | s.rlike(US_DATETIME), F.try_to_timestamp(us, F.lit("M/d/yyyy")).cast("date"))
-        .when(s.rlike(ISO_DATETIME), to_datetime(s).cast("date"))
+        .when(s.rlike(US_DATE) | s.rlike(US_DATETIME), _us_day(s))
+        .when(s.rlike(ISO_DATETIME), _iso_moment(s).cast("date"))
     )
 
 
 def to_datetime(text: Column) -> Column:
     """An ISO or US datetime without zone; a zone in the text is applied, giving UTC."""
     s = trimmed(text)
-    zoned = F.convert_timezone(None, F.lit("UTC"), s.try_cast("timestamp"))
-    us = F.regexp_replace(s, "T", " ")
     return (
-        F.when(s.rlike(ISO_DATE) | (s.rlike(ISO_DATETIME) & ~s.rlike(r":\d{2}(\.\d+)?" + ZONE_SUFFIX)), s.try_cast("timestamp_ntz"))
-        .when(s.rlike(ISO_DATETIME), zoned)
-        .when(s.rlike(US_DATE), F.try_to_timestamp(us, F.lit("M/d/yyyy")).cast("timestamp_ntz"))
-        .when(
-            s.rlike(US_DATETIME),
-            F.coalesce(
-                F.try_to_timestamp(us, F.lit("M/d/yyyy H:mm:ss")), F.try_to_timestamp(us, F.lit("M/d/yyyy H:mm"))
-            ).cast("timestamp_ntz"),
-        )
+        F.when(s.rlike(ISO_DATE) | s.rlike(ISO_DATETIME), _iso_moment(s))
+        .when(s.rlike(US_DATE), _us_day(s).cast("timestamp_ntz"))
+        .when(s.rlike(US_DATETIME), _us_moment(s))
     )
 
 
 def cell_kind(text: Column) -> Column:
     """integer, decimal, boolean, date, dateTime or string; NULL for a blank cell."""
-    s = trimmed(text)
+    return trimmed_kind(trimmed(text))
+
+
+def trimmed_kind(s: Column) -> Column:
+    """``cell_kind`` of text that is trimmed already.
+
+    The first character decides which patterns are worth a try: most text is settled by a word list.
+    """
+    moment = F.when(s.rlike(ISO_DATETIME), s.try_cast("timestamp")).when(s.rlike(US_DATETIME), _us_moment(s))
+    day = F.when(s.rlike(ISO_DATE), s.try_cast("date")).when(s.rlike(US_DATE), _us_day(s))
+    dated = (
+        F.when(F.length(s) < 8, "string")
+        .when(F.contains(s, F.lit(":")), F.when(moment.isNotNull(), "dateTime").otherwise("string"))
+        .otherwise(F.when(day.isNotNull(), "date").otherwise("string"))
+    )
+    number = F.when(F.contains(s, F.lit(".")), "decimal").otherwise("integer")
+    numeric_start = F.substring(s, 1, 1).isin(*"0123456789+-$€£¥")
+    word = F.when((F.length(s) <= 5) & F.lower(s).isin(TRUE_WORDS + FALSE_WORDS), "boolean").otherwise("string")
     return (
-        F.when(is_blank(text), F.lit(None).cast("string"))
-        .when(F.lower(s).isin(TRUE_WORDS + FALSE_WORDS), "boolean")
-        .when(s.rlike(NUMERIC), F.when(F.contains(s, F.lit(".")), "decimal").otherwise("integer"))
-        .when((s.rlike(ISO_DATETIME) | s.rlike(US_DATETIME)) & to_datetime(s).isNotNull(), "dateTime")
-        .when((s.rlike(ISO_DATE) | s.rlike(US_DATE)) & to_date(s).isNotNull(), "date")
-        .otherwise("string")
+        F.when(s.isNull() | (s == ""), F.lit(None).cast("string"))
+        .when(numeric_start, F.when(s.rlike(NUMERIC), number).otherwise(dated))
+        .otherwise(word)
     )
 
 

@@ -82,8 +82,9 @@ def zoned_text(text: Column, granularity: str) -> Column:
     return temporal_text(naive - F.make_dt_interval(mins=minutes), granularity)
 
 
-def text_key(value: Column, opts: Normalize) -> Column:
-    text = trimmed(value) if opts.trim else value
+def text_key(value: Column, opts: Normalize, neat: Column | None = None) -> Column:
+    """The key of a text value; ``neat`` is its trimmed form where that is at hand."""
+    text = value if not opts.trim else trimmed(value) if neat is None else neat
     folded = F.concat(F.lit("s:"), F.lower(text) if opts.case_insensitive else text)
     day = F.substring(text, 1, 10)
     if opts.granularity == "date":
@@ -91,8 +92,8 @@ def text_key(value: Column, opts: Normalize) -> Column:
     else:
         plain_date = F.concat(text, F.lit("T00:00:00"))
         naive = F.concat(day, F.lit("T"), F.substring(text, 12, 8))
-    # The first character settles most rows: anything not starting like a number or a date skips
-    # the pattern tests altogether.
+    # The first character settles most rows: text that does not start like a number or a date skips
+    # the pattern tests.
     shaped = (
         F.when(text.rlike(ISO_DATE), F.concat(F.lit("t:"), plain_date))
         .when(
@@ -111,7 +112,7 @@ def text_key(value: Column, opts: Normalize) -> Column:
     return F.when(value.isNull(), F.lit(NULL_TAG)).when(starts_like_number, shaped).otherwise(folded)
 
 
-def normalize_key(value: Column, dtype: T.DataType, opts: Normalize = Normalize()) -> Column:
+def normalize_key(value: Column, dtype: T.DataType, opts: Normalize = Normalize(), neat: Column | None = None) -> Column:
     """One value as tagged canonical text; never NULL."""
     if isinstance(dtype, T.NullType):
         return F.lit(NULL_TAG)
@@ -122,7 +123,7 @@ def normalize_key(value: Column, dtype: T.DataType, opts: Normalize = Normalize(
         if is_float(dtype):
             body = F.when(~finite(value), F.lit(NULL_TAG)).otherwise(body)
     else:
-        return text_key(value.cast("string"), opts)
+        return text_key(value.cast("string"), opts, neat)
     return F.coalesce(body, F.lit(NULL_TAG))
 
 
@@ -130,7 +131,7 @@ def finite(value: Column) -> Column:
     return F.abs(value.cast("double")) < F.lit(float("inf"))  # NaN sorts above infinity in Spark
 
 
-def comparable_number(value: Column, dtype: T.DataType) -> Column:
+def comparable_number(value: Column, dtype: T.DataType, neat: Column | None = None) -> Column:
     """A value as an exact number, or NULL for anything that is not one."""
     if isinstance(dtype, T.BooleanType):
         return value.cast("int").cast("decimal(38,9)")
@@ -138,7 +139,7 @@ def comparable_number(value: Column, dtype: T.DataType) -> Column:
         return exact(value)
     if is_temporal(dtype) or isinstance(dtype, T.NullType):
         return F.lit(None).cast("decimal(38,9)")
-    text = trimmed(value.cast("string"))
+    text = trimmed(value.cast("string")) if neat is None else neat
     return F.when(text.rlike(LOOSE_NUMBER), exact(text))
 
 

@@ -30,11 +30,15 @@ from tieout.functions.normalize import (
     temporal_text,
     utc,
 )
-from tieout.functions.numbers import SUM_TYPE
+from tieout.functions.numbers import SUM_TYPE, trimmed
 from tieout.model import Pair, Side, pairs, quoted, resolve
 from tieout.session import checkpointed
 
 
+RESERVED = ("composite_key", "status", "source_row_count", "target_row_count")
+CELL_PARTS = ("source", "target", "source_num", "target_num", "delta", "status")
+
+
 @dataclass(frozen=True)
 class _Key:
     """How one key pair is carried through the shuffle: typed where the types allow, else as text."""
@@ -62,7 +66,7 @@ def _whole_value(value: Column, dtype: T.DataType) -> Column:
     return (value.cast("int") if isinstance(dtype, T.BooleanType) else value).cast("bigint")
 
 
-def _key(source: Column, s_type: T.DataType, target: Column, t_type: T.DataType, opts: Normalize) -> _Key:
+def _key(source: Column, s_type: T.DataType, target: Column, t_type: T.DataType, opts: Normalize, neat: Column) -> _Key:
     if _whole(s_type) and _whole(t_type):
         return _Key(_whole_value(source, s_type), _whole_value(target, t_type), "number")
     if is_temporal(s_type) and is_temporal(t_type):
@@ -72,7 +76,7 @@ def _key(source: Column, s_type: T.DataType, target: Column, t_type: T.DataType,
             else (lambda c: F.date_trunc("second", c.cast("timestamp_ntz")).cast("timestamp_ntz"))
         )
         return _Key(grain(utc(source, s_type)), grain(utc(target, t_type)), "time")
-    return _Key(normalize_key(source, s_type, opts), normalize_key(target, t_type, opts), "text")
+    return _Key(normalize_key(source, s_type, opts, neat), normalize_key(target, t_type, opts, neat), "text")
 
 
 def _text_form(s_type: T.DataType, t_type: T.DataType) -> str | None:
@@ -84,23 +88,21 @@ def _text_form(s_type: T.DataType, t_type: T.DataType) -> str | None:
     return "flag" if is_float(s_type) or is_float(t_type) else None
 
 
-def _text_value(value: Column, dtype: T.DataType, form: str, opts: Normalize) -> Column:
+def _text_value(value: Column, dtype: T.DataType, form: str, opts: Normalize, number: Column, neat: Column) -> Column:
+    """The text side of a value, NULL where it is blank or a number. ``number`` is the value as one."""
     if form == "time":
         day = utc(value, dtype)
         return day.cast("date") if opts.granularity == "date" else F.date_trunc(
             "second", day.cast("timestamp_ntz")
         ).cast("timestamp_ntz")
     if form == "flag":
-        lost = value.isNotNull() & comparable_number(value, dtype).isNull()
-        return F.when(lost, 1) if is_float(dtype) else F.lit(None).cast("int")
+        return F.when(value.isNotNull() & number.isNull(), 1) if is_float(dtype) else F.lit(None).cast("int")
     if is_number(dtype):
         if not is_float(dtype):
             return F.lit(None).cast("string")
         return F.when(value.isNotNull() & ~finite(value), F.lit(NULL_TAG))
     present = value.isNotNull() if is_temporal(dtype) else value.isNotNull() & (value.cast("string") != "")
-    return F.when(
-        present & comparable_number(value, dtype).isNull(), normalize_key(value, dtype, opts)
-    )
+    return F.when(present & number.isNull(), normalize_key(value, dtype, opts, neat))
 
 
 def _piece(prefix: str, i: int, form: str | None, granularity: str) -> Piece:
@@ -150,7 +152,7 @@ class Comparison:
                 F.lit(v).alias("label"),
                 *[
                     quoted(f"{v}_{part}").alias(part)
-                    for part in ("source", "target", "source_num", "target_num", "delta", "status")
+                    for part in CELL_PARTS
                 ],
             )
             for v in self.values
@@ -231,22 +233,29 @@ def compare(
     t_types = [target.df.schema[n].dataType for n in t_names]
     nk = len(keys)
 
-    key_forms = [
-        _key(quoted(s_names[i]), s_types[i], quoted(t_names[i]), t_types[i], normalize) for i in range(nk)
-    ]
+    raw, neat, number = (lambda i: F.col(f"raw{i}")), (lambda i: F.col(f"neat{i}")), (lambda i: F.col(f"number{i}"))
+    key_forms = [_key(raw(i), s_types[i], raw(i), t_types[i], normalize, neat(i)) for i in range(nk)]
     forms = [_text_form(s_types[nk + i], t_types[nk + i]) for i in range(len(values))]
 
     def layout(prefix: str, df: DataFrame, names, types) -> DataFrame:
+        # Trimmed text and parsed numbers are columns of their own steps, so each is worked out once a row.
+        first = [quoted(n).alias(f"raw{i}") for i, n in enumerate(names)]
+        for i, (n, dtype) in enumerate(zip(names, types)):
+            if not (is_number(dtype) or is_temporal(dtype) or isinstance(dtype, T.NullType)):
+                first.append(trimmed(quoted(n).cast("string")).alias(f"neat{i}"))
+        rows = df.select(*first)
+        numbers = [
+            comparable_number(raw(nk + i), types[nk + i], neat(nk + i)).alias(f"number{i}") for i in range(len(values))
+        ]
         mine = prefix == "s"
         out = [(k.source if mine else k.target).alias(f"k{i}") for i, k in enumerate(key_forms)]
         out += [F.lit(1 if mine else 0).alias("sr"), F.lit(0 if mine else 1).alias("tr")]
         for i, form in enumerate(forms):
-            value, dtype = quoted(names[nk + i]), types[nk + i]
-            number = comparable_number(value, dtype)
-            out.append(number.alias(f"{prefix}n{i}"))
+            out.append(number(i).alias(f"{prefix}n{i}"))
             if form:
-                out.append(_text_value(value, dtype, form, normalize).alias(f"{prefix}t{i}"))
-        return df.select(*out)
+                text = _text_value(raw(nk + i), types[nk + i], form, normalize, number(i), neat(nk + i))
+                out.append(text.alias(f"{prefix}t{i}"))
+        return rows.select("*", *numbers).select(*out)
 
     stacked = layout("s", source.df, s_names, s_types).unionByName(
         layout("t", target.df, t_names, t_types), allowMissingColumns=True
@@ -281,6 +290,9 @@ def compare(
     )
     names = tuple(p.name for p in keys)
     labels = tuple(p.name for p in values)
+    shown = [*names, *RESERVED, *[f"{v}_{part}" for v in labels for part in CELL_PARTS]]
+    if len({n.lower() for n in shown}) < len(shown):
+        raise ValueError(f"keys {names} and values {labels} need labels that do not collide")
     tagged = grouped.select(
         *[t.alias(f"tag{i}") for i, t in enumerate(tags)],
         *[display_part(t).alias(n) for t, n in zip(tags, names)],

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.functions.celltypes import KINDS, cell_kind, coerce, column_kind, is_blank
+from tieout.functions.celltypes import KINDS, coerce, column_kind, is_blank, trimmed_kind
 from tieout.functions.normalize import is_float, is_number, is_temporal
-from tieout.functions.numbers import number_text, safe_divide, uniqueness
+from tieout.functions.numbers import number_text, safe_divide, trimmed, uniqueness
 from tieout.model import quoted
 from tieout.session import settled
 
@@ -41,7 +41,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     parts = []
     if text:
         cells = df.select(*[quoted(c) for c in text]).unpivot([], [quoted(c) for c in text], "column", "cell")
-        parts.append(cells.select("column", cell_kind(F.col("cell")).alias("kind")))
+        cells = cells.select("column", trimmed(F.col("cell")).alias("cell"))
+        parts.append(cells.select("column", trimmed_kind(F.col("cell")).alias("kind")))
     if other:
         kinds = df.select(*[_kind(quoted(f.name), f.dataType).alias(f.name) for f in other])
         parts.append(kinds.unpivot([], [quoted(f.name) for f in other], "column", "kind"))
