@@ -320,3 +320,17 @@ def test_a_third_of_all_rows_on_one_key(spark):
     changed = df.withColumn("v", F.col("v") + F.when(F.col("v") == 3, 0.5).otherwise(0.0))
     s = summary(compare(df, changed, ["k"], ["v"]))
     assert (s["matched"], s["mismatched"], s["source_rows"], s["source_duplicate_keys"]) == (60_000, 1, 90_000, 1)
+
+
+def test_skipped_hours_of_the_session_zone_are_kept(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    moment = "2024-03-10 02:30:15"  # does not exist in New York
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        opts = Normalize(granularity="datetime")
+        typed = spark.sql(f"select timestamp_ntz'{moment}.25' as k")
+        for other in (spark.sql(f"select '{moment}' as k"), spark.sql("select '2024-03-10T02:30:15Z' as k"), typed):
+            row = compare(typed, other, ["k"], normalize=opts).rows.first()
+            assert (row["status"], row["k"]) == ("match", "2024-03-10T02:30:15")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

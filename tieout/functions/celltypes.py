@@ -28,15 +28,18 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | F.when(printable, False).otherwise(trimmed(text) == "")
 
 
+def _us_iso_day(s: Column) -> Column:
+    part = lambda i: F.regexp_extract(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})", i)
+    return F.concat_ws("-", part(3), F.lpad(part(1), 2, "0"), F.lpad(part(2), 2, "0"))
+
+
 def _us_day(s: Column) -> Column:
-    return F.try_to_timestamp(F.regexp_extract(s, r"^(\d{1,2}/\d{1,2}/\d{4})", 1), F.lit("M/d/yyyy")).cast("date")
+    return _us_iso_day(s).try_cast("date")
 
 
 def _us_moment(s: Column) -> Column:
-    spaced = F.regexp_replace(s, "T", " ")
-    return F.coalesce(
-        F.try_to_timestamp(spaced, F.lit("M/d/yyyy H:mm:ss")), F.try_to_timestamp(spaced, F.lit("M/d/yyyy H:mm"))
-    ).cast("timestamp_ntz")
+    clock = F.lpad(F.regexp_extract(s, r"[ T](\d{1,2}:.*)$", 1), F.when(s.rlike(r":\d{2}:"), 8).otherwise(5), F.lit("0"))
+    return F.concat_ws(" ", _us_iso_day(s), clock).try_cast("timestamp_ntz")
 
 
 def _iso_moment(s: Column) -> Column:

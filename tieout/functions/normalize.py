@@ -66,14 +66,21 @@ def utc(value: Column, dtype: T.DataType) -> Column:
 def temporal_text(value: Column, granularity: str) -> Column:
     if granularity == "date":
         return value.cast("date").cast("string")
-    return F.date_format(value.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.replace(_second_text(value), F.lit(" "), F.lit("T"))
+
+
+def _second_text(value: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` without a detour through the session zone, which may skip an hour."""
+    return F.substring(value.cast("timestamp_ntz").cast("string"), 1, 19)
+
+
+def to_second(value: Column) -> Column:
+    return _second_text(value).cast("timestamp_ntz")
 
 
 def zoned_text(text: Column, granularity: str) -> Column:
     """Text carrying a zone, as UTC. The zone is applied by hand so the session zone plays no part."""
-    naive = F.try_to_timestamp(
-        F.regexp_replace(F.substring(text, 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")
-    ).cast("timestamp_ntz")
+    naive = F.substring(text, 1, 19).try_cast("timestamp_ntz")
     zone = F.regexp_replace(F.regexp_extract(text, ZONE_SUFFIX, 1), ":", "")
     minutes = F.when(zone == "Z", F.lit(0)).otherwise(
         (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))

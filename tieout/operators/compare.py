@@ -28,6 +28,7 @@ from tieout.functions.normalize import (
     is_temporal,
     normalize_key,
     temporal_text,
+    to_second,
     utc,
 )
 from tieout.functions.numbers import SUM_TYPE, trimmed
@@ -73,7 +74,7 @@ def _key(source: Column, s_type: T.DataType, target: Column, t_type: T.DataType,
         grain = (
             (lambda c: c.cast("date"))
             if opts.granularity == "date"
-            else (lambda c: F.date_trunc("second", c.cast("timestamp_ntz")).cast("timestamp_ntz"))
+            else to_second
         )
         return _Key(grain(utc(source, s_type)), grain(utc(target, t_type)), "time")
     return _Key(normalize_key(source, s_type, opts, neat), normalize_key(target, t_type, opts, neat), "text")
@@ -92,9 +93,7 @@ def _text_value(value: Column, dtype: T.DataType, form: str, opts: Normalize, nu
     """The text side of a value, NULL where it is blank or a number. ``number`` is the value as one."""
     if form == "time":
         day = utc(value, dtype)
-        return day.cast("date") if opts.granularity == "date" else F.date_trunc(
-            "second", day.cast("timestamp_ntz")
-        ).cast("timestamp_ntz")
+        return day.cast("date") if opts.granularity == "date" else to_second(day)
     if form == "flag":
         return F.when(value.isNotNull() & number.isNull(), 1) if is_float(dtype) else F.lit(None).cast("int")
     if is_number(dtype):

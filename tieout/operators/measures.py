@@ -175,11 +175,14 @@ def group_by_dimension(
 
 
 def selected_value(df: DataFrame, column: str, by: Sequence[str] = (), alternate=None) -> DataFrame:
-    """The one value of a column in each group, or ``alternate`` where there are several or a blank."""
-    value = quoted(column)
-    single = (F.min(value) == F.max(value)) & (F.count_if(value.isNull()) == 0)
-    picked = F.when(single, F.min(value)).otherwise(F.lit(alternate).cast(df.schema[column].dataType))
-    return df.groupBy(*[quoted(b) for b in by]).agg(picked.alias("selected"))
+    """The one value of a column in each group, or ``alternate`` where there are several or a blank.
+
+    Groups and values are made distinct first, so only different values of a group are compared.
+    """
+    dtype = df.schema[column].dataType
+    different = df.select(*[quoted(b) for b in by], quoted(column).alias("__v")).distinct()
+    picked = F.when(F.count(F.lit(1)) == 1, F.coalesce(F.min("__v"), F.lit(alternate).cast(dtype))).otherwise(F.lit(alternate).cast(dtype))
+    return different.groupBy(*[quoted(b) for b in by]).agg(picked.alias("selected"))
 
 
 def distinct_rows(df: DataFrame, columns: Sequence[str], keep_filters: Column | None = None) -> DataFrame:

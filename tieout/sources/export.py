@@ -29,7 +29,7 @@ def csv_ready(df: DataFrame, guard: bool = True) -> DataFrame:
         if kind == "string" and guard:
             value = guarded(value)
         elif kind.startswith("timestamp"):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+            value = F.substring(value.cast("string"), 1, 19)
         out.append(value.cast("string").alias(f.name))
     return df.select(*out)
 
