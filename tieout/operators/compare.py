@@ -8,6 +8,7 @@ travels as one partial sum per task.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -128,6 +129,7 @@ class Comparison:
     values: tuple[str, ...]
     text_values: frozenset[str]
     tagged_rows: DataFrame  # ``rows`` with the tagged keys ``tag0``, ``tag1`` … beside the readable ones
+    summarise: Callable[[Sequence[Column]], DataFrame]  # the summary, with more aggregates over ``all_rows``
 
     def magnitude(self) -> Column:
         return magnitude(self.values)
@@ -304,7 +306,8 @@ def compare(
 
     all_rows = tagged.drop(*[f"tag{i}" for i in range(nk)])
     tally = grouped.withColumn("status", status)
-    summary = _summarise(tally, refused_side, drift_ms(source, target), min_overlap, max_keys)
+    drift = drift_ms(source, target)
+    summary = _summarise(tally, refused_side, drift, min_overlap, max_keys)
     clear = F.lit(False) if refused_side else summary.select("refusal_kind").scalar().isNull()
     return Comparison(
         rows=all_rows.where(clear),
@@ -314,11 +317,17 @@ def compare(
         values=labels,
         text_values=frozenset(v for v, f in zip(labels, forms) if f),
         tagged_rows=tagged.where(clear),
+        summarise=lambda extra: _summarise(all_rows, refused_side, drift, min_overlap, max_keys, extra),
     )
 
 
 def _summarise(
-    rows: DataFrame, truncated_side: str | None, drift: int, min_overlap: int, max_keys: int | None
+    rows: DataFrame,
+    truncated_side: str | None,
+    drift: int,
+    min_overlap: int,
+    max_keys: int | None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     if truncated_side:
         rows = rows.where(F.lit(False))
@@ -338,7 +347,9 @@ def _summarise(
         F.coalesce(F.sum(s), F.lit(0)).alias("source_rows"),
         F.coalesce(F.sum(t), F.lit(0)).alias("target_rows"),
         F.count_if((s > 0) & (t > 0)).alias("overlap"),
+        *extra,
     )
+    more = counted.columns[len(counted.columns) - len(extra):] if extra else []
     sk, tk = F.col("source_keys"), F.col("target_keys")
     none = F.lit(None).cast("string")
     if truncated_side:
@@ -388,4 +399,5 @@ def _summarise(
         "refusal_message",
         F.when(F.col("refusal_kind") == "noKeyOverlap", sk).cast("bigint").alias("refused_source_keys"),
         F.when(F.col("refusal_kind") == "noKeyOverlap", tk).cast("bigint").alias("refused_target_keys"),
+        *more,
     )

@@ -34,6 +34,8 @@ SUMMED = r"(?i)(total|amount|revenue|sales)"
 IDENTIFIER = r"(?i)(^id$|_id$|id$|code|zip|postal|year|latitude|longitude|lat$|lon$|lng$)"
 BRIDGE = r"(?i)(bridge|junction|xref|linktable)"
 HELPER = r"(?i)(^_|param|topn|metricsel|slicer|selection)"
+ROW_NAME = r"(?i)((^|[_ ])(id|code|key|no|num|sk|pk|fk|guid|uuid)|id)$"
+SLICER_VALUES = 60
 HIGH_NULL_SHARE = 0.4
 KB = 1024
 
@@ -257,6 +259,14 @@ def best_categories(profiles: DataFrame, rels: DataFrame, roles: DataFrame) -> D
     )
 
 
+def slicer_columns(profiles: DataFrame, rels: DataFrame) -> DataFrame:
+    """Descriptive text columns with few enough values to offer as a list: no keys, links or identifiers."""
+    links = rels.select(F.col("from_table").alias("table"), F.col("from_col").alias("column"))
+    plain = profiles.where("data_type = 'string' and role <> 'key' and distinct_count > 0")
+    few = plain.where((F.col("distinct_count") <= SLICER_VALUES) & ~F.col("column").rlike(ROW_NAME))
+    return few.join(links, ["table", "column"], "left_anti").select("table", "column", "distinct_count")
+
+
 FINDING = ["rule", "severity", "target", "message"]
 
 

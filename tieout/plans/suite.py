@@ -78,11 +78,9 @@ def outcome(check: Check) -> DataFrame:
         for v in result.values
     ]
     metrics = F.array(*quotes).cast(METRIC) if quotes else F.array().cast(METRIC)
-    evidence = result.all_rows.agg(metrics.alias("metrics"))
-    summary = result.summary.withColumn(
+    summary = result.summarise([metrics.alias("metrics")]).withColumn(
         "compared_rows", F.col("matched") + F.col("mismatched") + F.col("only_source") + F.col("only_target")
     )
-    quoted_metrics = evidence.scalar()
     return summary.select(
         F.lit(check.check_id).alias("check_id"),
         F.lit(check.name).alias("name"),
@@ -99,7 +97,7 @@ def outcome(check: Check) -> DataFrame:
         "target_rows",
         "refusal_kind",
         F.coalesce(F.col("refusal_message"), F.lit(None).cast("string")).alias("error"),
-        F.when(only, quoted_metrics).otherwise(F.array().cast(METRIC)).alias("metrics"),
+        F.when(only, F.col("metrics")).otherwise(F.array().cast(METRIC)).alias("metrics"),
         F.lit(None).cast("bigint").alias("duration_ms"),
         F.lit(None).cast("timestamp").alias("ran_at"),
     )

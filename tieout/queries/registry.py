@@ -14,7 +14,7 @@ STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 
 class Tables:
-    """The tables of one folder, read when asked for."""
+    """The tables of one folder. A table's files are looked at when it is first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -22,7 +22,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, df)
+        return df
 
     def star(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in STAR}

@@ -331,6 +331,16 @@ def best_categories(t):
     return D.best_categories(profiles, rels, D.table_roles(profiles, keys, rels))
 
 
+@query(
+    f"""{LINKS} SELECT tbl AS "table", col AS "column", CAST(distinct_count AS BIGINT) AS distinct_count FROM r
+    WHERE data_type = 'string' AND role <> 'key' AND distinct_count <= 60 AND NOT regexp_matches(col, '((^|[_ ])(id|code|key|no|num|sk|pk|fk|guid|uuid)|id)$', 'i')
+      AND (tbl, col) NOT IN (SELECT (tbl, col) FROM rel)"""
+)
+def slicer_columns(t):
+    profiles, _, rels = discovered(t)
+    return D.slicer_columns(profiles, rels)
+
+
 @query(
     """SELECT 'missing-key' AS rule, 'warning' AS severity, 'lineitem' AS target
     WHERE NOT EXISTS (SELECT 1 FROM lineitem HAVING COUNT(DISTINCT l_orderkey) = COUNT(*) OR COUNT(DISTINCT l_extendedprice) = COUNT(*) OR COUNT(DISTINCT l_shipdate) = COUNT(*))

@@ -19,22 +19,18 @@ def revenue():
 REVENUE = "l_extendedprice * (1 - l_discount)"
 
 
-def model(t) -> Model:
-    return Model(
-        t.star(),
-        (
-            Rel("lineitem", "l_orderkey", "orders", "o_orderkey"),
-            Rel("lineitem", "l_partkey", "part", "p_partkey"),
-            Rel("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-            Rel("orders", "o_custkey", "customer", "c_custkey"),
-            Rel("customer", "c_nationkey", "nation", "n_nationkey"),
-            Rel("nation", "n_regionkey", "region", "r_regionkey"),
-        ),
-    )
+RELATIONSHIPS = (
+    Rel("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    Rel("lineitem", "l_partkey", "part", "p_partkey"),
+    Rel("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    Rel("orders", "o_custkey", "customer", "c_custkey"),
+    Rel("customer", "c_nationkey", "nation", "n_nationkey"),
+    Rel("nation", "n_regionkey", "region", "r_regionkey"),
+)
 
 
-def rel(t, from_table: str, to_table: str) -> Rel:
-    return model(t).active(from_table, to_table)
+def model(t, *tables: str) -> Model:
+    return Model({name: getattr(t, name) for name in tables}, RELATIONSHIPS)
 
 
 ONE_OF_EACH = f"""SELECT l_returnflag, {m(total('l_quantity'))} AS total_qty, round(CAST({total('l_discount')} AS DOUBLE) / COUNT(l_discount), 6) AS avg_discount,
@@ -179,10 +175,11 @@ def filter_conditions(t):
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"""
 )
 def multi_measure_matrix(t):
+    sales = model(t, "orders", "customer", "nation", "region")
     wide = M.star(
-        model(t),
+        sales,
         "orders",
-        ["customer", rel(t, "customer", "nation"), rel(t, "nation", "region")],
+        ["customer", sales.active("customer", "nation"), sales.active("nation", "region")],
         columns={"customer": ["c_mktsegment", "c_nationkey"], "nation": ["n_regionkey"], "region": ["r_name"]},
     )
     out = M.evaluate(

@@ -16,6 +16,8 @@ def build_session(app: str = "tieout", master: str | None = None, **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Suites build many small plans; recording the Python line of every expression slows that down.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
