@@ -52,7 +52,7 @@ def check_duplicates(t):
     return C.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT 0 AS duplicate_keys, 0 AS extra_rows")
+@query("SELECT CAST(0 AS BIGINT) AS duplicate_keys, CAST(0 AS BIGINT) AS extra_rows")
 def check_duplicates_clean(t):
     return C.duplicate_keys(t.orders, ["o_orderkey"])
 
@@ -92,7 +92,7 @@ def check_orphans(t):
 
 
 @query(
-    f"SELECT year(o_orderdate) AS year, o_orderstatus, {m(total('o_totalprice'))} AS value FROM orders GROUP BY ALL"
+    f"SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderstatus, {m(total('o_totalprice'))} AS value FROM orders GROUP BY ALL"
 )
 def check_by_grain(t):
     grain = C.by_grain(t.orders, [F.year("o_orderdate").alias("year"), "o_orderstatus"], "o_totalprice")

@@ -100,9 +100,15 @@ SUMMARY = """
 
 
 def refused_sql(kind: str, side: str = "NULL", rows: str = "(SELECT COUNT(*) FROM orders)", source_keys: str = "NULL", target_keys: str = "NULL") -> str:
-    return f"""SELECT 0 AS matched, 0 AS mismatched, 0 AS only_source, 0 AS only_target, 0 AS source_keys, 0 AS target_keys,
-      0 AS source_duplicate_keys, 0 AS target_duplicate_keys, {rows} AS source_rows, {rows} AS target_rows,
-      '{kind}' AS refusal_kind, {side} AS refusal_side, {source_keys} AS refused_source_keys, {target_keys} AS refused_target_keys"""
+    zeros = ["matched", "mismatched", "only_source", "only_target", "source_keys", "target_keys", "source_duplicate_keys", "target_duplicate_keys"]
+    return f"""SELECT {', '.join(f'CAST(0 AS BIGINT) AS {z}' for z in zeros)}, CAST({rows} AS BIGINT) AS source_rows, CAST({rows} AS BIGINT) AS target_rows,
+      '{kind}' AS refusal_kind, CAST({side} AS VARCHAR) AS refusal_side,
+      CAST({source_keys} AS BIGINT) AS refused_source_keys, CAST({target_keys} AS BIGINT) AS refused_target_keys"""
+
+
+# The refusal columns of a comparison that was not refused.
+CLEAR = """CAST(NULL AS VARCHAR) AS refusal_kind, CAST(NULL AS VARCHAR) AS refusal_side,
+  CAST(NULL AS BIGINT) AS refused_source_keys, CAST(NULL AS BIGINT) AS refused_target_keys"""
 
 
 def counts(result: Comparison) -> DataFrame:
@@ -115,8 +121,7 @@ def compare_month_grain(t):
 
 
 @query(
-    f"SELECT {SUMMARY}, NULL AS refusal_kind, NULL AS refusal_side, NULL AS refused_source_keys, NULL AS refused_target_keys"
-    f" FROM ({joined_sql(MONTHS, MONTHS_EDITED, ['year', 'month'])})"
+    f"SELECT {SUMMARY}, {CLEAR} FROM ({joined_sql(MONTHS, MONTHS_EDITED, ['year', 'month'])})"
 )
 def compare_summary(t):
     return counts(month_comparison(t))
@@ -228,7 +233,7 @@ def compare_worst_first_top(t):
 
 
 @query(
-    f"""SELECT {SUMMARY}, NULL AS refusal_kind, NULL AS refusal_side, NULL AS refused_source_keys, NULL AS refused_target_keys,
+    f"""SELECT {SUMMARY}, {CLEAR},
       CAST(COUNT(*) AS BIGINT) AS total_rows, COUNT(*) > 12 AS rows_capped
     FROM ({joined_sql(MONTHS, MONTHS_EDITED, ['year', 'month'])})"""
 )

@@ -138,7 +138,7 @@ def top_values(t):
 
 
 @query(
-    """SELECT 'l_shipdate' AS "column", year(l_shipdate) AS year, CAST(COUNT(*) AS BIGINT) AS count FROM lineitem GROUP BY 2"""
+    """SELECT 'l_shipdate' AS "column", CAST(year(l_shipdate) AS INTEGER) AS year, CAST(COUNT(*) AS BIGINT) AS count FROM lineitem GROUP BY 2"""
 )
 def year_counts(t):
     return P.year_counts(t.lineitem, ["l_shipdate"])
@@ -235,7 +235,7 @@ def csv_guard(t):
 
 
 @query(
-    """SELECT c_custkey, c_name || ', "' || c_mktsegment || '"' AS label, c_nationkey, c_acctbal,
+    """SELECT c_custkey, c_name || ', "' || c_mktsegment || '"' AS label, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal,
       CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer"""
 )
 def csv_round_trip(t):

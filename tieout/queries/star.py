@@ -239,7 +239,7 @@ def slicer_values(t):
 
 @query(
     f"""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, year(o_orderdate) AS y FROM orders UNION SELECT CAST(l_shipdate AS DATE), year(l_shipdate) FROM lineitem)
-    SELECT y AS year, {m(total('CASE WHEN k = 1 THEN x END'))} AS by_order_date, {m(total('CASE WHEN k = 2 THEN x END'))} AS by_ship_date
+    SELECT CAST(y AS INTEGER) AS year, {m(total('CASE WHEN k = 1 THEN x END'))} AS by_order_date, {m(total('CASE WHEN k = 2 THEN x END'))} AS by_ship_date
     FROM (SELECT year(o_orderdate) AS y, 1 AS k, l_extendedprice AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey
           UNION ALL SELECT year(l_shipdate), 2, l_extendedprice FROM lineitem) GROUP BY 1"""
 )
@@ -266,7 +266,7 @@ def inner_join_group(t):
       CASE lower(c_mktsegment) WHEN 'building' THEN 1 WHEN 'machinery' THEN 2 ELSE 0 END AS segment_no,
       CAST(trunc(c_acctbal) AS BIGINT) AS whole, round(sqrt(abs(c_acctbal)), 4) AS root, COALESCE(nullif(c_nationkey, 0), 99) AS nation,
       c_mktsegment || '/' || COALESCE(nullif(c_name, 'Customer#000000001'), '') AS joined, CASE WHEN c_nationkey = 0 THEN NULL ELSE round(c_acctbal / c_nationkey, 7) END AS per_nation,
-      year(DATE '2024-02-29' + CAST(c_custkey AS INTEGER)) AS y, c_nationkey <> 0 AS has_nation FROM customer"""
+      CAST(year(DATE '2024-02-29' + CAST(c_custkey AS INTEGER)) AS INTEGER) AS y, c_nationkey <> 0 AS has_nation FROM customer"""
 )
 def scalar_functions(t):
     c = t.customer
@@ -287,9 +287,9 @@ def scalar_functions(t):
 
 WEEK = "CAST(floor((dayofyear(d) - 1 + (isodow(make_date(year(d), 1, 1)) - 1)) / 7) AS INTEGER) + 1"
 CALENDAR = f"""
-  SELECT CAST(d AS VARCHAR) AS "Date", year(d) AS "Year", 'Q' || quarter(d) AS "Quarter", month(d) AS "MonthNo", monthname(d) AS "MonthName",
-    substr(monthname(d), 1, 3) AS "MonthShort", strftime(d, '%Y-%m') AS "YearMonth", {WEEK} AS "WeekOfYear", day(d) AS "Day", isodow(d) AS "WeekdayNo",
-    dayname(d) AS "WeekdayName", isodow(d) > 5 AS "IsWeekend", year(d) + CASE WHEN month(d) >= 7 THEN 1 ELSE 0 END AS "FiscalYear"
+  SELECT CAST(d AS VARCHAR) AS "Date", CAST(year(d) AS INTEGER) AS "Year", 'Q' || quarter(d) AS "Quarter", CAST(month(d) AS INTEGER) AS "MonthNo", monthname(d) AS "MonthName",
+    substr(monthname(d), 1, 3) AS "MonthShort", strftime(d, '%Y-%m') AS "YearMonth", {WEEK} AS "WeekOfYear", CAST(day(d) AS INTEGER) AS "Day", CAST(isodow(d) AS INTEGER) AS "WeekdayNo",
+    dayname(d) AS "WeekdayName", isodow(d) > 5 AS "IsWeekend", CAST(year(d) + CASE WHEN month(d) >= 7 THEN 1 ELSE 0 END AS INTEGER) AS "FiscalYear"
   FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d
         FROM (SELECT CAST(MIN(o_orderdate) AS DATE) AS lo, CAST(MAX(o_orderdate) AS DATE) AS hi FROM orders))"""
 
