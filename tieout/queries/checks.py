@@ -344,8 +344,12 @@ def control_totals_gate(t):
 
 
 @query(
-    """SELECT CAST(COUNT(*) AS BIGINT) AS differing FROM (SELECT l_orderkey, SUM(l_quantity) AS a, SUM(l_quantity * l_discount) AS b FROM lineitem GROUP BY 1)
-    WHERE FALSE"""
+    """WITH a AS (SELECT l_orderkey, SUM(l_quantity) AS q, SUM(l_quantity * l_discount) AS d FROM lineitem GROUP BY 1),
+      p AS (SELECT l_orderkey, l_returnflag, SUM(l_quantity) AS q, SUM(l_discount * l_quantity) AS d FROM lineitem GROUP BY 1, 2),
+      b AS (SELECT l_orderkey, SUM(q) AS q, SUM(d) AS d FROM p GROUP BY 1)
+    SELECT CAST(COUNT(*) AS BIGINT) AS differing FROM a FULL OUTER JOIN b ON a.l_orderkey = b.l_orderkey
+    WHERE a.l_orderkey IS NULL OR b.l_orderkey IS NULL OR ABS(a.q - b.q) / GREATEST(ABS(a.q), ABS(b.q), 1) >= 1e-9
+      OR ABS(a.d - b.d) / GREATEST(ABS(a.d), ABS(b.d), 1) >= 1e-9"""
 )
 def variant_equal(t):
     """The same totals by two routes: filtered inside the aggregate, and aggregated per flag first."""
