@@ -57,6 +57,11 @@ class Kept:
         """The table, followed by others of the same columns. The schema is known, so none is inferred."""
         return spark.read.schema(self.schema).parquet(self.path, *[k.path for k in more])
 
+    def drop(self, spark: SparkSession) -> None:
+        """Delete the table's files. Nothing that still has to be computed may read it."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def stored(df: DataFrame) -> Kept:
     """Write an intermediate table once to the shared folder."""
