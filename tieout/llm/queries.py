@@ -33,3 +33,28 @@ def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
         span_digest(spans, tuple(rule.kind for rule in BASE)).alias("base_sha256"),
         span_text(spans).alias("spans"),
     )
+
+
+@query
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of every document and the group of documents that links of at most two bits connect."""
+    from tieout.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside windows of the benchmark, and the items they come from."""
+    from tieout.llm.decontaminate import find_overlap, is_contaminated
+
+    return find_overlap(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        is_contaminated().alias("contaminated"),
+    )
