@@ -58,3 +58,19 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents written as grammar-compressed shards in the order of doc_id, and read back."""
+    from tieout.llm.repair import read_tokens, write_tokens
+
+    file = write_tokens(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end=2)
+    return read_tokens(file.read(spark)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
