@@ -74,3 +74,12 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     file = write_tokens(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end=2)
     return read_tokens(file.read(spark)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens that keep the sources' shares."""
+    from tieout.llm.packing import pack
+
+    pieces = pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
