@@ -83,3 +83,13 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     pieces = pack(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """How likely each document is toxic, by a model that has seen no held-out label."""
+    from tieout.llm.toxicity import held_out, score, train
+
+    docs = table(spark, folder, "documents")
+    scored = score(docs, train(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
