@@ -93,3 +93,12 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = score(docs, train(docs, table(spark, folder, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors by inner product of every fiftieth vector, exactly."""
+    from tieout.llm.covertree import top_k
+
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
