@@ -102,3 +102,11 @@ def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
     vectors = table(spark, folder, "embeddings")
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    from tieout.llm.pages import main_text
+
+    return main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
