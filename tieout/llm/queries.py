@@ -110,3 +110,15 @@ def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     from tieout.llm.pages import main_text
 
     return main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document; the base kinds apart and all kinds together."""
+    from tieout.llm.common import count_of, span_digest, span_text
+    from tieout.llm.pii import BASE, find_personal
+
+    spans = F.col("spans")
+    return find_personal(table(spark, folder, "documents")).select(
+        "doc_id", *[count_of(spans, kind).alias(f"n_{kind}") for kind in BASE], span_digest(spans, tuple(BASE)).alias("base_sha256"), span_text(spans).alias("spans")
+    )
