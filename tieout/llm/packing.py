@@ -71,56 +71,53 @@ class Places:
 
     def rank(self, queue: int, cells: np.ndarray) -> np.ndarray:
         """How many cells of all queues come before these full cells of one queue."""
-        out = np.zeros(len(cells), np.int64)
+        out = cells.copy()
         mine = self.weights[queue]
-        for j, (many, weight) in enumerate(zip(self.cells.tolist(), self.weights.tolist())):
-            if j == queue:
-                out += cells
-            else:  # those with (2k' + 1) / weight below (2k + 1) / mine; of equal ones the lower queue's
-                out += np.minimum(((((2 * cells + 1) * weight) - (j > queue)) // mine + 1) // 2, many)
+        for j in np.flatnonzero(self.cells).tolist():
+            if j != queue:  # those with (2k' + 1) / weight below (2k + 1) / mine; of equal ones the lower queue's
+                out += np.minimum((((2 * cells + 1) * self.weights[j] - (j > queue)) // mine + 1) // 2, self.cells[j])
         return out
 
-    def pieces(self, queue: int, begin: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts in the document, lengths and places of the pieces of a document that starts at ``begin`` of its queue."""
-        first, last = begin // self.cell, (begin + n - 1) // self.cell
-        cells = np.arange(first, last + 1)
-        cuts = np.concatenate([[begin], cells[1:] * self.cell, [begin + n]])
-        starts, lengths = cuts[:-1] - begin, np.diff(cuts)
+    def pieces(self, queue: int, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of documents that begin at these places of a queue, in order: which document, length, and place."""
+        first = begins // self.cell
+        many = (begins + sizes - 1) // self.cell - first + 1
+        doc = np.repeat(np.arange(len(begins)), many)
+        cells = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many - first, many)
+        start = np.maximum(begins[doc], cells * self.cell)
+        length = np.minimum(begins[doc] + sizes[doc], (cells + 1) * self.cell) - start
         full = cells < self.cells[queue]
-        place = np.empty(len(cells), np.int64)
-        place[full] = self.rank(queue, cells[full]) * self.cell + cuts[:-1][full] % self.cell
-        if not full[-1]:
-            place[-1] = self.tails[queue] + cuts[-2] - self.cells[queue] * self.cell
-            over = place[-1] % self.window + lengths[-1] - self.window
-            if over > 0:  # a queue's last part may lie across two windows
-                starts = np.append(starts, starts[-1] + lengths[-1] - over)
-                place = np.append(place, place[-1] + lengths[-1] - over)
-                lengths = np.append(lengths, over)
-                lengths[-2] -= over
-        if len(place) > 1:  # cells that follow each other in one window are one piece
-            new = np.concatenate([[True], (place[1:] != place[:-1] + lengths[:-1]) | (place[1:] % self.window == 0)])
-            if not new.all():
-                at = np.flatnonzero(new)
-                starts, place, lengths = starts[at], place[at], np.add.reduceat(lengths, at)
-        return starts, lengths, place
+        place = self.tails[queue] + start - self.cells[queue] * self.cell
+        place[full] = self.rank(queue, cells[full]) * self.cell + start[full] % self.cell
+        over = place % self.window + length - self.window
+        for i in np.flatnonzero(over > 0)[::-1].tolist():  # a queue's last part may lie across two windows
+            doc = np.insert(doc, i + 1, doc[i])
+            place = np.insert(place, i + 1, place[i] + length[i] - over[i])
+            length = np.insert(length, i + 1, over[i])
+            length[i] -= over[i]
+        # What follows in the same window of the same document is one piece.
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + length[:-1]) | (place[1:] % self.window == 0)
+        at = np.flatnonzero(new)
+        return doc[at], np.add.reduceat(length, at), place[at]
 
 
 def _place(places: Places, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches, "ids", 4 << 20):
-        rows, starts, lengths, spots, ids = [], [], [], [], []
-        for i, (queue, begin, data) in enumerate(zip(batch.column("queue").to_pylist(), batch.column("begin").to_pylist(), batch.column("ids").to_pylist())):
-            own = np.frombuffer(data, "<u2" if data[:1] == b"2" else "<u4", offset=1).astype("<u4")
-            s, n, p = places.pieces(queue, begin, len(own))
-            rows += [i] * len(s)
-            starts.append(s)
-            lengths.append(n)
-            spots.append(p)
-            whole = own.tobytes()
-            ids += [whole[4 * a : 4 * (a + b)] for a, b in zip(s.tolist(), n.tolist())]
-        at = np.concatenate(spots)
-        taken = pa.array(rows, pa.int64())
+        ids = np.concatenate([np.frombuffer(d, "<u2" if d[:1] == b"2" else "<u4", offset=1).astype("<u4") for d in batch.column("ids").to_pylist()])
+        queues, begins, sizes = (np.asarray(batch.column(c)) for c in ("queue", "begin", "n"))
+        # Rows of one queue mostly stand together; each run of them is placed in one go.
+        edges = [0, *(np.flatnonzero(np.diff(queues)) + 1).tolist(), len(queues)]
+        made = [places.pieces(int(queues[a]), begins[a:b], sizes[a:b]) for a, b in zip(edges, edges[1:])]
+        doc = np.concatenate([d + a for (d, _, _), a in zip(made, edges)])
+        length, at = (np.concatenate([m[i] for m in made]) for i in (1, 2))
+        ends = np.cumsum(length)
+        starts = ends - length - (np.cumsum(sizes) - sizes)[doc]
+        bounds = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes())
+        pieces = pa.Array.from_buffers(pa.binary(), len(doc), [None, bounds, pa.py_buffer(ids.tobytes())])
+        taken = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(taken), batch.column("source").take(taken), pa.array(np.concatenate(starts)), pa.array(np.concatenate(lengths)), batch.column("n").take(taken), pa.array(at // places.window), pa.array(at % places.window), pa.array(ids, pa.binary())],
+            [batch.column("id").take(taken), batch.column("source").take(taken), pa.array(starts), pa.array(length), pa.array(sizes[doc]), pa.array(at // places.window), pa.array(at % places.window), pieces],
             ["id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
         )
 
