@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.llm.common import reachable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        reachable(spark)
+        return fn(spark, folder)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -122,3 +128,19 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal(table(spark, folder, "documents")).select(
         "doc_id", *[count_of(spans, kind).alias(f"n_{kind}") for kind in BASE], span_digest(spans, tuple(BASE)).alias("base_sha256"), span_text(spans).alias("spans")
     )
+
+
+@query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the lines that stay when of all similar lines one is kept."""
+    from tieout.llm.lines import deduplicate
+
+    return deduplicate(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
