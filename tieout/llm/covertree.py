@@ -29,7 +29,7 @@ from tieout.session import stored
 BLOCK = 2048
 CENTRES = 128
 #: A node with at most this many points is searched whole.
-LEAF = 32
+LEAF = 256
 
 
 @dataclass
@@ -125,10 +125,9 @@ def search(queries: Tree, query_ids: np.ndarray, data: Tree, data_ids: np.ndarra
         if not split_q and not split_d:
             some = data.order[data.begin[d] : data.end[d]]
             scores = queries.points[group] @ data.points[some].T
-            for row, one in zip(scores, group.tolist()):
-                fits = (row >= best.worst[one]) & (data_ids[some] != query_ids[one])
-                if fits.any():
-                    best.offer(one, row[fits].astype(np.int64), data_ids[some[fits]])
+            fits = (scores >= best.worst[group][:, None]) & (data_ids[some][None, :] != query_ids[group][:, None])
+            for i in np.flatnonzero(fits.any(axis=1)).tolist():
+                best.offer(int(group[i]), scores[i, fits[i]].astype(np.int64), data_ids[some[fits[i]]])
             continue
         if split_d and (not split_q or data.radius[d] >= queries.radius[q]):
             pairs = [(q, c) for c in data.children[d]]
