@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tieout.llm.common import blocks, offsets, raw
 
@@ -108,13 +109,13 @@ class Windows:
                     yield i, size, found
 
 
-SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(windows: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "text", 4 << 20):
-        texts = batch.column("text")
+def _scan(windows: Windows, text: str, beside: list[str], names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, text, 4 << 20):
+        texts = batch.column(text)
         if texts.null_count:
             texts = texts.fill_null("")
         sizes = np.diff(offsets(texts))
@@ -146,37 +147,41 @@ def _scan(windows: Windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         n = len(sizes)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("id"),
+                *[batch.column(c) for c in beside],
                 pa.array(np.bincount(doc, minlength=n)),
                 pa.array(np.bincount(doc[hit], minlength=n)),
                 pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 pa.array(spans, SPANS),
             ],
-            ["id", "n_words", "n_hit", "items", "spans"],
+            [*beside, *names],
         )
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13) -> DataFrame:
-    """A row per row of ``docs``: its words, the hit ones, the items found (sorted as text) and the hit stretches."""
+def find_overlap(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13,
+    whole: bool = False, prefix: str = "",
+) -> DataFrame:
+    """A row per row of ``docs``: its words, the hit ones, the items found (sorted as text) and the hit stretches.
+
+    They stand beside ``key``, or with ``whole`` beside all columns, under names that begin with ``prefix``.
+    """
     spark = docs.sparkSession
     rows = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("text"))
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if held > BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {held} bytes of text; give it in parts of at most {BENCHMARK_BYTES}")
     sent = spark.sparkContext.broadcast(Windows([(r["id"], r["text"]) for r in rows.collect()], size))
-    chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    schema = f"id {chosen.schema['id'].dataType.simpleString()}, {SCHEMA}"
-    return chosen.mapInArrow(lambda batches: _scan(sent.value, batches), schema).withColumnRenamed("id", key)
-
-
-def contaminated(share: float = 0.05):
-    """Whether at least this share of a document's words is hit."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share))
+    chosen = docs if whole else docs.select(key, text)
+    beside = chosen.columns if whole else [key]
+    found = [StructField(prefix + f.name, f.dataType) for f in StructType.fromDDL(FOUND)]
+    names = [f.name for f in found]
+    return chosen.mapInArrow(lambda batches: _scan(sent.value, text, beside, names, batches), StructType([*[chosen.schema[c] for c in beside], *found]))
 
 
-def is_contaminated():
-    """The rule of the contract, in whole numbers: one word in twenty."""
-    return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
+def is_contaminated(prefix: str = "", one_in: int = 20):
+    """Whether at least one word in ``one_in`` is hit, over the columns of ``find_overlap``."""
+    hit = F.col(f"{prefix}n_hit")
+    return (hit > 0) & (hit * one_in >= F.col(f"{prefix}n_words"))
 
 
 def without_spans(text, spans):

@@ -103,8 +103,8 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     return gone.groupBy("id").agg(F.collect_set("pos").alias("removed")).withColumnRenamed("id", key)
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the texts that are left, and how many lines each had and lost (n_lines, n_removed)."""
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, counts: bool = True) -> DataFrame:
+    """The rows of ``docs`` with the texts that are left, and with ``counts`` how many lines each had and lost."""
     gone = find_duplicates(docs, key, text, similarity).select(F.col(key).alias("_id"), "removed")
     joined = docs.join(gone, F.col(key) == F.col("_id"), "left").withColumn("_lines", F.split(F.col(text), "\n", -1))
     here = F.filter("removed", lambda p: p < F.size("_lines"))
@@ -112,6 +112,5 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     left = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
     return joined.select(
         *[F.when(F.col("removed").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size(here), F.lit(0)).alias("n_removed"),
+        *[F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size(here), F.lit(0)).alias("n_removed")][: 2 * counts],
     )

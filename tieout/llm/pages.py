@@ -203,12 +203,16 @@ def slots_of(shape: tuple) -> int:
     return 1 if shape == SLOT else sum(map(slots_of, shape[1]))
 
 
+@lru_cache(maxsize=50_000)
+def nodes_of(shape: tuple) -> int:
+    return 1 + sum(map(nodes_of, shape[1]))
+
+
 @lru_cache(maxsize=50_000)
 def align(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
     """Simple tree matching: how many nodes match, and which slots of ``a`` match which of ``b``."""
     if a == b:
-        n = slots_of(a)
-        return n + 1, tuple((i, i) for i in range(n))
+        return nodes_of(a), tuple((i, i) for i in range(slots_of(a)))
     if a[0] != b[0]:
         return 0, ()
     left, right = a[1], b[1]

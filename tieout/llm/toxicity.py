@@ -21,19 +21,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tieout.llm.common import blocks, offsets, raw
 
-ORDERS = (4, 5, 6)
+ORDERS = (5, 6, 7)
 BITS = 20
 MASK = (1 << BITS) - 1
 #: Labelled documents of each class that a fit takes at most, and bytes of their texts.
 PER_CLASS = 2500
 SAMPLE_BYTES = 96 << 20
 #: Buckets kept, the smoothing of counts, passes over the sample, and the strength of the penalty.
-KEPT, SMOOTHING, EPOCHS, PENALTY = 40_000, 1.0, 6, 1e-5
-#: A kept bucket's log ratio is at least this: e-fold rates. What is common to both classes tells nothing.
-TELLING = 1.0
+KEPT, SMOOTHING, EPOCHS, PENALTY = 40_000, 0.5, 15, 1e-5
+#: A kept bucket's log ratio is at least TELLING, and at least FIRM times its standard error.
+TELLING, FIRM = 2.0, 2.5
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -107,7 +108,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> Model:
     strength = np.where(counts.sum(axis=0) >= 3, np.abs(ratio) / error, 0)
     kept = np.argsort(-strength, kind="stable")[:KEPT]
     scale = np.zeros(1 << BITS)
-    scale[kept] = np.where((strength[kept] > 1) & (np.abs(ratio[kept]) >= TELLING), ratio[kept], 0)
+    scale[kept] = np.where((strength[kept] >= FIRM) & (np.abs(ratio[kept]) >= TELLING), ratio[kept], 0)
     slot = np.flatnonzero(scale)
     index = np.full(1 << BITS, -1)
     index[slot] = np.arange(len(slot))
@@ -178,16 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(weights, row["intercept"])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns ``key``, those of ``keep``, and ``score``: how likely each text is toxic. A row per row."""
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", whole: bool = False, name: str = "score") -> DataFrame:
+    """How likely each text is toxic, a row per row: column ``name`` beside ``key``, or with ``whole`` beside all columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key), F.struct(*keep or [F.lit(1).alias("none")]).alias("_kept"), F.col(text).alias("_text"))
+    rows = docs if whole else docs.select(key, text)
+    beside = rows.columns if whole else [key]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "_text", 4 << 20):
-            z = sums(sent.value, batch.column("_text")) + sent.value.intercept
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("_kept"), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], [key, "_kept", "_score"])
+        for batch in blocks(batches, text, 4 << 20):
+            z = sums(sent.value, batch.column(text)) + sent.value.intercept
+            chance = pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in beside], chance], [*beside, name])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(scored, f"`{key}` {kinds[key]}, _kept {kinds['_kept']}, _score double")
-    return out.select(F.col(key), *[F.col(f"_kept.`{c}`") for c in keep], F.col("_score").alias("score"))
+    return rows.mapInArrow(scored, StructType([*[rows.schema[c] for c in beside], StructField(name, DoubleType())]))
