@@ -20,9 +20,12 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. It learns from the labels of the documents that are here."""
+    """Documents that the classifier doesn't reject. It learns from the labels of the documents that are here;
+    without labels of both classes it knows nothing and rejects none."""
     reachable(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights.any():
+        return docs
     scored = toxicity.score(docs, model, whole=True, name="_toxic")
     return scored.filter(F.col("_toxic") < TOXIC).drop("_toxic")
 
