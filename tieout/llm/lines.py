@@ -105,12 +105,13 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, counts: bool = True) -> DataFrame:
     """The rows of ``docs`` with the texts that are left, and with ``counts`` how many lines each had and lost."""
-    gone = find_duplicates(docs, key, text, similarity).select(F.col(key).alias("_id"), "removed")
-    joined = docs.join(gone, F.col(key) == F.col("_id"), "left").withColumn("_lines", F.split(F.col(text), "\n", -1))
-    here = F.filter("removed", lambda p: p < F.size("_lines"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), here)
-    left = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
+    gone = find_duplicates(docs, key, text, similarity).select(F.col(key).alias("_dedup_id"), F.col("removed").alias("_dedup_gone"))
+    joined = docs.join(gone, F.col(key) == F.col("_dedup_id"), "left").withColumn("_dedup_lines", F.split(F.col(text), "\n", -1))
+    many = F.size("_dedup_lines")
+    here = F.filter("_dedup_gone", lambda p: p < many)
+    kept = F.array_except(F.sequence(F.lit(0), many - 1), here)
+    left = F.array_join(F.transform(kept, lambda i: F.get("_dedup_lines", i)), "\n")
     return joined.select(
-        *[F.when(F.col("removed").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns],
-        *[F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size(here), F.lit(0)).alias("n_removed")][: 2 * counts],
+        *[F.when(F.col("_dedup_gone").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns],
+        *[F.coalesce(many, F.lit(0)).alias("n_lines"), F.coalesce(F.size(here), F.lit(0)).alias("n_removed")][: 2 * counts],
     )
