@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, all in DataFrame functions.
 
-Lines are compared lowered and trimmed; equal ones are one line from then on. A line's signature is made
+Lines are compared trimmed; equal ones are one line from then on. A line's signature is made
 of least hashes over character shingles of ``SAMPLED`` characters that start where the text says so (after
 anything but a common Latin letter, so mostly at the starts of words), which is a sample of its shingles that
 does not depend on where in the line a change is. Bands of the signature bring candidates together: every
@@ -10,7 +10,7 @@ found by star contraction. Of each component the first line of the smallest docu
 place there; all other lines of the component go.
 
 Recall is that of the bands: a pair of similarity 0.8 in the sampled shingles is found with probability
-0.96 or more if it meets the band's smallest line, and lines that are similar to each other are mostly
+0.99 or more if it meets the band's smallest line, and lines that are similar to each other are mostly
 similar to the same smallest line. Nothing is paired within a band otherwise.
 
 A NULL text counts as empty. Blank lines are left as they are. Rows with the same id count as one document: a line that
@@ -30,20 +30,20 @@ from tieout.session import stored
 
 SIMILARITY = 0.8
 SHINGLE, SAMPLED = 5, 10
-BANDS, ROWS = 5, 3
+BANDS, ROWS = 7, 3
 #: Candidates' lines are looked up through a set of at most this many slots, which goes to every task.
 SLOTS = 1 << 20
 
-STARTS = r"(?s)(?<![a-ik-pr-wyß-öø-ÿ])(?=(\S.{0,%d}))" % (SAMPLED - 1)
+STARTS = r"(?s)(?<![a-ik-pr-wyA-Zß-öø-ÿ])(?=(\S.{0,%d}))" % (SAMPLED - 1)
 EVERY = r"(?s)(?=(.{%d}))" % SHINGLE
 MASKS = [random.Random(i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS)]
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, pos, line (lowered and trimmed, not blank), and its two hashes."""
+    """id, pos, line (trimmed, not blank), and its two hashes."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
     rows = rows.select("id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.select("id", "pos", F.lower(F.trim("line", F.lit(" \t\r\f\v"))).alias("line")).filter("line <> ''")
+    rows = rows.select("id", "pos", F.trim("line", F.lit(" \t\r\f\v")).alias("line")).filter("line <> ''")
     return rows.select("id", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
@@ -69,16 +69,16 @@ def pairs(signed: DataFrame) -> DataFrame:
     return bands.join(shared, "band").filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
 
 
-def verified(found: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(found: DataFrame, signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose sets of all shingles have this Jaccard similarity."""
     spark = found.sparkSession
-    wanted = stored(found.select(F.explode(F.array("a", "b")).alias("h")).distinct()).read(spark)
-    slot = F.pmod(F.col("h"), F.lit(SLOTS)).alias("slot")
-    likely = lines.select("h", "line", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
-    texts = stored(likely.select("h", "line").join(wanted, "h", "left_semi").dropDuplicates(["h"])).read(spark)
+    named = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    # A line's text is taken from its smallest document; which lines those may be, a bounded set tells every task.
+    wanted = stored(signed.select("h", F.col("least").alias("id")).join(named, "h", "left_semi")).read(spark)
+    slot = F.pmod(F.xxhash64("h", "id"), F.lit(SLOTS)).alias("slot")
+    likely = lines.select("h", "id", "line", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
+    texts = stored(likely.select("h", "id", "line").join(wanted, ["h", "id"], "left_semi").dropDuplicates(["h"]).select("h", "line")).read(spark)
     both = found.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    # Sets so different in size cannot be that similar.
-    short, long = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
     sets = both.select("a", "b", *[F.array_distinct(F.transform(_shingles(F.col(c), EVERY), lambda s: F.xxhash64(s))).alias(c) for c in "xy"])
     common = F.size(F.array_intersect("x", "y"))
     counted = sets.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
@@ -91,7 +91,7 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     lines = _lines(docs, key, text)
     signed = stored(signatures(lines)).read(spark)
     found = stored(pairs(signed)).read(spark)
-    classes = components(verified(found, lines, similarity)).read(spark)
+    classes = components(verified(found, signed, lines, similarity)).read(spark)
     # Lines that occur once and are like no other need no further look.
     several = signed.select("h", "g", "n", "least").join(classes.withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
     several = several.withColumn("component", F.coalesce("component", "h"))
