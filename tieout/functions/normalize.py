@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.functions.numbers import exact, number_text, strip_fraction_zeros, trimmed
+from tieout.functions.numbers import FINE_TYPE, INPUT_TYPE, REST_TYPE, below, exact, number_text, spelled, strip_fraction_zeros, trimmed
 
 NULL_TAG = "n:"
 
@@ -138,16 +138,58 @@ def finite(value: Column) -> Column:
     return F.abs(value.cast("double")) < F.lit(float("inf"))  # NaN sorts above infinity in Spark
 
 
-def comparable_number(value: Column, dtype: T.DataType, neat: Column | None = None) -> Column:
-    """A value as an exact number, or NULL for anything that is not one."""
+@dataclass(frozen=True)
+class Number:
+    """A value as a number: up to nine decimals, what lies below them (27 in all), and the spelling of a
+    number that fits neither. Parts that a type cannot have are None; NULL parts are blank."""
+
+    main: Column
+    rest: Column | None = None
+    spelling: Column | None = None
+
+
+def comparable_number(value: Column, dtype: T.DataType, neat: Column | None = None) -> Number:
+    """A value as an exact number; all parts are NULL for anything that is not one."""
     if isinstance(dtype, T.BooleanType):
-        return value.cast("int").cast("decimal(38,9)")
-    if isinstance(dtype, T.NumericType):
-        return exact(value)
+        return Number(value.cast("int").cast(INPUT_TYPE))
     if is_temporal(dtype) or isinstance(dtype, T.NullType):
-        return F.lit(None).cast("decimal(38,9)")
+        return Number(F.lit(None).cast(INPUT_TYPE))
+    if isinstance(dtype, T.IntegralType):
+        return Number(exact(value))
+    if isinstance(dtype, T.DecimalType):
+        wide, deep = dtype.precision - dtype.scale > 29, dtype.scale > 9
+        if not wide and not deep:
+            return Number(exact(value))
+        low = below(value) if deep else F.lit(0)
+        rest = low.try_cast(REST_TYPE) if deep else F.lit(None).cast(REST_TYPE)
+        main = (value - low).try_cast(INPUT_TYPE) if deep else exact(value)
+        fits = main.isNotNull() & (F.lit(True) if dtype.scale <= 27 else rest.cast(value_type(dtype)) == low)
+        return _parts(value.isNotNull(), fits, main, rest, spelled(value.cast("string")))
+    if isinstance(dtype, T.NumericType):
+        near = exact(value)
+        # Most values have nine decimals at most: then nothing else is worked out.
+        plain = near.cast("double") == value.cast("double") if isinstance(dtype, T.DoubleType) else F.lit(False)
+        return _deep(near, plain, value.cast("string"), finite(value))
     text = trimmed(value.cast("string")) if neat is None else neat
-    return F.when(text.rlike(LOOSE_NUMBER), exact(text))
+    return _deep(exact(text), ~text.rlike(r"\.\d{10}|[eE]"), text, text.rlike(LOOSE_NUMBER))
+
+
+def value_type(dtype: T.DecimalType) -> str:
+    return f"decimal({dtype.precision},{dtype.scale})"
+
+
+def _parts(present: Column, fits: Column, main: Column, rest: Column, spelling: Column) -> Number:
+    ok = present & fits
+    return Number(F.when(ok, main), F.when(ok & (rest != 0), rest), F.when(present & ~fits, spelling))
+
+
+def _deep(near: Column, plain: Column, text: Column, number: Column) -> Number:
+    """Of a number in text form: ``near`` is it with nine decimals, ``plain`` whether that is all of it."""
+    fine = text.try_cast(FINE_TYPE)
+    low = below(fine)
+    fits = near.isNotNull() & (plain | F.coalesce(spelled(fine.cast("string")) == spelled(text), F.lit(False)))
+    main = F.when(plain, near).otherwise((fine - low).try_cast(INPUT_TYPE))
+    return _parts(F.coalesce(number, F.lit(False)), fits, main, F.when(~plain, low.try_cast(REST_TYPE)), spelled(text))
 
 
 def display_part(tagged: Column) -> Column:
@@ -163,12 +205,3 @@ def composite_key(parts: list[Column]) -> Column:
         return F.lit("")
     pieces = [F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]
     return F.concat_ws("|", *pieces)
-
-
-def match_text(value: Column, dtype: T.DataType) -> Column:
-    """Text for matching a column against a key of another table: dates by day, numbers by value."""
-    if is_temporal(dtype):
-        return utc(value, dtype).cast("date").cast("string")
-    if is_number(dtype):
-        return number_text(value, dtype)
-    return value.cast("string")

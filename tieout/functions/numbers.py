@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,9 @@ from pyspark.sql import types as T
 INPUT_TYPE = "decimal(38,9)"
 SUM_TYPE = "decimal(37,9)"
 DELTA_TYPE = "decimal(38,9)"
+# What lies below nine decimals is summed apart; both together are one number of 27 decimals.
+REST_TYPE = "decimal(37,27)"
+FINE_TYPE = "decimal(38,27)"
 
 # The characters a text value is trimmed of.
 WHITESPACE = (
@@ -59,6 +64,29 @@ def nearly_equal(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
     return F.coalesce(close, a.isNull() & b.isNull())
 
 
+def spelled(text: Column) -> Column:
+    """The text of any number, with or without an exponent, written out in full: one spelling for one value."""
+    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    mantissa = F.regexp_extract(text, r"^[+-]?([0-9.]*)", 1)
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    digits = F.concat(whole, part)
+    short = F.ltrim(digits, F.lit("0"))
+    point = F.length(whole) - (F.length(digits) - F.length(short)) + exponent  # digits before the point
+    short = F.rtrim(short, F.lit("0"))
+    many = F.length(short)
+    plain = (
+        F.when(point >= many, F.concat(short, F.repeat(F.lit("0"), point - many)))
+        .when(point > 0, F.concat(F.left(short, point), F.lit("."), F.substring(short, point + 1, many)))
+        .otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), short))
+    )
+    return F.when(short == "", F.lit("0")).otherwise(F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), plain))
+
+
+def below(value: Column) -> Column:
+    """The part of a decimal below nine decimals, with its sign."""
+    return value % F.lit(Decimal("0.000000001")).cast("decimal(10,9)")
+
+
 def strip_fraction_zeros(text: Column) -> Column:
     """``1.50`` becomes ``1.5``, ``1.0`` becomes ``1`` and a zero loses its sign."""
     short = F.regexp_replace(text, r"\.0+$|(\.\d*?[1-9])0+$", "$1")
@@ -78,14 +106,11 @@ def number_text(value: Column, dtype: T.DataType) -> Column:
     whole = (x == F.floor(x)) & (F.abs(x) < F.lit(1e15))
     # Within this range Spark writes a fraction without an exponent and without trailing zeros.
     short = (F.abs(x) >= F.lit(1e-3)) & (F.abs(x) < F.lit(1e7))
-    fine = strip_fraction_zeros(F.coalesce(x.try_cast("decimal(38,18)").cast("string"), x.cast("string")))
+    # A float is the double of the same text, so that 0.1 is one value in either type.
+    fine = spelled(value.cast("string"))
     return F.when(whole, x.cast("bigint").cast("string")).when(short, x.cast("string")).otherwise(fine)
 
 
-def share(part: Column, whole: Column) -> Column:
-    return safe_divide(part, whole)
-
-
 def uniqueness(cardinality: Column, rows: Column) -> Column:
     """Distinct values per row, at most one; an empty table has none."""
     return F.when(rows > 0, F.least(F.lit(1.0), cardinality.cast("double") / rows)).otherwise(F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.functions.cells import EXACT, Piece, Tolerance, compare_cell, severity
+from tieout.functions.cells import EXACT, MULTIPLE, Piece, Tolerance, compare_cell, severity
 from tieout.functions.normalize import (
     NULL_TAG,
     Normalize,
@@ -32,7 +32,7 @@ from tieout.functions.normalize import (
     to_second,
     utc,
 )
-from tieout.functions.numbers import SUM_TYPE, trimmed
+from tieout.functions.numbers import REST_TYPE, SUM_TYPE, spelled, trimmed
 from tieout.model import Pair, Side, pairs, quoted, resolve
 from tieout.session import checkpointed
 
@@ -87,35 +87,47 @@ def _text_form(s_type: T.DataType, t_type: T.DataType) -> str | None:
         return "time"
     if not all(is_number(t) or isinstance(t, T.NullType) for t in (s_type, t_type)):
         return "text"
-    return "flag" if is_float(s_type) or is_float(t_type) else None
+    return "flag" if _wide(s_type) or _wide(t_type) else None
 
 
-def _text_value(value: Column, dtype: T.DataType, form: str, opts: Normalize, number: Column, neat: Column) -> Column:
-    """The text side of a value, NULL where it is blank or a number. ``number`` is the value as one."""
+def _wide(dtype: T.DataType) -> bool:
+    """Whether values of a number type may fit no sum of nine decimals (or, as floats, be no number)."""
+    return is_float(dtype) or isinstance(dtype, T.DecimalType) and (dtype.scale > 27 or dtype.precision - dtype.scale > 29)
+
+
+def _text_value(value: Column, dtype: T.DataType, form: str, opts: Normalize, number: Column, odd: Column, neat: Column) -> Column:
+    """The text side of a value, NULL where it is blank or a number. ``number`` is the value as one, ``odd``
+    the spelling of a number that fits no sum."""
     if form == "time":
         day = utc(value, dtype)
         return day.cast("date") if opts.granularity == "date" else to_second(day)
     if form == "flag":
-        return F.when(value.isNotNull() & number.isNull(), 1) if is_float(dtype) else F.lit(None).cast("int")
+        return F.when(value.isNotNull() & number.isNull() & odd.isNull(), 1) if is_float(dtype) else F.lit(None).cast("int")
+    spelling = F.concat(F.lit("d:"), odd)
     if is_number(dtype):
-        if not is_float(dtype):
-            return F.lit(None).cast("string")
-        return F.when(value.isNotNull() & ~finite(value), F.lit(NULL_TAG))
+        return F.when(odd.isNotNull(), spelling).when(value.isNotNull() & ~finite(value), F.lit(NULL_TAG)) if _wide(dtype) else F.lit(None).cast("string")
     present = value.isNotNull() if is_temporal(dtype) else value.isNotNull() & (value.cast("string") != "")
-    return F.when(present & number.isNull(), normalize_key(value, dtype, opts, neat))
+    return F.when(odd.isNotNull(), spelling).when(present & number.isNull(), normalize_key(value, dtype, opts, neat))
 
 
-def _piece(prefix: str, i: int, form: str | None, granularity: str) -> Piece:
+def _piece(prefix: str, i: int, form: str | None, granularity: str, columns) -> Piece:
+    part = lambda kind: F.col(f"{prefix}{kind}{i}") if f"{prefix}{kind}{i}" in columns else None
     number = F.col(f"{prefix}n{i}").cast(SUM_TYPE)
+    rest, odd = part("r"), part("o")
+    rest = None if rest is None else rest.cast(REST_TYPE)
     if form is None:
-        return Piece(number)
-    low, high = F.col(f"{prefix}lo{i}"), F.col(f"{prefix}hi{i}")
+        return Piece(number, rest=rest)
+    low, high = F.col(f"{prefix}lo{i}"), F.col(f"{prefix}hi{i}") if form != "flag" else None
     if form == "flag":
-        return Piece(number, F.when(low == 1, F.lit(NULL_TAG)), F.lit(False))
+        text = F.when(low == 1, F.lit(NULL_TAG))
+        if odd is not None:
+            least, most = part("wlo"), part("whi")
+            text = text.when(least < most, F.lit(f"d:{MULTIPLE}")).when(least.isNotNull(), F.concat(F.lit("d:"), spelled(least.cast("string"))))
+        return Piece(number, text, F.lit(False), rest, odd)
     several = F.coalesce(low != high, F.lit(False))
     if form == "time":
         return Piece(number, F.concat(F.lit("t:"), temporal_text(low, granularity)), several)
-    return Piece(number, low, several)
+    return Piece(number, low, several, rest, odd)
 
 
 @dataclass(frozen=True)
@@ -245,17 +257,26 @@ def compare(
             if not (is_number(dtype) or is_temporal(dtype) or isinstance(dtype, T.NullType)):
                 first.append(trimmed(quoted(n).cast("string")).alias(f"neat{i}"))
         rows = df.select(*first)
-        numbers = [
-            comparable_number(raw(nk + i), types[nk + i], neat(nk + i)).alias(f"number{i}") for i in range(len(values))
-        ]
+        numbers, parts = [], [comparable_number(raw(nk + i), types[nk + i], neat(nk + i)) for i in range(len(values))]
+        for i, found in enumerate(parts):
+            numbers.append(found.main.alias(f"number{i}"))
+            numbers.append((F.lit(None).cast(REST_TYPE) if found.rest is None else found.rest).alias(f"rest{i}"))
+            numbers.append((F.lit(None).cast("string") if found.spelling is None else found.spelling).alias(f"odd{i}"))
         mine = prefix == "s"
         out = [(k.source if mine else k.target).alias(f"k{i}") for i, k in enumerate(key_forms)]
         out += [F.lit(1 if mine else 0).alias("sr"), F.lit(0 if mine else 1).alias("tr")]
         for i, form in enumerate(forms):
             out.append(number(i).alias(f"{prefix}n{i}"))
+            odd = F.col(f"odd{i}")
             if form:
-                text = _text_value(raw(nk + i), types[nk + i], form, normalize, number(i), neat(nk + i))
+                text = _text_value(raw(nk + i), types[nk + i], form, normalize, number(i), odd, neat(nk + i))
                 out.append(text.alias(f"{prefix}t{i}"))
+            if parts[i].rest is not None:
+                out.append(F.col(f"rest{i}").alias(f"{prefix}r{i}"))
+            if parts[i].spelling is not None and form in ("flag", "text"):
+                out.append(F.when(odd.isNotNull(), F.xxhash64(odd).cast("decimal(20,0)")).alias(f"{prefix}o{i}"))
+                if form == "flag":
+                    out.append(odd.cast("double").alias(f"{prefix}w{i}"))
         return rows.select("*", *numbers).select(*out)
 
     stacked = layout("s", source.df, s_names, s_types).unionByName(
@@ -269,6 +290,9 @@ def compare(
                 aggs.append(F.min(f"{side}t{i}").alias(f"{side}lo{i}"))
             if form in ("time", "text"):
                 aggs.append(F.max(f"{side}t{i}").alias(f"{side}hi{i}"))
+            aggs += [F.sum(f"{side}{kind}{i}").alias(f"{side}{kind}{i}") for kind in "ro" if f"{side}{kind}{i}" in stacked.columns]
+            if f"{side}w{i}" in stacked.columns:
+                aggs += [F.min(f"{side}w{i}").alias(f"{side}wlo{i}"), F.max(f"{side}w{i}").alias(f"{side}whi{i}")]
     grouped = stacked.groupBy(*[f"k{i}" for i in range(nk)]).agg(*aggs)
     if nk == 0:
         grouped = grouped.where("source_row_count + target_row_count > 0")
@@ -278,7 +302,7 @@ def compare(
     tags = [k.tagged(f"k{i}", normalize.granularity) for i, k in enumerate(key_forms)]
     cells = [
         compare_cell(
-            _piece("s", i, form, normalize.granularity), _piece("t", i, form, normalize.granularity), tolerance
+            _piece("s", i, form, normalize.granularity, grouped.columns), _piece("t", i, form, normalize.granularity, grouped.columns), tolerance
         )
         for i, form in enumerate(forms)
     ]
