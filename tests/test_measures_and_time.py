@@ -15,7 +15,7 @@ from tieout.operators import patterns as P
 from tieout.operators import ranking as R
 from tieout.operators import timeintel as TI
 from tieout.operators.datedim import date_dimension
-from tieout.operators.fuzzy import fuzzy_values, value_list
+from tieout.operators.fuzzy import fuzzy_join, match_score, plain
 
 
 @pytest.fixture(scope="module")
@@ -225,12 +225,35 @@ def test_patterns(spark):
 
 def test_fuzzy_values(spark):
     regions = spark.createDataFrame([("West",), ("East",), ("North America",), (None,)], "r string")
-    values = value_list(regions, "r")
-    assert values == ["East", "North America", "West"] and value_list(regions, "r", limit=2) is None
     asked = spark.createDataFrame([("west",), ("wst",), ("america",), ("northamerca",), ("zzz",), ("the west side",), ("",)], "q string")
-    found = {r["q"]: (r["matched_value"], r["match_score"]) for r in fuzzy_values(asked, "q", values).collect()}
+    found = {r["q"]: (r["matched_value"], r["match_score"]) for r in fuzzy_join(asked, "q", regions, "r").collect()}
     assert found["west"] == ("West", 1.0) and found["america"] == ("North America", 0.82)
     assert found["northamerca"][0] == "North America" and found["northamerca"][1] == pytest.approx((1 - 1 / 12) * 0.78)
     assert found["wst"] == (None, None) and found["zzz"] == (None, None) and found[""] == (None, None)
-    by_word = {r["q"]: r["matched_value"] for r in fuzzy_values(asked, "q", values, by_word=True).collect()}
+    by_word = {r["q"]: r["matched_value"] for r in fuzzy_join(asked, "q", regions, "r", by_word=True).collect()}
     assert by_word["the west side"] == "West"
+
+
+def test_fuzzy_join_misses_no_accepted_pair(spark):
+    import random
+
+    chance = random.Random(4)
+    word = lambda n: "".join(chance.choice("abcd") for _ in range(n))
+    values = sorted({word(chance.randint(1, 12)) for _ in range(150)})
+
+    def edited(v):
+        letters = list(v)
+        for _ in range(chance.randint(0, 3)):
+            letters.insert(chance.randint(0, len(letters)), chance.choice("abcd")) if chance.random() < 0.5 else letters and letters.pop(chance.randrange(len(letters)))
+        return "".join(letters)
+
+    asked = spark.createDataFrame([(edited(chance.choice(values)),) for _ in range(200)], "q string").distinct()
+    known = spark.createDataFrame([(v,) for v in values], "r string")
+    for accept in (0.55, 0.62, 0.8, 0.9):
+        got = {r["q"]: (r["matched_value"], r["match_score"]) for r in fuzzy_join(asked, "q", known, "r", accept=accept).collect()}
+        every = asked.join(known, how="cross").select("q", "r", match_score(plain(F.col("q")), plain(F.col("r"))).alias("s")).collect()
+        want = {r["q"]: (None, None) for r in every}
+        for r in sorted(every, key=lambda r: (-r["s"], r["r"])):
+            if r["s"] >= accept and want[r["q"]] == (None, None) and len(r["q"]) > 1:
+                want[r["q"]] = (r["r"], r["s"])
+        assert got == want

@@ -243,7 +243,7 @@ def test_catalogue_and_sides(spark):
         describe(spark, {"t": df}, {"t": ["nope"]})
     df.createOrReplaceTempView("tieout_view")
     assert "id" in {r["column"] for r in describe_database(spark).where("table = 'tieout_view'").collect()}
-    assert not capped(spark.range(10), 10).truncated and capped(spark.range(11), 10).truncated
+    assert not capped(spark.range(10), 10).truncated and capped(spark.range(11), 10).truncated and capped(spark.range(11), 10).rows_seen == 11
     assert sql_side(spark, "select 1 as n").df.first()["n"] == 1
     with pytest.raises(ValueError):
         jdbc_query(spark, "jdbc:none", "select 1", partition_column="id")

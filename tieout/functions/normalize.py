@@ -148,7 +148,7 @@ class Number:
     spelling: Column | None = None
 
 
-def comparable_number(value: Column, dtype: T.DataType, neat: Column | None = None) -> Number:
+def comparable_number(value: Column, dtype: T.DataType, neat: Column | None = None, spell: Column | None = None) -> Number:
     """A value as an exact number; all parts are NULL for anything that is not one."""
     if isinstance(dtype, T.BooleanType):
         return Number(value.cast("int").cast(INPUT_TYPE))
@@ -157,21 +157,29 @@ def comparable_number(value: Column, dtype: T.DataType, neat: Column | None = No
     if isinstance(dtype, T.IntegralType):
         return Number(exact(value))
     if isinstance(dtype, T.DecimalType):
-        wide, deep = dtype.precision - dtype.scale > 29, dtype.scale > 9
+        wide, deep = dtype.precision - dtype.scale > 28, dtype.scale > 9
         if not wide and not deep:
             return Number(exact(value))
         low = below(value) if deep else F.lit(0)
         rest = low.try_cast(REST_TYPE) if deep else F.lit(None).cast(REST_TYPE)
-        main = (value - low).try_cast(INPUT_TYPE) if deep else exact(value)
+        main = exact(value - low) if deep else exact(value)
         fits = main.isNotNull() & (F.lit(True) if dtype.scale <= 27 else rest.cast(value_type(dtype)) == low)
-        return _parts(value.isNotNull(), fits, main, rest, spelled(value.cast("string")))
+        spelling = strip_fraction_zeros(value.cast("string")) if deep else value.cast("string")
+        return _parts(value.isNotNull(), fits, main, rest, spelling)
     if isinstance(dtype, T.NumericType):
-        near = exact(value)
-        # Most values have nine decimals at most: then nothing else is worked out.
+        # Most values have nine decimals at most: then nothing else is worked out. A float is its text.
+        near, fine = exact(value), value.cast("string").try_cast(FINE_TYPE)
         plain = near.cast("double") == value.cast("double") if isinstance(dtype, T.DoubleType) else F.lit(False)
-        return _deep(near, plain, value.cast("string"), finite(value))
+        return _deep(near, plain, fine, fine.cast(dtype) == value, spelled(value.cast("string")), finite(value))
     text = trimmed(value.cast("string")) if neat is None else neat
-    return _deep(exact(text), ~text.rlike(r"\.\d{10}|[eE]"), text, text.rlike(LOOSE_NUMBER))
+    spell = spelling_of(text) if spell is None else spell
+    fine = text.try_cast(FINE_TYPE)
+    return _deep(exact(text), spell.isNull(), fine, strip_fraction_zeros(fine.cast("string")) == spell, spell, text.rlike(LOOSE_NUMBER))
+
+
+def spelling_of(text: Column) -> Column:
+    """A number text in full where nine decimals may not hold it; NULL for most texts."""
+    return F.when(text.rlike(r"\.\d{10}|[eE]|\d{28}") & text.rlike(LOOSE_NUMBER), spelled(text))
 
 
 def value_type(dtype: T.DecimalType) -> str:
@@ -183,13 +191,12 @@ def _parts(present: Column, fits: Column, main: Column, rest: Column, spelling:
     return Number(F.when(ok, main), F.when(ok & (rest != 0), rest), F.when(present & ~fits, spelling))
 
 
-def _deep(near: Column, plain: Column, text: Column, number: Column) -> Number:
-    """Of a number in text form: ``near`` is it with nine decimals, ``plain`` whether that is all of it."""
-    fine = text.try_cast(FINE_TYPE)
+def _deep(near: Column, plain: Column, fine: Column, whole: Column, spelling: Column, number: Column) -> Number:
+    """``near`` and ``fine`` are a number with nine and with 27 decimals, ``plain`` and ``whole`` whether that is all of it."""
     low = below(fine)
-    fits = near.isNotNull() & (plain | F.coalesce(spelled(fine.cast("string")) == spelled(text), F.lit(False)))
-    main = F.when(plain, near).otherwise((fine - low).try_cast(INPUT_TYPE))
-    return _parts(F.coalesce(number, F.lit(False)), fits, main, F.when(~plain, low.try_cast(REST_TYPE)), spelled(text))
+    fits = near.isNotNull() & (plain | F.coalesce(whole, F.lit(False)))
+    main = F.when(plain, near).otherwise(exact(fine - low))
+    return _parts(F.coalesce(number, F.lit(False)), fits, main, F.when(~plain, low.try_cast(REST_TYPE)), spelling)
 
 
 def display_part(tagged: Column) -> Column:

@@ -29,8 +29,8 @@ def trimmed(text: Column) -> Column:
 
 
 def exact(value: Column) -> Column:
-    """Any number as a nine-decimal exact value; NULL when it does not fit."""
-    return value.try_cast(INPUT_TYPE)
+    """Any number as a nine-decimal exact value; NULL when it does not fit a sum."""
+    return value.try_cast(SUM_TYPE).cast(INPUT_TYPE)
 
 
 def addable(value: Column) -> Column:
@@ -65,7 +65,14 @@ def nearly_equal(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
 
 
 def spelled(text: Column) -> Column:
-    """The text of any number, with or without an exponent, written out in full: one spelling for one value."""
+    """The text of any number, with or without an exponent, written out in full: one spelling for one value.
+
+    Few rows need it; as a function over an array it adds no code to the rest of the plan's.
+    """
+    return F.get(F.transform(F.array(text), _spelled), F.lit(0))
+
+
+def _spelled(text: Column) -> Column:
     exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
     mantissa = F.regexp_extract(text, r"^[+-]?([0-9.]*)", 1)
     whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))

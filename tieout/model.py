@@ -19,6 +19,7 @@ class Side:
     executed_at: datetime | None = None
     truncated: bool = False
     query: str = ""
+    rows_seen: int | None = None  # how many rows the read had, where that was counted
 
 
 @dataclass(frozen=True)

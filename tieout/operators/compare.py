@@ -9,7 +9,7 @@ travels as one partial sum per task.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +28,12 @@ from tieout.functions.normalize import (
     is_number,
     is_temporal,
     normalize_key,
+    spelling_of,
     temporal_text,
     to_second,
     utc,
 )
-from tieout.functions.numbers import REST_TYPE, SUM_TYPE, spelled, trimmed
+from tieout.functions.numbers import REST_TYPE, SUM_TYPE, trimmed
 from tieout.model import Pair, Side, pairs, quoted, resolve
 from tieout.session import checkpointed
 
@@ -92,7 +93,7 @@ def _text_form(s_type: T.DataType, t_type: T.DataType) -> str | None:
 
 def _wide(dtype: T.DataType) -> bool:
     """Whether values of a number type may fit no sum of nine decimals (or, as floats, be no number)."""
-    return is_float(dtype) or isinstance(dtype, T.DecimalType) and (dtype.scale > 27 or dtype.precision - dtype.scale > 29)
+    return is_float(dtype) or isinstance(dtype, T.DecimalType) and (dtype.scale > 27 or dtype.precision - dtype.scale > 28)
 
 
 def _text_value(value: Column, dtype: T.DataType, form: str, opts: Normalize, number: Column, odd: Column, neat: Column) -> Column:
@@ -122,7 +123,7 @@ def _piece(prefix: str, i: int, form: str | None, granularity: str, columns) ->
         text = F.when(low == 1, F.lit(NULL_TAG))
         if odd is not None:
             least, most = part("wlo"), part("whi")
-            text = text.when(least < most, F.lit(f"d:{MULTIPLE}")).when(least.isNotNull(), F.concat(F.lit("d:"), spelled(least.cast("string"))))
+            text = text.when(least < most, F.lit(f"d:{MULTIPLE}")).when(least.isNotNull(), F.concat(F.lit("d:"), least.cast("string")))
         return Piece(number, text, F.lit(False), rest, odd)
     several = F.coalesce(low != high, F.lit(False))
     if form == "time":
@@ -208,6 +209,14 @@ def _columns(side: Side, names: list[str]) -> tuple[list[str], list[str]]:
     return [f for f in found if f], [n for n, f in zip(names, found) if f is None]
 
 
+def _padded(side: Side, missing: list[str]) -> Side:
+    return replace(side, df=side.df.select("*", *[F.lit(None).cast("string").alias(n.strip("[]")) for n in missing]))
+
+
+def _rows_read(side: Side) -> Column:
+    return F.lit(side.rows_seen).cast("bigint") if side.rows_seen is not None else side.df.agg(F.count("*")).scalar()
+
+
 def compare(
     source: Side | DataFrame,
     target: Side | DataFrame,
@@ -237,7 +246,11 @@ def compare(
 
     s_names, s_missing = _columns(source, [p.source for p in keys + values])
     t_names, t_missing = _columns(target, [p.target for p in keys + values])
-    if s_missing or t_missing:
+    if refused_side:
+        # A read cut short is refused before its columns are looked at; those it lacks count as blank.
+        source, target = _padded(source, s_missing), _padded(target, t_missing)
+        s_names, t_names = ([resolve(side.df, n) for n in names] for side, names in ((source, [p.source for p in keys + values]), (target, [p.target for p in keys + values])))
+    elif s_missing or t_missing:
         raise ValueError(
             "missing columns: "
             + ", ".join([f"source {n}" for n in s_missing] + [f"target {n}" for n in t_missing])
@@ -257,7 +270,9 @@ def compare(
             if not (is_number(dtype) or is_temporal(dtype) or isinstance(dtype, T.NullType)):
                 first.append(trimmed(quoted(n).cast("string")).alias(f"neat{i}"))
         rows = df.select(*first)
-        numbers, parts = [], [comparable_number(raw(nk + i), types[nk + i], neat(nk + i)) for i in range(len(values))]
+        spell = {i: F.col(f"spell{i}") for i in range(nk, nk + len(values)) if f"neat{i}" in rows.columns}
+        rows = rows.select("*", *[spelling_of(neat(i)).alias(f"spell{i}") for i in spell])
+        numbers, parts = [], [comparable_number(raw(nk + i), types[nk + i], neat(nk + i), spell.get(nk + i)) for i in range(len(values))]
         for i, found in enumerate(parts):
             numbers.append(found.main.alias(f"number{i}"))
             numbers.append((F.lit(None).cast(REST_TYPE) if found.rest is None else found.rest).alias(f"rest{i}"))
@@ -331,7 +346,8 @@ def compare(
     all_rows = tagged.drop(*[f"tag{i}" for i in range(nk)])
     tally = grouped.withColumn("status", status)
     drift = drift_ms(source, target)
-    summary = _summarise(tally, refused_side, drift, min_overlap, max_keys)
+    read = (_rows_read(source), _rows_read(target)) if refused_side else None
+    summary = _summarise(tally, refused_side, drift, min_overlap, max_keys, read=read)
     clear = F.lit(False) if refused_side else summary.select("refusal_kind").scalar().isNull()
     return Comparison(
         rows=all_rows.where(clear),
@@ -341,7 +357,7 @@ def compare(
         values=labels,
         text_values=frozenset(v for v, f in zip(labels, forms) if f),
         tagged_rows=tagged.where(clear),
-        summarise=lambda extra: _summarise(all_rows, refused_side, drift, min_overlap, max_keys, extra),
+        summarise=lambda extra: _summarise(all_rows, refused_side, drift, min_overlap, max_keys, extra, read),
     )
 
 
@@ -352,6 +368,7 @@ def _summarise(
     min_overlap: int,
     max_keys: int | None,
     extra: Sequence[Column] = (),
+    read: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     if truncated_side:
         rows = rows.where(F.lit(False))
@@ -415,8 +432,7 @@ def _summarise(
     clear = F.col("refusal_kind").isNull()
     return named.select(
         *[F.when(clear, F.col(c)).otherwise(F.lit(0)).cast("bigint").alias(c) for c in counts],
-        F.col("source_rows").cast("bigint").alias("source_rows"),
-        F.col("target_rows").cast("bigint").alias("target_rows"),
+        *[(F.col(c) if read is None else read[i]).cast("bigint").alias(c) for i, c in enumerate(("source_rows", "target_rows"))],
         F.lit(drift).cast("bigint").alias("drift_ms"),
         "refusal_kind",
         "refusal_side",

@@ -1,4 +1,4 @@
-"""Resolve typed values against the distinct values of a column."""
+"""Resolve typed values against the distinct values of a column, as a join without a bound on their number."""
 
 from __future__ import annotations
 
@@ -9,27 +9,17 @@ from pyspark.sql import functions as F
 
 from tieout.model import quoted
 
-# Scores and limits of the match, and the size up to which a column is a value list.
+# Scores and limits of the match.
 CONTAINS_SCORE = 0.82
 SIMILARITY_FLOOR = 0.7
 SIMILARITY_WEIGHT = 0.78
 ACCEPT = 0.62
-MAX_VALUES = 60
 
 
 def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def value_list(df: DataFrame, column: str, limit: int = MAX_VALUES) -> list[str] | None:
-    """The distinct values of a descriptive column, or None when it has more than ``limit``.
-
-    At most ``limit + 1`` values reach the driver.
-    """
-    rows = df.select(quoted(column).alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
-    return None if len(rows) > limit else sorted(str(r["v"]) for r in rows)
-
-
 def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
@@ -47,41 +37,74 @@ def match_score(wanted: Column, value: Column) -> Column:
     )
 
 
-def fuzzy_values(
-    requests: DataFrame, column: str, values: Sequence[str], accept: float = ACCEPT, by_word: bool = False, skip_words: Sequence[str] = ()
-) -> DataFrame:
+def _grams(text: Column) -> Column:
+    """All pieces of one, two and three characters."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def _edits(length: Column, share: float) -> Column:
+    """The most edits that a text of this length and an accepted partner can be apart."""
+    return F.floor(length * (share / (1 - share)) + 1e-9).cast("int")
+
+
+def _cut(length: Column, share: float, i: Column) -> Column:
+    """Where piece ``i`` of a text of this length begins, from 0; the pieces are one more than its edits."""
+    return F.floor(length * i / (_edits(length, share) + 1)).cast("int")
+
+
+def _close_pairs(wanted: DataFrame, known: DataFrame, share: float) -> DataFrame:
+    """Pairs of texts at most ``share`` of the longer one's length apart in edits, and some others.
+
+    A known text is cut into one piece more than the edits there can be, so one piece stands unchanged in
+    its partner, moved by no more than the edits. Texts that share a piece so are the candidates.
+    """
+    k = F.col("k")
+    size = F.length(k)
+    pieces = F.transform(F.sequence(F.lit(0), _edits(size, share)), lambda i: F.struct(i.alias("i"), F.substring(k, _cut(size, share, i) + 1, _cut(size, share, i + 1) - _cut(size, share, i)).alias("piece")))
+    known = known.filter("k <> ''").select("k", size.alias("n"), F.inline(pieces))
+    w = F.col("w")
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(F.length(w) * (1 - share) - 1e-9).cast("int")), F.floor(F.length(w) / (1 - share) + 1e-9).cast("int"))
+    asked = wanted.filter("w <> ''").select("w", F.explode(lengths).alias("n"))
+    asked = asked.select("w", "n", _edits(F.col("n"), share).alias("edits"))
+    asked = asked.select("w", "n", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("i"))
+    begin = _cut(F.col("n"), share, F.col("i"))
+    asked = asked.select("w", "n", "i", "edits", begin.alias("begin"), (_cut(F.col("n"), share, F.col("i") + 1) - begin).alias("size"))
+    moved = F.sequence(F.greatest(F.lit(0), F.col("begin") - F.col("edits")), F.col("begin") + F.col("edits"))
+    asked = asked.select("w", "n", "i", F.explode(F.array_distinct(F.transform(moved, lambda s: F.substring(w, s + 1, F.col("size"))))).alias("piece"))
+    return asked.join(known, ["n", "i", "piece"]).select("w", "k")
+
+
+def fuzzy_join(requests: DataFrame, column: str, values: DataFrame, value: str, accept: float = ACCEPT, by_word: bool = False, skip_words: Sequence[str] = ()) -> DataFrame:
     """Each request with its best value and score; NULL where nothing scores ``accept``.
 
-    ``values`` is a bounded value list (see ``value_list``), so it travels inside the expression:
-    every request is scored where it is, nothing is shuffled and no pairs are written out. Equal
-    scores go to the first value in order. ``by_word`` also tries the single words of a request.
+    Distinct texts are matched once, however many rows have them, and there is no bound on how many values
+    there are. Candidates come from equality, from the first letters of a text inside the other, and from
+    an unchanged piece of close texts; together they miss no pair that is accepted. Equal scores go to the
+    first value in order. ``by_word`` also tries the single words of a request.
     """
-    if len(values) > MAX_VALUES:
-        raise ValueError(f"a value list holds at most {MAX_VALUES} values")
-    texts = F.array(quoted(column))
-    if by_word:
-        texts = F.concat(texts, F.split(quoted(column), r"\s+"))
-    usable = lambda t: (F.length(F.trim(t)) > 1) & ~F.lower(F.trim(t)).isin(*skip_words) if skip_words else F.length(F.trim(t)) > 1
-    wanted = F.transform(F.filter(texts, usable), plain)
-    listed = F.array(
-        *[
-            F.struct(F.lit(v).alias("value"), F.lit("".join(c for c in v.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789")).alias("key"), F.lit(-i).alias("turn"))
-            for i, v in enumerate(values)
-        ]
-    )
-    scored = F.transform(
-        listed,
-        lambda v: F.struct(
-            F.coalesce(F.array_max(F.transform(F.col("__wanted"), lambda w: match_score(w, v["key"]))), F.lit(0.0)).alias("score"),
-            v["turn"].alias("turn"),
-            v["value"].alias("value"),
-        ),
-    )
-    best = F.array_max(scored)
-    out = requests.withColumn("__wanted", wanted).withColumn("__best", best)
-    ok = F.col("__best.score") >= accept
-    return out.select(
-        *[quoted(c) for c in requests.columns],
-        F.when(ok, F.col("__best.value")).alias("matched_value"),
-        F.when(ok, F.col("__best.score")).alias("match_score"),
-    )
+    if not 0 < accept <= 1:
+        raise ValueError("accept is above 0 and at most 1")
+    usable = lambda t: (F.length(F.trim(t)) > 1) & ~F.lower(F.trim(t)).isin(*skip_words) if skip_words else F.length(F.trim(t)) > 1
+    listed = requests.select(quoted(column).alias("text")).distinct()
+    texts = F.concat(F.array("text"), F.split("text", r"\s+")) if by_word else F.array("text")
+    listed = listed.select("text", F.explode(F.array_distinct(F.transform(F.filter(texts, usable), plain))).alias("w"))
+    listed = listed.filter("w <> ''")
+    wanted = listed.select("w").distinct()
+    named = values.select(quoted(value).cast("string").alias("v")).filter("v is not null").distinct().select("v", plain(F.col("v")).alias("k")).filter("k <> ''")
+    known = named.groupBy("k").agg(F.min("v").alias("v"))
+    keys = known.select("k")
+    head = lambda t: F.left(t, F.least(F.length(t), F.lit(3)))
+    inside = wanted.filter(F.length("w") > 2).select("w", head(F.col("w")).alias("piece")).join(keys.select("k", F.explode(_grams(F.col("k"))).alias("piece")), "piece")
+    around = keys.select("k", head(F.col("k")).alias("piece")).join(wanted.filter(F.length("w") > 2).select("w", F.explode(_grams(F.col("w"))).alias("piece")), "piece")
+    pairs = wanted.join(keys, F.col("w") == F.col("k")).select("w", "k")
+    if accept <= CONTAINS_SCORE:
+        pairs = pairs.unionAll(inside.select("w", "k")).unionAll(around.select("w", "k"))
+    floor = max(SIMILARITY_FLOOR, accept / SIMILARITY_WEIGHT)
+    if floor < 1:
+        pairs = pairs.unionAll(_close_pairs(wanted, keys, 1 - floor))
+    scored = pairs.distinct().select("w", "k", match_score(F.col("w"), F.col("k")).alias("score")).filter(F.col("score") >= accept)
+    # The least pair of a falling score and a value is the first value of the best score.
+    best = scored.join(known, "k").join(listed, "w").groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("s"), "v")).alias("b"))
+    found = best.select(F.col("text").alias("__text"), F.col("b.v").alias("matched_value"), (-F.col("b.s")).alias("match_score"))
+    return requests.join(found, quoted(column) == F.col("__text"), "left").select(*[quoted(c) for c in requests.columns], "matched_value", "match_score")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tieout.model import Measure
+from tieout.model import Measure, Side
 from tieout.operators import checks as C
 from tieout.operators.compare import compare
 from tieout.plans import gate as G
@@ -237,8 +237,10 @@ def snapshot_freshness(t):
     """SELECT CAST(ABS(epoch_ms(MAX(o_orderdate)) - epoch_ms(MIN(o_orderdate))) AS BIGINT) AS drift_ms FROM orders"""
 )
 def read_drift(t):
-    ends = t.orders.agg(F.min("o_orderdate").cast("timestamp").alias("a"), F.max("o_orderdate").cast("timestamp").alias("b"))
-    return ends.select(F.abs(F.unix_millis("b") - F.unix_millis("a")).alias("drift_ms"))
+    """The first and the last order's days as the times of two reads, whose distance the comparison reports."""
+    ends = t.orders.agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")).first()
+    sides = [Side(t.orders, executed_at=at) for at in ends]
+    return compare(*sides, ["o_orderkey"], ["o_totalprice"]).summary.select("drift_ms")
 
 
 CATALOGUE_KEYS = {"orders": ["o_orderkey"], "customer": ["c_custkey"], "lineitem": ["l_orderkey", "l_linenumber"]}

@@ -288,6 +288,28 @@ def compare_text_cells(t):
     return result.rows.select("cust", "status", *[f"{v}_{p}" for v in ("priority", "day") for p in parts])
 
 
+CHANGED_ROWS = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderkey % 500 = 0 THEN 'mismatch' ELSE 'match' END AS status FROM orders"
+
+
+def scaled(df: DataFrame, factor: float, change) -> DataFrame:
+    amount = F.col("o_totalprice") * F.lit(factor)
+    return df.select("o_orderkey", F.when(F.col("o_orderkey") % 500 == 0, change(amount)).otherwise(amount).alias("amount"))
+
+
+@query(CHANGED_ROWS)
+def compare_huge_values(t):
+    """Amounts beyond any sum's digits: a doubled one is still found."""
+    result = compare(scaled(t.orders, 1e25, lambda a: a), scaled(t.orders, 1e25, lambda a: a * 2), ["o_orderkey"], ["amount"])
+    return result.rows.select("o_orderkey", "status")
+
+
+@query(CHANGED_ROWS)
+def compare_tiny_values(t):
+    """Amounts below nine decimals: one raised by a part of them is still found."""
+    result = compare(scaled(t.orders, 1e-12, lambda a: a), scaled(t.orders, 1e-12, lambda a: a + 3.6e-10), ["o_orderkey"], ["amount"])
+    return result.rows.select("o_orderkey", "status")
+
+
 @query(
     refused_sql("noKeyOverlap", source_keys="(SELECT COUNT(DISTINCT o_orderkey) FROM orders)", target_keys="(SELECT COUNT(DISTINCT o_orderkey) FROM orders)")
 )
@@ -296,9 +318,9 @@ def compare_refusal_no_overlap(t):
     return counts(compare(t.orders, target, ["o_orderkey"], ["o_totalprice"]))
 
 
-@query(refused_sql("truncated", "'target'", rows="0"))
+@query(refused_sql("truncated", "CASE WHEN (SELECT COUNT(*) FROM orders) > 100 THEN 'target' END"))
 def compare_refusal_truncated(t):
-    """A read that hits its row cap is refused, and neither side's rows are compared."""
+    """A read that passes its row cap is refused; the rows of both reads are counted, none are compared."""
     return counts(compare(Side(t.orders), capped(t.orders, 100), ["o_orderkey"], ["o_totalprice"]))
 
 

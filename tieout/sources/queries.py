@@ -5,11 +5,9 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tieout.model import Side
 
-ROW_CAP = 20_000_000
 FETCH_SIZE = 10_000
 
 
@@ -43,15 +41,16 @@ def jdbc_query(
     )
 
 
-def capped(df: DataFrame, cap: int = ROW_CAP, label: str = "", query: str = "") -> Side:
-    """A side that knows whether it exceeds a row cap.
+def capped(df: DataFrame, cap: int, label: str = "", query: str = "") -> Side:
+    """A side that knows whether it exceeds a row cap that the caller names.
 
-    The test reads no columns and at most ``cap + 1`` rows of each partition. The rows themselves are
-    not cut: within the cap there is nothing to cut, and beyond it the comparison is refused.
+    Rows are counted where they are; no columns are read and no rows are moved. The rows themselves are
+    not cut: within the cap there is nothing to cut, and beyond it the comparison is refused and says
+    how many rows there were.
     """
     read_at = datetime.now(timezone.utc)
-    seen = df.select(F.lit(1)).limit(cap + 1).count()
-    return Side(df, label=label, executed_at=read_at, truncated=seen > cap, query=query)
+    seen = df.count()
+    return Side(df, label=label, executed_at=read_at, truncated=seen > cap, query=query, rows_seen=seen)
 
 
 def side(df: DataFrame, label: str = "", query: str = "") -> Side:
