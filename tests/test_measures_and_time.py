@@ -257,3 +257,17 @@ def test_fuzzy_join_misses_no_accepted_pair(spark):
             if r["s"] >= accept and want[r["q"]] == (None, None) and len(r["q"]) > 1:
                 want[r["q"]] = (r["r"], r["s"])
         assert got == want
+
+
+def test_filters_of_measures_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(1, 2.0, "a"), (2, 3.0, "b"), (3, 5.0, "c")], "k int, v double, s string").write.parquet(path)
+    df = spark.read.parquet(path)
+    whole = M.Measure("v", "sum", F.col("v"))
+    one, other = whole.refine(F.col("k") > 1, "one"), whole.refine(F.col("s") == "a", "other")
+    found = M.evaluate(df, [one, other])
+    plan = found._jdf.queryExecution().toString()
+    assert "GreaterThan(k,1)" in plan and "EqualTo(s,a)" in plan
+    assert tuple(found.first()) == (8, 2)
+    assert tuple(M.evaluate(df, [one.refine(F.col("k") > 9)]).first()) == (None,)
+    assert M.evaluate(df, [one, whole]).first()["v"] == 10

@@ -1,12 +1,14 @@
 """Measures over a star schema: row sources, filters, lookups, grouping.
 
 A measure is an aggregate expression, so any number of them shares one pass. Filters become part of
-the aggregate (``sum(when(filter, x))``) unless every measure has the same one.
+the aggregate (``sum(when(filter, x))``); without groups, rows that no measure takes are not read at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,9 @@ def evaluate(
     columns computed so far, so a ratio is always recomputed from its parts.
     """
     rows = df if where is None else df.where(where)
+    if not by and measures and all(m.where for m in measures):
+        # Rows that no measure takes need not be read. With groups they would be: a group may be empty.
+        rows = rows.where(reduce(or_, [reduce(and_, m.where) for m in measures]))
     keys = [quoted(b) if isinstance(b, str) else b for b in by]
     out = rows.groupBy(*keys).agg(*[aggregate(m).alias(m.name) for m in measures])
     for name, formula in (derived or {}).items():
