@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tieout.functions.numbers import FINE_TYPE, INPUT_TYPE, REST_TYPE, below, exact, number_text, spelled, strip_fraction_zeros, trimmed
+from tieout.functions.numbers import FINE_TYPE, INPUT_TYPE, REST_TYPE, below, exact, number_text, spelled, strip_fraction_zeros, summable, trimmed
 
 NULL_TAG = "n:"
 
@@ -157,24 +157,24 @@ def comparable_number(value: Column, dtype: T.DataType, neat: Column | None = No
     if isinstance(dtype, T.IntegralType):
         return Number(exact(value))
     if isinstance(dtype, T.DecimalType):
-        wide, deep = dtype.precision - dtype.scale > 28, dtype.scale > 9
+        wide, deep = dtype.precision - dtype.scale > 29, dtype.scale > 9
         if not wide and not deep:
             return Number(exact(value))
         low = below(value) if deep else F.lit(0)
         rest = low.try_cast(REST_TYPE) if deep else F.lit(None).cast(REST_TYPE)
-        main = exact(value - low) if deep else exact(value)
+        main = summable(value - low) if deep else summable(value)
         fits = main.isNotNull() & (F.lit(True) if dtype.scale <= 27 else rest.cast(value_type(dtype)) == low)
         spelling = strip_fraction_zeros(value.cast("string")) if deep else value.cast("string")
         return _parts(value.isNotNull(), fits, main, rest, spelling)
     if isinstance(dtype, T.NumericType):
         # Most values have nine decimals at most: then nothing else is worked out. A float is its text.
-        near, fine = exact(value), value.cast("string").try_cast(FINE_TYPE)
+        near, fine = summable(value), value.cast("string").try_cast(FINE_TYPE)
         plain = near.cast("double") == value.cast("double") if isinstance(dtype, T.DoubleType) else F.lit(False)
         return _deep(near, plain, fine, fine.cast(dtype) == value, spelled(value.cast("string")), finite(value))
     text = trimmed(value.cast("string")) if neat is None else neat
     spell = spelling_of(text) if spell is None else spell
     fine = text.try_cast(FINE_TYPE)
-    return _deep(exact(text), spell.isNull(), fine, strip_fraction_zeros(fine.cast("string")) == spell, spell, text.rlike(LOOSE_NUMBER))
+    return _deep(summable(text), spell.isNull(), fine, strip_fraction_zeros(fine.cast("string")) == spell, spell, text.rlike(LOOSE_NUMBER))
 
 
 def spelling_of(text: Column) -> Column:
@@ -195,7 +195,7 @@ def _deep(near: Column, plain: Column, fine: Column, whole: Column, spelling: Co
     """``near`` and ``fine`` are a number with nine and with 27 decimals, ``plain`` and ``whole`` whether that is all of it."""
     low = below(fine)
     fits = near.isNotNull() & (plain | F.coalesce(whole, F.lit(False)))
-    main = F.when(plain, near).otherwise(exact(fine - low))
+    main = F.when(plain, near).otherwise(summable(fine - low))
     return _parts(F.coalesce(number, F.lit(False)), fits, main, F.when(~plain, low.try_cast(REST_TYPE)), spelling)
 
 

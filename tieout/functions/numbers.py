@@ -29,7 +29,12 @@ def trimmed(text: Column) -> Column:
 
 
 def exact(value: Column) -> Column:
-    """Any number as a nine-decimal exact value; NULL when it does not fit a sum."""
+    """Any number as a nine-decimal exact value; NULL when it does not fit."""
+    return value.try_cast(INPUT_TYPE)
+
+
+def summable(value: Column) -> Column:
+    """The same, but NULL already where it does not fit a sum."""
     return value.try_cast(SUM_TYPE).cast(INPUT_TYPE)
 
 
