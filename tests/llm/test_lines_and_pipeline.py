@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 import public_tokenizers
 from test_scans import fingerprint, grouped, windows_of
 from tokenizers import Tokenizer
@@ -80,6 +81,27 @@ def test_lines_against_brute_force(spark):
     assert all(r["removed"] == "z" and r["n_lines"] >= r["n_removed"] for r in out)
 
 
+@pytest.mark.parametrize("few", [2, 256])
+def test_similar_lines_of_one_template_meet(spark, monkeypatch, few):
+    """Pairs at 0.8 or more among many different lines that share most of their text."""
+    monkeypatch.setattr(lines, "FEW", few, raising=False)
+    chance = random.Random(4)
+    text = lambda n: "".join(chance.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)).strip().ljust(n, "q")
+    head, docs = text(150), []
+    for key in range(0, 600, 2):
+        own = head + text(60)
+        for at in range(200, 0, -1):  # a twin as far off as is still a pair
+            twin = own[:at] + text(len(own) - at)
+            if len(shingles(own) & shingles(twin)) < 0.8 * len(shingles(own) | shingles(twin)):
+                break
+            last = twin
+        docs += [(key, own), (key + 1, last)]
+    out = lines.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    gone = {r["doc_id"] for r in out if r["n_removed"]}
+    want = {k for (k, t), (_, w) in zip(docs, brute(docs)) if t != w}
+    assert len(want) == 300 and gone <= want and len(gone) >= 0.97 * len(want)  # the bands' recall
+
+
 def test_line_query_on_a_small_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{folder}/documents.parquet").to_pylist()]

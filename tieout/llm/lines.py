@@ -1,17 +1,17 @@
 """Fuzzy line deduplication by MinHash, all in DataFrame functions.
 
-Lines are compared trimmed; equal ones are one line from then on. A line's signature is made
-of least hashes over character shingles of ``SAMPLED`` characters that start where the text says so (after
-anything but a common Latin letter, so mostly at the starts of words), which is a sample of its shingles that
-does not depend on where in the line a change is. Bands of the signature bring candidates together: every
-line of a band is paired with the band's smallest line, in ``BANDS`` bands. Each pair is then verified by
-the exact Jaccard similarity of all shingles of ``SHINGLE`` characters. The verified pairs' components are
-found by star contraction. Of each component the first line of the smallest document stays, at its first
+Lines are compared trimmed; equal ones are one line from then on. A line's signature is made of least hashes
+over all its shingles of ``SHINGLE`` characters, the ones that are verified. Bands of the signature bring
+candidates together, in ``BANDS`` bands. First every line of a band is paired with the band's smallest line,
+and pairs are verified by the exact Jaccard similarity of their shingles. Then the lines of a band that are not
+yet connected are compared with each other and with all others of the band: directly in bands of up to ``FEW`` lines,
+and in larger ones where two lines share one of their rarest shingles in the band. Two lines of a similarity share
+one of so many of their rarest shingles that no similar pair of a band is passed over. The components of all verified
+pairs are found by star contraction. Of each component the first line of the smallest document stays, at its first
 place there; all other lines of the component go.
 
-Recall is that of the bands: a pair of similarity 0.8 in the sampled shingles is found with probability
-0.99 or more if it meets the band's smallest line, and lines that are similar to each other are mostly
-similar to the same smallest line. Nothing is paired within a band otherwise.
+Recall is that of the bands alone: two lines of similarity 0.8 meet in a band with probability 0.99, and any two
+lines that meet end up compared or already connected.
 
 A NULL text counts as empty. Blank lines are left as they are. Rows with the same id count as one document: a line that
 stays, stays in each of them at its first place. A line of less than ``SHINGLE`` characters is its own
@@ -29,12 +29,13 @@ from tieout.llm.common import components
 from tieout.session import stored
 
 SIMILARITY = 0.8
-SHINGLE, SAMPLED = 5, 10
+SHINGLE = 5
 BANDS, ROWS = 7, 3
+#: Lines of a band with at most this many are compared without a look at their rarest shingles.
+FEW = 256
 #: Candidates' lines are looked up through a set of at most this many slots, which goes to every task.
 SLOTS = 1 << 20
 
-STARTS = r"(?s)(?<![a-ik-pr-wyA-Zß-öø-ÿ])(?=(\S.{0,%d}))" % (SAMPLED - 1)
 EVERY = r"(?s)(?=(.{%d}))" % SHINGLE
 MASKS = [random.Random(i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS)]
 
@@ -47,14 +48,14 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("id", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
-def _shingles(line: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+def _shingles(line: Column) -> Column:
+    found = F.regexp_extract_all(line, F.lit(EVERY), F.lit(1))
     return F.when(F.size(found) > 0, found).otherwise(F.array(line))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """A row per distinct line: its hashes, how often it occurs, its smallest document, and its bands."""
-    each = lines.select("id", "h", "g", F.posexplode(_shingles(F.col("line"), STARTS)).alias("at", "shingle"))
+    each = lines.select("id", "h", "g", F.posexplode(_shingles(F.col("line"))).alias("at", "shingle"))
     each = each.select("id", "h", "g", "at", F.xxhash64("shingle").alias("x"))
     least = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)]
     distinct = each.groupBy("h", "g").agg(F.sum((F.col("at") == 0).cast("int")).alias("n"), F.min("id").alias("least"), *least)
@@ -62,26 +63,61 @@ def signatures(lines: DataFrame) -> DataFrame:
     return distinct.select("h", "g", "n", "least", *bands)
 
 
-def pairs(signed: DataFrame) -> DataFrame:
-    """Columns a and b: each line of a band with the band's smallest line."""
+def shared(signed: DataFrame) -> DataFrame:
+    """Columns band and h: the lines of every band that has more than one."""
     bands = signed.select("h", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
-    shared = bands.groupBy("band").agg(F.min("h").alias("b"), F.max("h").alias("top")).filter("b <> top").select("band", "b")
-    return bands.join(shared, "band").filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
+    several = bands.groupBy("band").agg(F.min("h").alias("b"), F.max("h").alias("top")).filter("b <> top").select("band")
+    return bands.join(several, "band").distinct()
 
 
-def verified(found: DataFrame, signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets of all shingles have this Jaccard similarity."""
-    spark = found.sparkSession
-    named = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+def pairs(bands: DataFrame) -> DataFrame:
+    """Columns a and b: each line of a band with the band's smallest line."""
+    least = bands.groupBy("band").agg(F.min("h").alias("b"))
+    return bands.join(least, "band").filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
+
+
+def unconnected(bands: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Columns a and b: all pairs of a band that are not of one component and may have this similarity."""
+    placed = bands.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    several = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    held = stored(placed.join(several.filter("low <> high").select("band", "n"), "band")).read(bands.sparkSession)
+    few = held.filter(F.col("n") <= FEW).select("band", F.lit(0).cast("long").alias("x"), "h", "component")
+    # Of two similar sets each has one of the other's among so many of its rarest, in any one order of all.
+    named = texts.join(held.filter(F.col("n") > FEW).select("h").distinct(), "h", "left_semi").select("h", "size", _hashes(F.col("line")).alias("xs"))
+    each = held.filter(F.col("n") > FEW).join(named, "h").select("band", "h", "component", "size", F.explode("xs").alias("x"))
+    each = each.join(each.groupBy("band", "x").agg(F.count("*").alias("often")), ["band", "x"])
+    ordered = each.groupBy("band", "h", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
+    many = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
+    rare = ordered.select("band", "h", "component", F.explode(F.slice("xs", F.lit(1), many)).alias("s")).filter("s.often > 1")
+    met = stored(few.unionByName(rare.select("band", F.col("s.x").alias("x"), "h", "component"))).read(bands.sparkSession)
+    # One end of each pair is outside the largest component of those that meet.
+    largest = met.groupBy("band", "x", "component").count().groupBy("band", "x").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    outside = met.join(largest, ["band", "x"]).filter("component <> largest").select("band", "x", F.col("h").alias("o"), F.col("component").alias("c"))
+    both = outside.join(met, ["band", "x"]).filter("c <> component")
+    return both.select(F.greatest("o", "h").alias("a"), F.least("o", "h").alias("b")).distinct()
+
+
+def texts_of(named: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Columns h, line and size (of its set of shingles) of the lines that ``named`` holds."""
+    spark = named.sparkSession
     # A line's text is taken from its smallest document; which lines those may be, a bounded set tells every task.
     wanted = stored(signed.select("h", F.col("least").alias("id")).join(named, "h", "left_semi")).read(spark)
     slot = F.pmod(F.xxhash64("h", "id"), F.lit(SLOTS)).alias("slot")
     likely = lines.select("h", "id", "line", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
-    texts = stored(likely.select("h", "id", "line").join(wanted, ["h", "id"], "left_semi").dropDuplicates(["h"]).select("h", "line")).read(spark)
-    both = found.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    sets = both.select("a", "b", *[F.array_distinct(F.transform(_shingles(F.col(c), EVERY), lambda s: F.xxhash64(s))).alias(c) for c in "xy"])
+    return likely.select("h", "id", "line").join(wanted, ["h", "id"], "left_semi").dropDuplicates(["h"]).select("h", "line", F.size(_hashes(F.col("line"))).alias("size"))
+
+
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+
+
+def verified(found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets of all shingles have this Jaccard similarity."""
+    both = found.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("size").alias("m")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("size").alias("n")), "b")
+    both = both.filter(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
+    sets = both.select("a", "b", (F.col("m") + F.col("n")).alias("sizes"), *[_hashes(F.col(c)).alias(c) for c in "xy"])
     common = F.size(F.array_intersect("x", "y"))
-    counted = sets.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    counted = sets.select("a", "b", common.alias("common"), "sizes")
     return counted.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
@@ -90,8 +126,11 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     spark = docs.sparkSession
     lines = _lines(docs, key, text)
     signed = stored(signatures(lines)).read(spark)
-    found = stored(pairs(signed)).read(spark)
-    classes = components(verified(found, signed, lines, similarity)).read(spark)
+    bands = stored(shared(signed)).read(spark)
+    texts = stored(texts_of(bands.select("h").distinct(), signed, lines)).read(spark)
+    close = stored(verified(pairs(bands), texts, similarity)).read(spark)
+    further = verified(unconnected(bands, components(close).read(spark), texts, similarity), texts, similarity)
+    classes = components(close.unionByName(further)).read(spark)
     # Lines that occur once and are like no other need no further look.
     several = signed.select("h", "g", "n", "least").join(classes.withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
     several = several.withColumn("component", F.coalesce("component", "h"))
