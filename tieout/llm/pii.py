@@ -2,12 +2,14 @@
 
 Generators propose spans with high recall, also ones that overlap: four base kinds with fixed checks, and
 looser kinds that no check settles. Each proposal gets features of its format and of the text around it.
-What the checks say of the base kinds, and whether a loose number is one of the accepted base spans, are
-the labels; features and labels are counted by combination (a bounded table), and trees are boosted over
-those counts on the driver. Half of the documents fit the trees, the other half sets the threshold: the
-lowest score at which the chosen proposals reach ``PRECISION``. The trees become one expression. Base
-spans that pass their checks always stay; a loose proposal stays if it scores above the threshold and
-overlaps none of them.
+What the checks say is the label of the base kinds. A loose proposal's label is evidence for it: the check digits
+of an account, and for the other kinds a word for such data within ``NEAR`` characters before it, or the same address or
+number in an accepted base span of the text. Features and labels are counted by combination (a bounded
+table), and trees are boosted over those counts on the driver. Half of the documents fit the trees, the other half
+sets a threshold for each loose kind, from its proposals that overlap no accepted base span: the lowest score
+at which the chosen ones reach ``PRECISION``. The trees become one expression. Base spans that pass their checks
+always stay; a loose proposal stays if it reaches its kind's threshold and overlaps none of them. A loose kind without
+such evidence in the table gives no spans.
 
 A NULL text counts as empty. Offsets are code points. Repeated rows are judged each for itself; other
 columns are not looked at; an empty table gives an empty result.
@@ -40,9 +42,10 @@ LOOSE = {
 #: A kind is looked for only in texts with such a character or number.
 CUES = {"email": "@", "phone": "+", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "veiled_email": r"(?i)[\[({]at[\])}]", "number": r"[0-9]{2}[)\x20./-]{1,2}[0-9]{2}", "account": r"[A-Z]{2}[0-9]{2}"}
 WORDS = r"(?i)(?:mail|phone|tel|call|fax|mobile|contact|card|visa|account|iban|bank|ssn|social|passport|birth|born|address|customer|client|kontakt|telefon|konto|karte|tarjeta|cuenta|correo|appel|compte|carte)"
-AROUND = 24
+#: Features look at this many characters before a span, evidence at so many.
+AROUND, NEAR = 24, 40
 
-FEATURES = ("digits", "groups", "gap", "before", "after", "words", "sign", "length")
+FEATURES = ("digits", "groups", "gap", "before", "after", "words", "sign", "length", "kind_no", "checked")
 ROUNDS, RATE, PENALTY, LEAST = 24, 0.3, 1.0, 2.0
 PRECISION = 0.98
 _BLOCK = 128
@@ -97,6 +100,27 @@ def _passes(span: Column) -> Column:
     )
 
 
+def _iban(text: Column) -> Column:
+    """Whether the check digits of an account number are right."""
+    plain = F.regexp_replace(text, " ", "")
+    turned = F.split(F.concat(F.substring(plain, 5, 1 << 20), F.substring(plain, 1, 4)), "(?<=.)(?=.)")
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(turned, F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97) == 1
+
+
+def _evidence(text: Column, span: Column, sure: Column) -> Column:
+    """Whether something beside its own format speaks for a loose proposal."""
+    before = F.substring(text, F.greatest(span["start"] - NEAR + 1, F.lit(1)), F.least(span["start"], F.lit(NEAR)))
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace(span["text"], r" ?[\[({](?i:at)[\])}] ?", "@"), r" ?[\[({](?i:dot)[\])}] ?", "."), " ", "")
+    digits = _digits(span["text"])
+    elsewhere = F.exists(
+        sure,
+        lambda b: F.when(span["kind"] == "veiled_email", (b["kind"] == "email") & (F.lower(b["text"]) == F.lower(shown)))
+        .otherwise(b["kind"].isin("phone", "card") & (F.length(digits) >= 8) & _digits(b["text"]).endswith(digits)),
+    )
+    return F.when(span["kind"] == "account", _iban(span["text"])).otherwise(before.rlike(WORDS) | elsewhere)
+
+
 def _features(text: Column, span: Column) -> list[Column]:
     """Small whole numbers about the format of a span and what stands around it."""
     own, digits = span["text"], F.length(_digits(span["text"]))
@@ -114,6 +138,8 @@ def _features(text: Column, span: Column) -> list[Column]:
         before.rlike(WORDS).cast("int").alias("words"),
         F.when(own.contains("@"), 2).when(own.startswith("+"), 1).otherwise(0).alias("sign"),
         level(F.length(own), (9, 12, 16, 20, 28)).alias("length"),
+        F.coalesce(*[F.when(span["kind"] == k, i) for i, k in enumerate((*BASE, *LOOSE))]).alias("kind_no"),
+        F.when(span["kind"] == "account", _iban(own)).otherwise(False).cast("int").alias("checked"),
     ]
 
 
@@ -131,10 +157,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def judged(s: Column) -> Column:
         inside = F.exists("sure", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        whole = F.exists("sure", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
         return F.struct(
             s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            s["kind"].isin(*BASE).alias("base"), F.when(s["kind"].isin(*BASE), _passes(s)).otherwise(whole).cast("int").alias("label"), inside.alias("taken"),
+            s["kind"].isin(*BASE).alias("base"), F.when(s["kind"].isin(*BASE), _passes(s)).otherwise(_evidence(F.col("text"), s, F.col("sure"))).cast("int").alias("label"), inside.alias("taken"),
             *_features(F.col("text"), s),
         )
 
@@ -143,11 +168,16 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 @dataclass
 class Trees:
-    """Boosted trees of two levels: (feature, cut, feature, cut, feature, cut, four leaves), and a threshold."""
+    """Boosted trees of two levels: (feature, cut, feature, cut, feature, cut, four leaves), and a threshold for each loose kind."""
 
     start: float
     trees: list[tuple]
-    threshold: float
+    thresholds: dict[str, float]
+
+    @property
+    def threshold(self) -> float:
+        """The lowest of the kinds' thresholds."""
+        return min(self.thresholds.values())
 
     def score(self, value) -> Column:
         """The score as an expression; ``value`` gives the column of a feature."""
@@ -215,15 +245,28 @@ def boost(cells: list[tuple[tuple, float, float]], rounds: int = ROUNDS) -> tupl
 def fit(proposed: DataFrame, key: str = "doc_id") -> Trees:
     """Fit on what ``candidates`` gives. The counts by features are bounded by the features' levels."""
     rows = proposed.select(F.pmod(F.xxhash64(key), F.lit(2)).alias("fold"), F.explode("spans").alias("s"))
-    counts = rows.groupBy("fold", *[F.col(f"s.{f}").alias(f) for f in FEATURES]).agg(F.sum("s.label").alias("yes"), F.count("*").alias("n")).collect()
-    cells = {fold: [(tuple(r[f] for f in FEATURES), float(r["yes"]), float(r["n"] - r["yes"])) for r in counts if r["fold"] == fold] for fold in (0, 1)}
-    model = Trees(*boost(sorted(cells[0])), 1.0)
-    scored = sorted(((model.of(x), p, n) for x, p, n in cells[1]), reverse=True)
-    yes = no = 0.0
-    for s, p, n in scored:
-        yes, no = yes + p, no + n
-        if yes >= PRECISION * (yes + no) and s >= 0.5:
-            model.threshold = s
+    counts = rows.groupBy("fold", F.col("s.kind").alias("kind"), (F.col("s.base") | F.col("s.taken")).alias("apart"), *[F.col(f"s.{f}").alias(f) for f in FEATURES])
+    counts = counts.agg(F.sum("s.label").alias("yes"), F.count("*").alias("n")).collect()
+    features = lambda r: tuple(r[f] for f in FEATURES)
+    cells: dict[tuple, list[float]] = {}
+    for r in counts:
+        if r["fold"] == 0:
+            cell = cells.setdefault(features(r), [0.0, 0.0])
+            cell[0] += r["yes"]
+            cell[1] += r["n"] - r["yes"]
+    model = Trees(*boost(sorted((x, p, n) for x, (p, n) in cells.items())), dict.fromkeys(LOOSE, 1.0))
+    for kind in LOOSE:
+        scores: dict[float, list[float]] = {}
+        for r in counts:
+            if r["fold"] == 1 and r["kind"] == kind and not r["apart"]:
+                cell = scores.setdefault(model.of(features(r)), [0.0, 0.0])
+                cell[0] += r["yes"]
+                cell[1] += r["n"]
+        yes = n = 0.0
+        for score in sorted(scores, reverse=True):
+            yes, n = yes + scores[score][0], n + scores[score][1]
+            if yes >= PRECISION * n and score >= 0.5:
+                model.thresholds[kind] = score - 1e-9  # sums of leaves may be rounded another way in the expression
     return model
 
 
@@ -233,8 +276,11 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     model = fit(proposed, key)
     order = {k: i for i, k in enumerate((*BASE, *LOOSE))}
 
+    def least(s: Column) -> Column:
+        return F.coalesce(*[F.when(s["kind"] == k, F.lit(t)) for k, t in model.thresholds.items()])
+
     def keeps(s: Column) -> Column:
-        return F.when(s["base"], s["label"] == 1).otherwise(~s["taken"] & (model.score(lambda f: s[FEATURES[f]]) >= model.threshold))
+        return F.when(s["base"], s["label"] == 1).otherwise(~s["taken"] & (model.score(lambda f: s[FEATURES[f]]) >= least(s)))
 
     ranked = lambda s: F.struct(s["start"].alias("start"), F.coalesce(*[F.when(s["kind"] == k, i) for k, i in order.items()]).alias("at"), s["kind"].alias("kind"), s["end"].alias("end"))
     kept = F.array_sort(F.transform(F.filter("spans", keeps), ranked))
