@@ -86,6 +86,15 @@ def test_details_of_pages():
     assert pages.extract([same] * 9) == ["A\n\ncopy of one article"] * 9
 
 
+def test_links_of_an_article_stay():
+    assert pages.extract(["<article><p>x</p><p><a href=/s>the source</a></p><ul><li><a href=/1>one</a><li><a href=/2>two</a></ul></article>"]) == ["x\n\nthe source\n\none\n\ntwo"]
+    assert pages.extract(["<p>x<p><a href=/s>a linked quotation</a><p>y"]) == ["x\n\na linked quotation\n\ny"]
+    assert pages.extract(["<ul><li><a href=/>Home</a><li><a href=/b>News</a></ul><p>y"]) == ["y"]
+    few = "<a href=/s>&nbsp;&nbsp;&nbsp;&nbsp;&amp;        b</a> words"
+    assert pages.extract([f"<p>{few}</p><p>{few}</p>"]) == ["& b words\n\n& b words"]
+    assert pages.extract(["<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>"]) == ["so x=1 holds"]
+
+
 def test_alignment_counts_the_largest_match():
     leaf = lambda n: (n, ())
     a = ("r", (leaf("a"), ("b", (pages.SLOT,)), leaf("c")))

@@ -6,7 +6,8 @@ are aligned by simple tree matching: the largest number of matched nodes that ke
 of siblings. All pages of a chunk are aligned with one page of the most usual shape. A text that stands in
 the same slot on most of the chunk's distinct pages is template, and goes; what varies is content, unless
 its place tells otherwise: menus, page headers, footers, sidebars, notices, adverts, forms and comments by
-element, role, class or id, and blocks that are mostly links. If a page marks its article (or its main
+element, role, class or id, and runs of sibling blocks that are mostly links, unless they stand in a marked article
+or main part. If a page marks its article (or its main
 part), the text comes from there.
 
 Chunks have at most ``CHUNK`` pages, so a host of any size is cut, and memory is bounded; hosts with many
@@ -39,7 +40,7 @@ BLOCK_TAGS = frozenset(
     "header hgroup hr html iframe legend li main menu nav noscript object ol option p pre search section select summary table tbody td template tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title xmp noembed noframes svg annotation annotation-xml".split())
 CLOSES_P = BLOCK_TAGS - frozenset("button object option iframe noscript".split())
 #: An opening tag ends an open element of these kinds, up to the element that holds them.
 ENDS = {
@@ -104,18 +105,21 @@ def _read(html: str, texts: list) -> _Node:
     root = _Node("", "", False, 0)
     stack, inline = [root], 0
     buffer: list[str] = []
-    linked = 0
+    linked: list[str] = []
+    menus: list[tuple | None] = []  # of each text its parent and kind of element, if it is mostly links
 
     def close() -> None:
-        nonlocal linked
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
                 top = stack[-1]
                 top.kids.append(len(texts))
-                texts.append((text, top.outside or linked > LINKED * len(text), top.main))
+                texts.append((text, top.outside, top.main))
+                links = len(" ".join(entities.unescape("".join(linked)).split()))
+                holder = stack[-2] if len(stack) > 1 else None
+                menus.append((id(holder), top.label) if links > LINKED * len(text) and top.main < 2 else None)
             buffer.clear()
-            linked = 0
+            linked.clear()
 
     at = 0
     while True:
@@ -124,7 +128,7 @@ def _read(html: str, texts: list) -> _Node:
         if text:
             buffer.append(text)
             if inline:
-                linked += len(text)
+                linked.append(text)
         if not found:
             break
         at = found.end()
@@ -173,6 +177,9 @@ def _read(html: str, texts: list) -> _Node:
             if name not in VOID and not (rest.endswith("/") and name in ("iframe", "object")):
                 stack.append(node)
     close()
+    for i, menu in enumerate(menus):
+        if menu and (menu in menus[max(i - 1, 0) : i] or menu in menus[i + 1 : i + 2]):
+            texts[i] = (texts[i][0], True, texts[i][2])
     return root
 
 
