@@ -142,3 +142,16 @@ def test_ranks_are_a_permutation():
     places = packing.Places([70, 33, 5, 0, 129], [0.3, 0.1, 0.1, 0.2, 0.9], 4, 16)
     found = np.concatenate([places.rank(q, np.arange(n)) for q, n in enumerate(places.cells.tolist())])
     assert sorted(found.tolist()) == list(range(int(places.cells.sum())))
+
+
+def test_small_sources_keep_their_weight(spark):
+    """A named source below a token of a window has its target share too."""
+    import public_tokenizers
+
+    from tieout.llm.packing import pack
+
+    for small in ("b", None):
+        rows = [(i, "a", "word " * 2500) for i in range(200)] + [(1000, small, "other " * 300)]
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        out = pack(df, public_tokenizers.path("byte_bpe_50k.json"), weights={"a": 0.5, small: 0.5})
+        assert min(r["sequence_id"] for r in out.filter("doc_id = 1000").collect()) == 0

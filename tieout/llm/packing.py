@@ -10,7 +10,7 @@ its share to the others. The last part of each queue, less than a cell, goes to
 but the last are full.
 
 Queues: every source whose share is at least one token of a window, which bounds their number by the
-window's length, and 64 queues that the smaller sources share. Sources and documents of a queue are in
+window's length, every source that ``weights`` names, and 64 queues that the other sources share. Sources and documents of a queue are in
 the order of source and id. Texts are encoded once, and the ids wait in the shared folder until the
 sizes of the queues are known.
 
@@ -145,7 +145,8 @@ def pack(
     if not total:
         return spark.createDataFrame([], f"{key} {kind}, {source} string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
     # At most ``window`` sources reach a share of one token of a window.
-    large = [r["source"] for r in by_source.filter(F.col("n") * window >= total).select("source").sort("source").collect()]
+    named = F.col("source").isin([s for s in weights or {} if s is not None]) | F.lit(None in (weights or {})) & F.col("source").isNull()
+    large = [r["source"] for r in by_source.filter((F.col("n") * window >= total) | named).select("source").sort("source").collect()]
     number = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s)), i) for i, s in enumerate(large)], len(large) + F.pmod(F.xxhash64("source"), F.lit(SHARED_QUEUES)).cast("int"))
     queued = sizes.withColumn("queue", number)
     by_queue = {r["queue"]: r["n"] for r in queued.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
