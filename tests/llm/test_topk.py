@@ -69,3 +69,14 @@ def test_tree_covers_its_points():
         assert away.max() <= tree.radius[n] + 1e-9
         if tree.children[n]:
             assert sorted(x for c in tree.children[n] for x in tree.order[tree.begin[c] : tree.end[c]]) == sorted(own)
+
+
+def test_repeated_ids_are_searched(spark, monkeypatch):
+    """A centre's vectors of one id may all lie in one part, which need not be part 0."""
+    monkeypatch.setattr(covertree, "BLOCK", 64)
+    monkeypatch.setattr(covertree, "CENTRES", 1)
+    rows = [(7, [float(i), 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = as_lists(covertree.top_k(df, asked))
+    assert got[1] == [(256 * 256 * i, 7) for i in range(299, 294, -1)] and got[2] == [(65536, 7)] * 5

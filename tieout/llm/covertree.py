@@ -223,7 +223,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     d = blocks.select(*[F.col(c).alias(f"d_{c}") for c in blocks.columns])
     # One ball around all blocks of a centre; at most CENTRES of them.
     away = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    middles = blocks.filter("part = 0").select("centre", F.col("middle").alias("m"))
+    middles = blocks.groupBy("centre").agg(F.min_by("middle", "part").alias("m"))  # few ids may leave part 0 empty
     balls = blocks.join(F.broadcast(middles), "centre", "left").groupBy("centre").agg(F.first("m").alias("middle"), F.max(away(F.col("middle"), F.col("m")) + F.col("radius")).alias("radius"))
     held = [(r["centre"], r["middle"], r["radius"]) for r in balls.collect()]
     known = F.array(*[F.struct(F.lit(c).alias("d_centre"), F.array(*[F.lit(x) for x in m or []]).alias("middle"), F.lit(r).alias("radius")) for c, m, r in held])
