@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.llm import quality
 from tieout.llm.common import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,9 +139,25 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicate(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """What the rules of lines and of documents say of every document."""
+    from tieout.llm.quality import RULES, clean, removed_by
+
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"]
+    return clean(table(spark, folder, "documents")).select("doc_id", *counts, *[removed_by(rule).alias(f"n_{rule}") for rule in RULES])
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+def oracle(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
+oracle("op12_quality", quality.oracle())
