@@ -139,6 +139,14 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicate(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words of all documents, the words one edit away, and the form each is likely meant for."""
+    from tieout.llm.spelling import variants
+
+    return variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query
 def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
     """What the rules of lines and of documents say of every document."""
