@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm import quality
+from tieout.llm import lexical, quality
 from tieout.llm.common import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,15 @@ def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
     return clean(table(spark, folder, "documents")).select("doc_id", *counts, *[removed_by(rule).alias(f"n_{rule}") for rule in RULES])
 
 
+@query
+def op13_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of all for every item of the benchmark."""
+    from tieout.llm.lexical import build_index, search
+
+    found = search(build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"), k=10)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
@@ -169,3 +178,4 @@ def oracle(name: str, sql: str) -> None:
 
 
 oracle("op12_quality", quality.oracle())
+oracle("op13_search", lexical.oracle())
