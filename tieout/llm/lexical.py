@@ -6,7 +6,7 @@ impact is computed once for each tf and stratum, in whole numbers, and no docume
 
 A stratum is cut into shards of some thousand documents (and some million postings), by a hash of the row, so
 the sizes are bounded however many documents are of one length. The index has one row for each term of a shard,
-``postings`` in the order of tf, and one row with the empty term that lists the shard's documents in the order of
+its postings in the order of tf, and one row with the empty term that lists the shard's documents in the order of
 their ids. Building it shuffles each document's terms once; a shard's lists are made within its task.
 
 A search sends the terms of a block of queries (at most ``QUERIES`` and, unless one query has more,
@@ -43,6 +43,8 @@ from tieout.session import Kept, stored
 SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 20
 #: Queries and their terms that a task holds, and cells of scores that it fills at once.
 QUERIES, QUERY_TERMS, CELLS = 1024, 1 << 18, 1 << 22
+#: Rows of (m, number of shards) that are sent to every task; about 16 bytes each.
+BROADCAST_STRATA = 1 << 20
 #: Documents that the first visits take in.
 FIRST = 4096
 
@@ -67,28 +69,19 @@ def impact(tf, m):
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The terms and counts of each text that has any."""
+    """The distinct terms of each text that has any, space-joined, and their counts as unsigned 32-bit numbers."""
     for batch in blocks(batches, "text"):
-        ids, n, ends, terms, tfs = [], [], [0], [], []
+        at, n, terms, tfs = [], [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
             found = terms_of(text)
             if found:
                 counts = Counter(found)
-                ids.append(i)
+                at.append(i)
                 n.append(len(found))
-                terms += counts.keys()
-                tfs += counts.values()
-                ends.append(len(terms))
-        at = pa.array(ends, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id").take(pa.array(ids, pa.int64())),
-                pa.array(n, pa.int64()),
-                pa.ListArray.from_arrays(at, pa.array(terms, pa.binary()).cast(pa.string())),
-                pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32())),
-            ],
-            ["id", "n", "terms", "tfs"],
-        )
+                terms.append(b" ".join(counts))
+                tfs.append(np.fromiter(counts.values(), "<u4", len(counts)).tobytes())
+        ids = batch.column("id").take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(tfs, pa.binary())], ["id", "n", "terms", "tfs"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Table]]:
@@ -110,42 +103,48 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Ta
         yield *key, pa.Table.from_batches(held)
 
 
+POSTINGS = pa.schema(
+    [("m", pa.int64()), ("shard", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("largest", pa.int64()), ("tfs", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("docs", pa.binary())]
+)
+
+
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The index rows of each shard."""
     for m, shard, rows in _groups(batches):
-        terms, tfs = rows.column("terms").combine_chunks(), rows.column("tfs").combine_chunks()
+        terms = pc.split_pattern(rows.column("terms").combine_chunks(), " ")
         place = np.repeat(np.arange(len(rows)), np.diff(terms.offsets.to_numpy()))
         coded = pc.dictionary_encode(terms.flatten())
         names = coded.dictionary
-        order = pc.sort_indices(names).to_numpy()
+        order = pc.sort_indices(names)
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        code, tf = rank[coded.indices.to_numpy()], tfs.flatten().to_numpy().astype(np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        code, tf = rank[coded.indices.to_numpy()], np.frombuffer(b"".join(rows.column("tfs").to_pylist()), "<u4").astype(np.int64)
         by = np.lexsort((place, tf, code))
-        code, tf, place = code[by], tf[by], place[by]
-        new_term = np.flatnonzero(np.diff(code, prepend=-1))
-        new_list = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(tf, prepend=-1) != 0))
-        docs = pa.ListArray.from_arrays(pa.array(np.append(new_list, len(code)), pa.int32()), pa.array(place, pa.int32()))
-        lists = pa.StructArray.from_arrays([pa.array(tf[new_list], pa.int32()), docs], ["tf", "docs"])
-        postings = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(new_list, new_term), len(new_list)), pa.int32()), lists)
-        n, ids = len(new_term), rows.column("id").combine_chunks()
+        code, tf, place = code[by], tf[by], place[by].astype("<u4")
+        term = np.flatnonzero(np.diff(code, prepend=-1))
+        same_tf = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(tf, prepend=-1) != 0))
+        lists = pa.array(np.append(np.searchsorted(same_tf, term), len(same_tf)), pa.int32())
+        ends = np.append(term[1:], len(code))
+        n, ids = len(term), rows.column("id").combine_chunks()
+        columns = [
+            pa.array(np.full(n, m)), pa.array(np.full(n, shard)), names.take(order), pa.array(ends - term), pa.array(tf[ends - 1]),
+            pa.ListArray.from_arrays(lists, pa.array(tf[same_tf], pa.int32())),
+            pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(same_tf, len(code))), pa.int32())),
+            pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * np.append(term, len(code))).astype(np.int32)), pa.py_buffer(place)]),
+        ]
         head = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        for term, found, listed, many in ((pa.array([""]), None, head, 1), (names.take(pa.array(order)), postings, None, n)):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(many, m), pa.int64()),
-                    pa.array(np.full(many, shard), pa.int64()),
-                    term,
-                    found if found is not None else pa.nulls(many, postings.type),
-                    listed if listed is not None else pa.nulls(many, head.type),
-                ],
-                ["m", "shard", "term", "postings", "ids"],
-            )
+        first = pa.RecordBatch.from_pylist([{"m": m, "shard": shard, "term": "", "n": len(ids)}], POSTINGS)
+        yield pa.RecordBatch.from_arrays([*first.columns, head], [*POSTINGS.names, "ids"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, head.type)], [*POSTINGS.names, "ids"])
 
 
 @dataclass(frozen=True)
 class Index:
-    """``rows`` (m, shard, term, postings, ids) over so many documents with so many terms together."""
+    """``rows`` over so many documents with so many terms together.
+
+    A row for each term of a shard: its documents' number (n), the largest tf, every tf in rising order (tfs) and how
+    many documents have it (sizes), and the documents' places in the shard as unsigned 32-bit numbers in that order
+    (docs). The row with the empty term has the ids of the shard's documents by place."""
 
     rows: Kept
     docs: int
@@ -156,21 +155,25 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Inde
     spark = docs.sparkSession
     texts = docs.select(docs[id].alias("id"), docs[text].alias("text"))
     kind = StructField("id", texts.schema["id"].dataType)
-    found = texts.mapInArrow(_vectors, StructType([kind, *StructType.fromDDL("n long, terms array<string>, tfs array<int>").fields]))
+    found = texts.mapInArrow(_vectors, StructType([kind, *StructType.fromDDL("n long, terms string, tfs binary").fields]))
     kept = stored(found.withColumn("row", F.monotonically_increasing_id()))
     vectors = kept.read(spark)
     total = vectors.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
     m = F.expr(f"{100 - 75} + (75 * n * {total.docs}L) div {max(total.length, 1)}L")
     placed = vectors.withColumn("m", m)
-    shards = F.greatest(F.ceil(F.count("*") / SHARD_DOCS), F.ceil(F.sum(F.size("tfs")) / SHARD_POSTINGS))
-    strata = placed.groupBy("m").agg(shards.alias("shards"))
-    dealt = placed.join(strata, "m").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
+    shards = F.greatest(F.ceil(F.count("*") / SHARD_DOCS), F.ceil(F.sum(F.octet_length("tfs")) / (4 * SHARD_POSTINGS)))
+    strata = stored(placed.groupBy("m").agg(shards.alias("shards")))
+    sizes = strata.read(spark)
+    # Few lengths are the rule, and then the rows stay where they are; else the join shuffles them once more.
+    if sizes.count() <= BROADCAST_STRATA:
+        sizes = F.broadcast(sizes)
+    dealt = placed.join(sizes, "m").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards")))
     sorted_rows = dealt.select("m", "shard", "id", "terms", "tfs").repartition("m", "shard").sortWithinPartitions("m", "shard", F.col("id").asc_nulls_last())
-    schema = StructType(
-        [*StructType.fromDDL("m long, shard long, term string, postings array<struct<tf:int,docs:array<int>>>").fields, StructField("ids", ArrayType(kind.dataType))]
-    )
+    postings = "m long, shard long, term string, n long, largest long, tfs array<int>, sizes array<int>, docs binary"
+    schema = StructType([*StructType.fromDDL(postings).fields, StructField("ids", ArrayType(kind.dataType))])
     index = Index(stored(sorted_rows.mapInArrow(_inverted, schema)), total.docs, total.length)
     kept.drop(spark)
+    strata.drop(spark)
     return index
 
 
@@ -224,19 +227,16 @@ def _scored(block: Block, floors: np.ndarray, k: int, id_type: pa.DataType, batc
         use = [i for i, t in enumerate(names) if t]
         if not use:
             continue
-        lists = rows.column("postings").combine_chunks().take(pa.array(use))
-        per_term, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
-        tf, docs = flat.field("tf").to_numpy().astype(np.int64), flat.field("docs")
-        sizes = np.diff(docs.offsets.to_numpy())
-        place = docs.flatten().to_numpy()
+        lists = rows.take(pa.array(use)).combine_chunks()
+        tfs, sizes = lists.column("tfs").combine_chunks(), lists.column("sizes").combine_chunks()
+        tf, place = tfs.flatten().to_numpy().astype(np.int64), np.frombuffer(b"".join(lists.column("docs").to_pylist()), "<u4")
         # One impact for each tf of a term, then one entry for each posting.
-        worth = np.repeat(impact(tf, m), sizes)
-        first_list = np.concatenate([[0], np.cumsum(per_term)])
-        first = np.concatenate([[0], np.cumsum(sizes)])[first_list]
+        worth = np.repeat(impact(tf, m), sizes.flatten().to_numpy())
+        first = np.cumsum([0, *lists.column("n").to_pylist()])
         here = np.full(len(block.codes), -1, np.int64)
         here[[block.codes[names[i]] for i in use]] = np.arange(len(use))
         largest = np.zeros(len(block.codes), np.int64)
-        largest[[block.codes[names[i]] for i in use]] = tf[first_list[1:] - 1]
+        largest[[block.codes[names[i]] for i in use]] = lists.column("largest").to_numpy()
         queries = queries[block.bounds(m, largest)[queries] >= best.floors[queries]]
         step = max(1, CELLS // len(ids))
         for at in range(0, len(queries), step):
@@ -267,8 +267,7 @@ def _search_block(spark: SparkSession, index: Index, queries: list[dict[str, int
     asked = sorted({t for q in queries for t in q})
     wanted = spark.createDataFrame([(t,) for t in asked], "term string")
     matched = rows.join(F.broadcast(wanted), "term", "left_semi")
-    in_docs = F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + F.size(p["docs"]))
-    stats = stored(matched.groupBy("m", "term").agg(F.max(F.element_at("postings", -1)["tf"]).alias("largest"), F.sum(in_docs).alias("docs")))
+    stats = stored(matched.groupBy("m", "term").agg(F.max("largest").alias("largest"), F.sum("n").alias("docs")))
     df = {r.term: r.docs for r in stats.read(spark).groupBy("term").agg(F.sum("docs").alias("docs")).toLocalIterator()}
     weights = {t: weight(index.docs, n) for t, n in df.items()}
     block = Block(queries, weights)
@@ -279,7 +278,7 @@ def _search_block(spark: SparkSession, index: Index, queries: list[dict[str, int
     )
     largest = F.expr("(1000000000L * largest) div (1000L * largest + 8 * m)")
     bounds = stats.read(spark).join(F.broadcast(entries), "term").groupBy("query", "m").agg(F.sum(F.col("share") * largest).alias("bound"))
-    sizes = rows.filter("term = ''").groupBy("m").agg(F.sum(F.size("ids")).alias("docs"))
+    sizes = rows.filter("term = ''").groupBy("m").agg(F.sum("n").alias("docs"))
     order = Window.partitionBy("query").orderBy(F.desc("bound"), "m").rowsBetween(Window.unboundedPreceding, -1)
     visits = stored(bounds.join(sizes, "m").withColumn("before", F.coalesce(F.sum("docs").over(order), F.lit(0))))
     stats.drop(spark)
