@@ -247,3 +247,47 @@ def test_catalogue_and_sides(spark):
     assert sql_side(spark, "select 1 as n").df.first()["n"] == 1
     with pytest.raises(ValueError):
         jdbc_query(spark, "jdbc:none", "select 1", partition_column="id")
+
+
+def test_index_of_values_marks_equal_values_of_all_types(spark):
+    """A number is the same value in every type that can hold it; text and numbers never meet."""
+    long = spark.createDataFrame([(1,), (7,), (10**15 + 1,), (9007199254740993,), (None,), (1,)], "k bigint")
+    double = spark.sql("select col1 as d from values (1D), (7.5D), (1000000000000001D), (9007199254740992D), (0.1D), (-0.0D)")
+    exact = spark.sql("select cast(col1 as decimal(38,18)) as x from values ('1'), ('7.5'), ('9007199254740993'), ('0.1'), ('0.100000000000000001')")
+    text = spark.createDataFrame([("1",), (" ",), (None,), ("7.5",)], "t string")
+    days = spark.sql("select date'2020-01-01' as a, timestamp'2020-01-01 10:00:00' as b")
+    tables = {"long": long, "double": double, "exact": exact, "text": text, "days": days}
+    index, names = D.match_values(tables, {n: df.columns for n, df in tables.items()})
+    assert names == [("long", "k"), ("double", "d"), ("exact", "x"), ("text", "t"), ("days", "a"), ("days", "b")]
+    marks = sorted(r["w0"] for r in index.collect())
+    # By mark: 1, the whole number that double rounds, 7.5 and 0.1 in two types, numbers of one type, two texts, one day.
+    assert marks == sorted([0b111, 0b011, 0b101, 0b001, 0b010, 0b010, 0b110, 0b110, 0b100, 0b1000, 0b1000, 0b110000])
+
+
+def test_more_columns_than_one_word_of_marks(spark):
+    wide = spark.range(50).select(*[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(70)], F.col("id").alias("key"))
+    parent = spark.range(60).select(F.col("id").alias("parent_id"))
+    tables = {"wide": wide, "parent": parent}
+    profiles = P.sketch_tables(tables)
+    found = {(r["table"], r["column"]): (r["hits"], r["values"]) for r in D.containment(tables, profiles, D.primary_keys(profiles)).collect()}
+    assert len(found) == 70 and all(found[("wide", f"c{i}")] == (min(i + 2, 50),) * 2 for i in range(70) if i < 48)
+
+
+def test_sketches_decide_as_exact_counts_do(spark):
+    """Estimated columns lie on the same side of every limit; the rest are counted."""
+    n = 30_000
+    df = spark.range(n).select(
+        F.col("id").alias("order_id"), F.when(F.col("id") > 0, F.col("id")).otherwise(1).alias("nearly"), (F.col("id") % 20).alias("twenty"),
+        (F.col("id") % 21).alias("more"), (F.col("id") % 15_000).alias("half"), (F.col("id") % 97).cast("string").alias("name"),
+        F.when(F.col("id") % 2 == 0, F.lit(" ")).otherwise(F.lit("x")).alias("blank"),
+    )
+    empty = spark.createDataFrame([], "a int, b string")
+    tables = {"t": df, "none": empty}
+    exact, near = ({(r["table"], r["column"]): r for r in f(tables).collect()} for f in (P.profile_tables, P.sketch_tables))
+    assert exact.keys() == near.keys()
+    for key, r in near.items():
+        want = exact[key]
+        assert (r["role"], r["rows"], r["null_count"], r["data_type"]) == (want["role"], want["rows"], want["null_count"], want["data_type"])
+        low, high = P.distinct_interval(r["distinct_count"])
+        assert r["distinct_count"] == want["distinct_count"] if r["exact"] else low <= want["distinct_count"] <= high
+    assert near[("t", "order_id")]["exact"] and near[("t", "nearly")]["exact"] and near[("t", "name")]["exact"] and not near[("t", "half")]["exact"]

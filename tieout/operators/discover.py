@@ -1,8 +1,8 @@
 """Star-schema discovery from profiles: keys, relationships, table roles, measures, findings.
 
 The rows of the profiles are one per column, so every rule here is a small job. Only the containment
-of foreign keys reads values, and it does so once for all tables: distinct values of all columns are
-joined to the values of all primary keys in one equality join, never table pair by table pair.
+of foreign keys reads values, and it does so once for all tables: an inverted index marks, for every
+distinct value, the columns that hold it, and all containments are counted from the marks.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tieout.functions.normalize import is_temporal
+from tieout.functions.normalize import is_float
 from tieout.model import quoted
-from tieout.operators.profile import kind_of, value_counts
+from tieout.operators.profile import distinct_interval, kind_of, value_text
 from tieout.session import settled
 
 # Name patterns, and the limits and weights of the relationship and role rules.
@@ -65,70 +66,123 @@ def primary_keys(profiles: DataFrame) -> DataFrame:
 def _candidates(profiles: DataFrame, keys: DataFrame) -> tuple[dict[str, list[str]], dict[str, str]]:
     """Columns that can still be part of a relationship, and the key of each table.
 
-    A foreign key has no more values than the largest key of its family allows; the profile has exact
-    counts, so this drops nothing that could match. Dates are matched by day, of which there can be
-    fewer than the counted timestamps, so a date column only needs some date key.
+    A foreign key has no more values than the largest key of its family allows; counts that are only
+    estimated are taken at the low end of their interval, so this drops nothing that could match. Dates are
+    matched by day, of which there can be fewer than the counted timestamps, so a date column only needs
+    some date key.
     """
     own = {r["table"]: r["column"] for r in keys.collect()}  # one row per table
     limits: dict[str, float] = {}
     for r in keys.select(_family(F.col("data_type")).alias("f"), "key_values").collect():
         limits[r["f"]] = max(limits.get(r["f"], 0.0), r["key_values"] * DOMAIN_SLACK + DOMAIN_EXTRA)
     wanted: dict[str, list[str]] = {}
-    rows = profiles.select("table", "column", "position", "distinct_count", _family(F.col("data_type")).alias("f"))
+    sure = F.col("exact") if "exact" in profiles.columns else F.lit(True)
+    rows = profiles.select("table", "column", "position", "distinct_count", sure.alias("exact"), _family(F.col("data_type")).alias("f"))
     for r in sorted(rows.collect(), key=lambda r: (r["table"], r["position"])):  # one row per column
-        fits = r["f"] in limits and (r["f"] == "time" or 0 < r["distinct_count"] <= limits[r["f"]])
+        least = r["distinct_count"] if r["exact"] else distinct_interval(r["distinct_count"])[0]
+        fits = r["f"] in limits and (r["f"] == "time" or r["distinct_count"] > 0 and least <= limits[r["f"]])
         if fits or own.get(r["table"]) == r["column"]:
             wanted.setdefault(r["table"], []).append(r["column"])
     return wanted, own
 
 
-def match_values(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Distinct present values of some columns of all tables: ``table, column, family, value``; dates by day."""
+#: How a value is carried in the index of values; every value has one of these.
+CARRIERS = {"whole": "bigint", "real": "double", "text": "string"}
+#: Whole numbers below this are whole in every number type.
+PLAIN_WHOLE = 10**15
+
+
+def _matched(value: Column, dtype: T.DataType) -> tuple[str, list[Column]]:
+    """The family of a value, and the value as a whole number, a real one or text; all NULL where it is blank.
+
+    Equal values of a family are equal here whatever their types: numbers are equal if their shortest texts
+    are, times if their days are. A number of any type that a double holds to the last digit, and that is not
+    a plain whole one, is carried as that double.
+    """
+    kind = kind_of(dtype)
+    family = {"integer": "number", "decimal": "number", "date": "time", "dateTime": "time"}.get(kind, kind)
+    parts: dict[str, Column] = {}
+    if kind == "boolean":
+        parts["whole"] = value.cast("int")
+    elif family == "time":
+        parts["whole"] = F.unix_date(value.cast("date"))
+    elif family == "string":
+        parts["text"] = value_text(value, dtype)
+    elif is_float(dtype):
+        x = value if isinstance(dtype, T.DoubleType) else value.cast("string").cast("double")
+        plain = (x == F.floor(x)) & (F.abs(x) < PLAIN_WHOLE)
+        parts = {"whole": F.when(plain, x.cast("bigint")), "real": F.when(~plain, x)}
+    else:
+        plain = (F.abs(value) < PLAIN_WHOLE) & (F.lit(True) if kind == "integer" else value == F.floor(value))
+        wide = "decimal(20,0)" if kind == "integer" else dtype.simpleString()
+        x = value.cast("double")
+        real = ~plain & F.coalesce(x.try_cast(wide) == value.cast(wide), F.lit(False))
+        parts = {"whole": F.when(plain, value.try_cast("bigint")), "real": F.when(real, x), "text": F.when(~plain & ~real, value_text(value, dtype))}
+    return family, [parts.get(c, F.lit(None)).cast(t) for c, t in CARRIERS.items()]
+
+
+#: Columns whose marks fit one whole number.
+MARKS = 62
+
+
+def match_values(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """An inverted index of values: a row for each distinct value of some columns of all tables, with a mark
+    for every column that holds it.
+
+    Column number c of the returned list is bit ``c % MARKS`` of ``w<c // MARKS>``. Marks of equal values are
+    merged before the shuffle, so a value is at most one row per task, and the index is made by one exchange.
+    """
+    names = [(table, c) for table, found in columns.items() for c in found]
+    words = range(-(-len(names) // MARKS))
     frames = []
-    for name, names in columns.items():
-        df = tables[name]
-        days = df.select(*[quoted(c).cast("date").alias(c) if is_temporal(df.schema[c].dataType) else quoted(c) for c in names])
-        kinds = F.create_map(*[F.lit(x) for c in names for x in (c, kind_of(df.schema[c].dataType))])
-        frames.append(
-            value_counts(days).select(F.lit(name).alias("table"), "column", _family(kinds[F.col("column")]).alias("family"), "value")
-        )
-    return reduce(DataFrame.unionByName, frames)
+    for table, found in columns.items():
+        cells = []
+        for c in found:
+            family, parts = _matched(quoted(c), tables[table].schema[c].dataType)
+            word, bit = divmod(names.index((table, c)), MARKS)
+            cells += [F.lit(family), *parts, *[F.lit(1 << bit if w == word else 0).cast("bigint") for w in words]]
+        frames.append(tables[table].select(F.stack(F.lit(len(found)), *cells).alias("family", *CARRIERS, *[f"w{w}" for w in words])))
+    cells = reduce(DataFrame.unionAll, frames).where(" or ".join(f"{c} is not null" for c in CARRIERS))
+    return cells.groupBy("family", *CARRIERS).agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words]), names
 
 
 def containment(tables: Mapping[str, DataFrame], profiles: DataFrame, keys: DataFrame) -> DataFrame:
     """For each candidate column and each key of another table: distinct values, and how many the key has.
 
-    A value occurs once per column here, so the join has no hot rows: its fan-out is at most the
-    number of tables.
+    All are read off one inverted index: its rows are counted by the set of columns they are marked with, and
+    only those few sets are taken apart into pairs of a column and a key.
     """
     columns, own = _candidates(profiles, keys)
     spark = profiles.sparkSession
+    schema = "table string, column string, parent string, parent_column string, key_values bigint, hits bigint, values bigint"
     if not columns:
-        return spark.createDataFrame(
-            [], "table string, column string, parent string, parent_column string, key_values bigint, hits bigint, values bigint"
-        )
-    values = match_values(tables, columns)
-    is_key = F.lit(False)
-    for table, column in own.items():
-        is_key = is_key | ((F.col("table") == table) & (F.col("column") == column))
-    key_values = values.where(is_key).select(
-        F.col("family").alias("parent_family"), F.col("value").alias("key_value"), F.col("table").alias("parent"), F.col("column").alias("parent_column")
+        return spark.createDataFrame([], schema)
+    index, names = match_values(tables, columns)
+    marks = [f"w{w}" for w in range(-(-len(names) // MARKS))]
+    sets = index.groupBy(*marks).agg(F.count(F.lit(1)).alias("n"))
+    marked = F.filter(
+        F.sequence(F.lit(0), F.lit(len(names) - 1)),
+        lambda c: F.getbit(F.get(F.array(*marks), F.floor(c / MARKS).cast("int")), c % MARKS) == 1,
     )
-    hits = (
-        values.where(~is_key)
-        .join(
-            key_values,
-            (F.col("value") == F.col("key_value"))
-            & (F.col("family") == F.col("parent_family"))
-            & (F.col("table") != F.col("parent")),
-        )
-        .groupBy("table", "column", "parent", "parent_column")
-        .agg(F.count(F.lit(1)).alias("hits"))
+    key_numbers = [i for i, (table, c) in enumerate(names) if own.get(table) == c]
+    held = F.array_intersect("marked", F.array(*[F.lit(k) for k in key_numbers]).cast("array<int>"))
+    # A pair of a column with -1 stands for the column alone.
+    pairs = (
+        sets.select("n", marked.alias("marked"))
+        .select("n", "marked", F.concat(held, F.array(F.lit(-1))).alias("held"))
+        .select("n", F.explode("marked").alias("c"), "held")
+        .select("n", "c", F.explode("held").alias("k"))
+        .groupBy("c", "k")
+        .agg(F.sum("n").alias("n"))
     )
-    sizes = values.groupBy("table", "column").agg(F.count(F.lit(1)).alias("values"))
-    domains = keys.select(F.col("table").alias("parent"), "key_values")
-    # The counts are one row per column, the domains one per table.
-    return hits.join(F.broadcast(sizes), ["table", "column"]).join(F.broadcast(domains), "parent")
+    found = {(r["c"], r["k"]): r["n"] for r in pairs.collect()}  # a row per column and key
+    sizes = {r["table"]: r["key_values"] for r in keys.collect()}
+    rows = [
+        (*names[c], *names[k], sizes[names[k][0]], n, found[(c, -1)])
+        for (c, k), n in found.items()
+        if k >= 0 and c not in key_numbers and names[c][0] != names[k][0]
+    ]
+    return spark.createDataFrame(rows, schema)
 
 
 def affinity(child: Column, key: Column, parent: Column) -> Column:

@@ -1,8 +1,9 @@
 """Type inference, column profiles, distributions and a storage profile.
 
-Two passes serve everything. One wide aggregate gives counts, extremes and means. One grouping of the
-columns turned into (column, value) rows gives exact distinct counts, frequencies and bytes; equal
-values combine before the shuffle, so a value that fills a third of a column is one row per task.
+One grouping of the columns turned into (column, value) rows gives everything exact: counts, extremes,
+means, distinct values, frequencies and bytes. Equal values combine before the shuffle, so a value that
+fills a third of a column is one row per task. Discovery needs less: mergeable sketches from one scan
+say which columns have to be counted at all.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tieout.session import settled
 BINS = 10
 TOP_VALUES = 8
 SAMPLES = 5
+#: Sketches of distinct values have 2 to the power of so many registers; intervals are so many standard errors wide.
+SKETCH_BITS, SKETCH_ERRORS = 12, 6
 KEY_HINTS = r"(?i)(^id$|_id$|\bid\b|key|code|number|no\.)"
 MEASURE_HINTS = (
     r"(?i)(revenue|sales|amount|price|cost|total|qty|quantity|profit|margin|discount|tax|balance|value|count|units?)"
@@ -112,94 +115,148 @@ def _carried(dtype: T.DataType) -> str:
     return "double" if is_float(dtype) else dtype.simpleString()
 
 
+def _counted(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> tuple[DataFrame, list[tuple[str, str]], dict[str, T.DataType]]:
+    """Every value of the given columns, NULL included, with its frequency: ``at`` and one column for each type.
+
+    One scan of each table makes (column, value) rows, each value in the column of its own type, and one
+    grouping counts those of all tables. Also returned: the table and column behind each ``at``, and the
+    types of the value columns.
+    """
+    names = [(table, c) for table, found in columns.items() for c in found]
+    carried = {(table, c): _carried(tables[table].schema[c].dataType) for table, c in names}
+    slots = {kind: f"v{i}" for i, kind in enumerate(dict.fromkeys(carried.values()))}
+    frames, types = [], {}
+    for table, found in columns.items():
+        if not found:
+            continue
+        cells = []
+        for c in found:
+            kind = carried[(table, c)]
+            cells.append(F.lit(names.index((table, c))))
+            cells += [(quoted(c) if kind == mine else F.lit(None)).cast(mine) for mine in slots]
+        frames.append(tables[table].select(F.stack(F.lit(len(found)), *cells).alias("at", *slots.values())))
+    stacked = reduce(DataFrame.unionAll, frames)
+    types = {slot: stacked.schema[slot].dataType for slot in slots.values()}
+    return stacked.groupBy("at", *slots.values()).agg(F.count(F.lit(1)).alias("n")), names, types
+
+
+def _shown(types: Mapping[str, T.DataType]) -> Column:
+    """The text of a value, whichever column it is in; NULL for none and for blank text."""
+    return F.coalesce(*[value_text(F.col(slot), dtype) for slot, dtype in types.items()])
+
+
+def _named(names: Sequence[tuple[str, str]], part: int) -> Column:
+    """The table (0) or column (1) behind ``at``."""
+    return F.element_at(F.array(*[F.lit(n[part]) for n in names]), F.col("at") + 1)
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Every distinct present value of every column with its frequency: ``column, value, n``.
 
-    Columns of one type are turned into (column, value) rows together and counted in that type; only
-    the distinct values that are left become text.
+    Values are counted in their own types; only the distinct ones that are left become text.
     """
-    columns = list(columns or df.columns)
-    groups: dict[str, list[str]] = {}
-    for c in columns:
-        groups.setdefault(_carried(df.schema[c].dataType), []).append(c)
-    parts = []
-    for carried, names in groups.items():
-        numbered = [str(columns.index(c)) for c in names]
-        typed_columns = df.select(*[quoted(c).cast(carried).alias(n) for c, n in zip(names, numbered)])
-        dtype = typed_columns.schema[0].dataType
-        counts = (
-            typed_columns.unpivot([], [quoted(n) for n in numbered], "at", "value")
-            .where("value is not null")
-            .groupBy("at", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        parts.append(counts.select(F.col("at").cast("int").alias("at"), value_text(F.col("value"), dtype).alias("value"), "n"))
-    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("at") + 1)
-    return reduce(DataFrame.unionByName, parts).where("value is not null").select(name.alias("column"), "value", "n")
-
-
-def _statistics(df: DataFrame) -> DataFrame:
-    aggs, rows = [F.count(F.lit(1)).alias("rows")], []
-    number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for i, f in enumerate(df.schema.fields):
-        value = quoted(f.name)
-        kind = kind_of(f.dataType)
-        present = ~is_blank(value) if kind == "string" else value.isNotNull()
-        aggs.append(F.count_if(~present).alias(f"nulls{i}"))
-        parts = dict.fromkeys(("min", "max", "mean"), number) | dict.fromkeys(("min_text", "max_text"), text)
-        if kind in ("integer", "decimal"):
-            aggs += [F.min(value).cast("double").alias(f"min{i}"), F.max(value).cast("double").alias(f"max{i}"), F.avg(value).cast("double").alias(f"mean{i}")]
-            parts |= {p: F.col(f"{p}{i}") for p in ("min", "max", "mean")}
-        elif kind != "boolean":
-            shown = F.when(present, value)
-            aggs += [F.min(shown).cast("string").alias(f"mint{i}"), F.max(shown).cast("string").alias(f"maxt{i}")]
-            parts |= {"min_text": F.col(f"mint{i}"), "max_text": F.col(f"maxt{i}")}
-        rows.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit(i).alias("position"),
-                F.lit(kind).alias("data_type"),
-                F.col(f"nulls{i}").alias("null_count"),
-                *[c.alias(p) for p, c in parts.items()],
-            )
-        )
-    wide = df.agg(*aggs)
-    return wide.select("rows", F.explode(F.array(*rows)).alias("r")).select("rows", "r.*")
+    counted, names, types = _counted({"": df}, {"": list(columns or df.columns)})
+    texts = counted.select("at", _shown(types).alias("value"), "n").where("value is not null")
+    return texts.select(_named(names, 1).alias("column"), "value", "n")
 
 
 def profile(df: DataFrame, table: str = "") -> DataFrame:
     """One row per column: type, role, counts, extremes, mean, and storage bytes."""
-    values = value_counts(df)
-    size = F.octet_length("value")
-    distinct = values.groupBy("column").agg(
-        F.count(F.lit(1)).alias("distinct_count"),
-        F.sum(size * F.col("n")).alias("data_bytes"),
+    return _profiles({table: df})
+
+
+def _profiles(tables: Mapping[str, DataFrame]) -> DataFrame:
+    counted, names, types = _counted(tables, {name: df.columns for name, df in tables.items()})
+    values = counted.select("at", "n", *types, _shown(types).alias("value"))
+    size, n, given = F.octet_length("value"), F.col("n"), F.col("value").isNotNull()
+    numeric = [F.col(slot).cast("double") for slot, t in types.items() if kind_of(t) in ("integer", "decimal")]
+    x = F.coalesce(*numeric) if numeric else F.lit(None).cast("double")
+    timed = [slot for slot, t in types.items() if is_temporal(t)]
+    other = [F.when(given, F.col(slot).cast("string")) for slot, t in types.items() if kind_of(t) == "string"]
+    text = F.coalesce(*other) if other else F.lit(None).cast("string")
+    found = values.groupBy("at").agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(given, 0).otherwise(n)).alias("null_count"),
+        F.count_if(given).alias("distinct_count"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        safe_divide(F.sum(x * n), F.sum(F.when(x.isNotNull(), n))).alias("mean"),
+        F.coalesce(F.min(text), *[F.min(slot).cast("string") for slot in timed]).alias("min_text"),
+        F.coalesce(F.max(text), *[F.max(slot).cast("string") for slot in timed]).alias("max_text"),
+        F.sum(size * n).alias("data_bytes"),
         F.sum(size).cast("bigint").alias("dictionary_bytes"),
     )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    joined = _statistics(df).join(F.broadcast(distinct), "column", "left")  # one row per column on each side
-    out = joined.select(
-        F.lit(table).alias("table"),
-        "column",
-        "position",
-        "data_type",
-        "rows",
-        "null_count",
-        zero("distinct_count"),
-        "min",
-        "max",
-        "mean",
-        "min_text",
-        "max_text",
-        zero("data_bytes"),
-        zero("dictionary_bytes"),
+    # Tables without rows have no values; their columns come from the schema, one row each.
+    kinds = {(name, f.name): kind_of(f.dataType) for name, df in tables.items() for f in df.schema.fields}
+    places = [(i, name, c, tables[name].columns.index(c), kinds[(name, c)]) for i, (name, c) in enumerate(names)]
+    listed = counted.sparkSession.createDataFrame(places, "at int, table string, column string, position int, data_type string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    out = listed.join(found, "at", "left").select(
+        "table", "column", "position", "data_type", zero("rows"), zero("null_count"), zero("distinct_count"),
+        "min", "max", "mean", "min_text", "max_text", zero("data_bytes"), zero("dictionary_bytes"),
     )
     return out.withColumn("role", column_role(F.col("column"), F.col("data_type"), F.col("distinct_count"), F.col("rows")))
 
 
 def profile_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The profiles of several tables, run as one job and settled: one row per column."""
-    return settled(reduce(DataFrame.unionByName, [profile(df, name) for name, df in tables.items()]))
+    """The exact profiles of several tables, from one scan of each and one exchange of their distinct values."""
+    return settled(_profiles(tables))
+
+
+def sketch_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The profiles that discovery needs: ``table, column, position, data_type, rows, null_count, distinct_count,
+    exact, role``.
+
+    The first scan of a table counts its rows and blanks and keeps a mergeable sketch of each column's
+    distinct values, a few kilobytes whatever the size of the table. A second scan counts exactly (``exact``)
+    where a rule needs the number itself, in columns of text, or where the sketch's interval reaches the
+    limit of a rule: a column that may be unique, and one that may have as few values as a dimension.
+    All other columns keep the estimate, which lies on the same side of every limit as the true count
+    (up to ``SKETCH_ERRORS`` standard errors).
+    """
+    names = [(name, f) for name, df in tables.items() for f in df.schema.fields]
+    frames, at = [], 0
+    for name, df in tables.items():
+        cells = []
+        for f in df.schema.fields:
+            value = quoted(f.name)
+            present = ~is_blank(value) if kind_of(f.dataType) == "string" else value.isNotNull()
+            cells += [F.lit(at), F.when(present, F.xxhash64(value))]
+            at += 1
+        frames.append(df.select(F.stack(F.lit(len(df.columns)), *cells).alias("at", "h")))
+    sketched = reduce(DataFrame.unionAll, frames).groupBy("at").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("h").alias("present"), F.hll_sketch_estimate(F.hll_sketch_agg("h", SKETCH_BITS)).alias("estimate")
+    )
+    found = {r["at"]: r for r in sketched.collect()}  # one row per column
+    wanted: dict[str, list[str]] = {name: [] for name in tables}
+    for i, (name, f) in enumerate(names):
+        if i not in found:
+            continue
+        rows, estimate = found[i]["rows"], found[i]["estimate"] or 0
+        low, high = distinct_interval(estimate)
+        may_be_key = found[i]["present"] == rows and high >= rows
+        if kind_of(f.dataType) in ("string", "boolean") or may_be_key or low <= min(20.0, rows * 0.5) <= high:
+            wanted[name].append(f.name)
+    exact: dict[tuple[str, str], int] = {}
+    if any(wanted.values()):
+        counted, listed, types = _counted(tables, wanted)
+        present = counted.select("at", _shown(types).isNotNull().alias("present")).groupBy("at").agg(F.count_if("present").alias("n"))
+        exact = {listed[r["at"]]: r["n"] for r in present.collect()}
+    out = []
+    for i, (name, f) in enumerate(names):
+        r = found.get(i)
+        rows, nulls, estimate = (r["rows"], r["rows"] - r["present"], r["estimate"] or 0) if r else (0, 0, 0)
+        sure = exact.get((name, f.name))
+        out.append((name, f.name, tables[name].columns.index(f.name), kind_of(f.dataType), rows, nulls, estimate if sure is None else sure, sure is not None or not rows))
+    schema = "table string, column string, position int, data_type string, rows bigint, null_count bigint, distinct_count bigint, exact boolean"
+    profiles = next(iter(tables.values())).sparkSession.createDataFrame(out, schema)
+    return profiles.withColumn("role", column_role(F.col("column"), F.col("data_type"), F.col("distinct_count"), F.col("rows")))
+
+
+def distinct_interval(estimate: int) -> tuple[float, float]:
+    """Between what numbers of distinct values a sketch's estimate lies."""
+    slack = SKETCH_ERRORS * 1.04 / 2 ** (SKETCH_BITS / 2)
+    return estimate * (1 - slack) - 1, estimate * (1 + slack) + 1
 
 
 def column_role(name: Column, kind: Column, distinct: Column, rows: Column) -> Column:

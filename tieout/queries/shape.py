@@ -256,7 +256,7 @@ KEYS = """k AS (SELECT tbl, col, data_type, distinct_count AS key_values,
 
 @query(f"""{PROFILE}, {KEYS} SELECT tbl AS "table", col AS "column", data_type, CAST(key_values AS BIGINT) AS key_values FROM pk""")
 def primary_keys(t):
-    return D.primary_keys(P.profile_tables(t.star())).drop("score")
+    return D.primary_keys(P.sketch_tables(t.star())).drop("score")
 
 
 FAMILY = {"integer": "number", "decimal": "number", "dateTime": "time", "string": "string"}
@@ -284,12 +284,12 @@ LINKS = f"""{PROFILE}, {KEYS}, v AS ({VALUES}),
     f"""{LINKS} SELECT tbl AS from_table, col AS from_col, parent AS to_table, pcol AS to_col, round(cont, 6) AS containment, round(conf, 2) AS confidence, active FROM rel"""
 )
 def foreign_keys(t):
-    return D.relationships(t.star(), P.profile_tables(t.star()))
+    return D.relationships(t.star(), P.sketch_tables(t.star()))
 
 
 def discovered(t):
     tables = t.star()
-    profiles = P.profile_tables(tables)
+    profiles = P.sketch_tables(tables)
     keys = D.primary_keys(profiles)
     rels = D.relationships(tables, profiles, keys)
     return profiles, keys, rels
