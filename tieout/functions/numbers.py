@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +95,52 @@ def _spelled(text: Column) -> Column:
     return F.when(short == "", F.lit("0")).otherwise(F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), plain))
 
 
+#: A limb holds six digits, so its sum fits 64 bits for nine million million rows.
+LIMBS, LIMB = 4, 10**6
+#: Below 10 to the power of the first, that many decimals make at most fifteen digits, which a double holds.
+PLAIN_DECIMALS = ((6, 9), (9, 6), (11, 4), (13, 2), (15, 0))
+
+
+def plain_units(value: Column, dtype: T.DataType) -> tuple[Column, Column] | None:
+    """A number as whole units and billionths, both 64-bit; NULL where it isn't a plain one. None for types without.
+
+    A double is plain if it is the double of a number of at most fifteen digits and nine decimals, which then
+    is its shortest text: multiplied out to a whole number and divided again it is the same.
+    """
+    if isinstance(dtype, T.IntegralType):
+        whole = value.cast("bigint")
+        return F.when((whole > -(10**15)) & (whole < 10**15), whole), F.lit(0).cast("bigint")
+    if not isinstance(dtype, T.DoubleType):
+        return None
+    size = F.abs(value)
+    pick = lambda of, kind: reduce(lambda so_far, p: F.when(size < 10.0 ** p[0], F.lit(of(p[1])).cast(kind)).otherwise(so_far), reversed(PLAIN_DECIMALS), F.lit(None).cast(kind))
+    scale = pick(lambda d: 10.0**d, "double")
+    scaled = F.rint(value * scale)
+    units = F.when((size < 1e15) & (scaled / scale == value), scaled.cast("bigint"))
+    step = pick(lambda d: 10**d, "bigint")
+    # Division truncates toward zero, so both parts have the number's sign.
+    return _whole_part(units, step), (units % step) * pick(lambda d: 10 ** (9 - d), "bigint")
+
+
+def _whole_part(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def limbs(whole: Column, part: Column) -> list[Column]:
+    """Billionths in limbs of six digits, the lowest first, from whole units and billionths."""
+    thousand, limb = F.lit(1000).cast("bigint"), F.lit(LIMB).cast("bigint")
+    upper = _whole_part(whole, thousand)
+    return [part % limb, (whole % thousand) * thousand + _whole_part(part, limb), upper % limb, _whole_part(upper, limb)]
+
+
+def from_limbs(sums: list[Column]) -> Column:
+    """Sums of limbs as one number of nine decimals; carries come out of the addition."""
+    tens = ["0.000000001", "0.001", "1000", "1000000000"]
+    term = [(s.cast("decimal(20,0)") * F.lit(Decimal(t))) for s, t in zip(sums, tens)]
+    low = (term[0].cast("decimal(33,9)") + term[1].cast("decimal(33,9)")).cast("decimal(34,9)") + term[2].cast("decimal(34,9)")
+    return (term[3].cast("decimal(36,9)") + low.cast("decimal(35,9)")).cast("decimal(36,9)")
+
+
 def below(value: Column) -> Column:
     """The part of a decimal below nine decimals, with its sign."""
     return value % F.lit(Decimal("0.000000001")).cast("decimal(10,9)")

@@ -20,6 +20,7 @@ from tieout.functions.cells import EXACT, MULTIPLE, Piece, Tolerance, compare_ce
 from tieout.functions.normalize import (
     NULL_TAG,
     Normalize,
+    Number,
     comparable_number,
     composite_key,
     display_part,
@@ -33,7 +34,7 @@ from tieout.functions.normalize import (
     to_second,
     utc,
 )
-from tieout.functions.numbers import REST_TYPE, SUM_TYPE, trimmed
+from tieout.functions.numbers import INPUT_TYPE, LIMBS, REST_TYPE, SUM_TYPE, from_limbs, limbs, plain_units, trimmed
 from tieout.model import Pair, Side, pairs, quoted, resolve
 from tieout.session import checkpointed
 
@@ -131,6 +132,18 @@ def _piece(prefix: str, i: int, form: str | None, granularity: str, columns) ->
     return Piece(number, low, several, rest, odd)
 
 
+def _limbs(df: DataFrame, side: str, i: int) -> list[str]:
+    """The columns that hold a value's limbs, none where its type has no plain numbers."""
+    return [c for c in (f"{side}l{i}_{j}" for j in range(LIMBS)) if c in df.columns]
+
+
+def _total(grouped: DataFrame, name: str, side: str, i: int) -> Column:
+    """The sum of a value's plain numbers and of its others; NULL where it has neither."""
+    sums = [F.col(c) for c in _limbs(grouped, side, i)]
+    others = F.coalesce(F.col(name).cast(SUM_TYPE), F.lit(0).cast(SUM_TYPE))
+    return F.when(sums[0].isNull(), F.col(name)).otherwise(others + from_limbs(sums)).alias(name)
+
+
 @dataclass(frozen=True)
 class Comparison:
     """The outcome: ``rows`` (empty after a refusal), a one-row ``summary``, and ``all_rows``."""
@@ -270,10 +283,17 @@ def compare(
             if not (is_number(dtype) or is_temporal(dtype) or isinstance(dtype, T.NullType)):
                 first.append(trimmed(quoted(n).cast("string")).alias(f"neat{i}"))
         rows = df.select(*first)
+        # Plain numbers are summed in limbs of 64 bits; only the others are parsed as decimals.
+        plain = {i: plain_units(raw(nk + i), types[nk + i]) for i in range(len(values))}
+        plain = {i: parts for i, parts in plain.items() if parts is not None}
+        rows = rows.select("*", *[c.alias(f"{part}{i}") for i, parts in plain.items() for part, c in zip(("whole", "part"), parts)])
         spell = {i: F.col(f"spell{i}") for i in range(nk, nk + len(values)) if f"neat{i}" in rows.columns}
         rows = rows.select("*", *[spelling_of(neat(i)).alias(f"spell{i}") for i in spell])
         numbers, parts = [], [comparable_number(raw(nk + i), types[nk + i], neat(nk + i), spell.get(nk + i)) for i in range(len(values))]
         for i, found in enumerate(parts):
+            if i in plain:
+                other = F.col(f"whole{i}").isNull()
+                found = Number(*[None if c is None else F.when(other, c) for c in (found.main, found.rest, found.spelling)])
             numbers.append(found.main.alias(f"number{i}"))
             numbers.append((F.lit(None).cast(REST_TYPE) if found.rest is None else found.rest).alias(f"rest{i}"))
             numbers.append((F.lit(None).cast("string") if found.spelling is None else found.spelling).alias(f"odd{i}"))
@@ -282,9 +302,12 @@ def compare(
         out += [F.lit(1 if mine else 0).alias("sr"), F.lit(0 if mine else 1).alias("tr")]
         for i, form in enumerate(forms):
             out.append(number(i).alias(f"{prefix}n{i}"))
+            if i in plain:
+                out += [c.alias(f"{prefix}l{i}_{j}") for j, c in enumerate(limbs(F.col(f"whole{i}"), F.col(f"part{i}")))]
             odd = F.col(f"odd{i}")
             if form:
-                text = _text_value(raw(nk + i), types[nk + i], form, normalize, number(i), odd, neat(nk + i))
+                known = F.coalesce(F.col(f"whole{i}").cast(INPUT_TYPE), number(i)) if i in plain else number(i)
+                text = _text_value(raw(nk + i), types[nk + i], form, normalize, known, odd, neat(nk + i))
                 out.append(text.alias(f"{prefix}t{i}"))
             if parts[i].rest is not None:
                 out.append(F.col(f"rest{i}").alias(f"{prefix}r{i}"))
@@ -297,18 +320,28 @@ def compare(
     stacked = layout("s", source.df, s_names, s_types).unionByName(
         layout("t", target.df, t_names, t_types), allowMissingColumns=True
     )
-    aggs = [F.sum("sr").alias("source_row_count"), F.sum("tr").alias("target_row_count")]
+    # What each result column is made of; all of these can be worked out again from their own results.
+    made = [("source_row_count", F.sum, "sr"), ("target_row_count", F.sum, "tr")]
     for i, form in enumerate(forms):
         for side in "st":
-            aggs.append(F.sum(f"{side}n{i}").alias(f"{side}n{i}"))
+            made += [(c, F.sum, c) for c in (f"{side}n{i}", *_limbs(stacked, side, i))]
             if form:
-                aggs.append(F.min(f"{side}t{i}").alias(f"{side}lo{i}"))
+                made.append((f"{side}lo{i}", F.min, f"{side}t{i}"))
             if form in ("time", "text"):
-                aggs.append(F.max(f"{side}t{i}").alias(f"{side}hi{i}"))
-            aggs += [F.sum(f"{side}{kind}{i}").alias(f"{side}{kind}{i}") for kind in "ro" if f"{side}{kind}{i}" in stacked.columns]
+                made.append((f"{side}hi{i}", F.max, f"{side}t{i}"))
+            made += [(f"{side}{kind}{i}", F.sum, f"{side}{kind}{i}") for kind in "ro" if f"{side}{kind}{i}" in stacked.columns]
             if f"{side}w{i}" in stacked.columns:
-                aggs += [F.min(f"{side}w{i}").alias(f"{side}wlo{i}"), F.max(f"{side}w{i}").alias(f"{side}whi{i}")]
-    grouped = stacked.groupBy(*[f"k{i}" for i in range(nk)]).agg(*aggs)
+                made += [(f"{side}wlo{i}", F.min, f"{side}w{i}"), (f"{side}whi{i}", F.max, f"{side}w{i}")]
+    by, cells = [f"k{i}" for i in range(nk)], stacked
+    texts = {f"{side}t{i}" for i, form in enumerate(forms) if form == "text" for side in "st"}
+    if texts:
+        # Extremes of text need sorted rows. Equal texts of a key are merged by hash first, so few rows are sorted.
+        cells = stacked.groupBy(*by, *sorted(texts)).agg(*[fn(c).alias(out) for out, fn, c in made if c not in texts])
+        made = [(out, fn, c if c in texts else out) for out, fn, c in made]
+    grouped = cells.groupBy(*by).agg(*[fn(c).alias(out) for out, fn, c in made])
+    totals = {f"{side}n{i}": (side, i) for i in range(len(forms)) for side in "st" if _limbs(stacked, side, i)}
+    held = {c for side, i in totals.values() for c in _limbs(stacked, side, i)}
+    grouped = grouped.select(*[_total(grouped, c, *parts) if (parts := totals.get(c)) else F.col(c) for c in grouped.columns if c not in held])
     if nk == 0:
         grouped = grouped.where("source_row_count + target_row_count > 0")
     if materialize:
