@@ -109,7 +109,8 @@ def plain_units(value: Column, dtype: T.DataType) -> tuple[Column, Column] | Non
     """
     if isinstance(dtype, T.IntegralType):
         whole = value.cast("bigint")
-        return F.when((whole > -(10**15)) & (whole < 10**15), whole), F.lit(0).cast("bigint")
+        plain = (whole > -(10**15)) & (whole < 10**15)
+        return F.when(plain, whole), F.when(plain, F.lit(0).cast("bigint"))
     if not isinstance(dtype, T.DoubleType):
         return None
     size = F.abs(value)
