@@ -271,3 +271,18 @@ def test_filters_of_measures_reach_the_scan(spark, tmp_path):
     assert tuple(found.first()) == (8, 2)
     assert tuple(M.evaluate(df, [one.refine(F.col("k") > 9)]).first()) == (None,)
     assert M.evaluate(df, [one, whole]).first()["v"] == 10
+
+
+def test_fuzzy_candidates_of_names_with_one_start(spark):
+    """Names that differ in their last digits: a request meets few names, not all."""
+    from tieout.operators import fuzzy as Z
+
+    names = spark.range(3000).select(F.format_string("Customer#%09d", F.col("id") * 37).alias("name"))
+    plain_names = names.select(plain(F.col("name")).alias("k"))
+    asked = plain_names.withColumnRenamed("k", "w")
+    assert Z._inside(asked, "w", plain_names, "k").count() < 40 * 3000
+    assert Z._one_edit(asked, plain_names).count() < 40 * 3000
+    typed = names.select(F.concat(F.lit("x"), F.lower("name")).alias("typed"), F.concat(F.substring("name", 1, 8), F.lit("?"), F.substring("name", 10, 99)).alias("equal"), "name")
+    for column, score in (("equal", 1.0), ("typed", 0.82)):
+        got = Z.fuzzy_join(typed, column, names, "name")
+        assert got.where((F.col("matched_value") == F.col("name")) & (F.col("match_score") == score)).count() == 3000

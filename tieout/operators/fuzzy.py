@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.model import quoted
+from tieout.session import checkpointed
 
 # Scores and limits of the match.
 CONTAINS_SCORE = 0.82
@@ -37,10 +39,45 @@ def match_score(wanted: Column, value: Column) -> Column:
     )
 
 
-def _grams(text: Column) -> Column:
-    """All pieces of one, two and three characters."""
-    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters of a text that has so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def _inside(inner: DataFrame, a: str, outer: DataFrame, b: str) -> DataFrame:
+    """Pairs in which the text ``a`` may stand within the text ``b``.
+
+    All pieces of three characters of ``a`` then stand in ``b``, so ``a`` is looked up by the rarest of them
+    alone; one whose piece no ``b`` has is dropped. Shorter texts are pieces themselves.
+    """
+    long = F.length(a) > 2
+    held = outer.filter(F.length(b) > 2).select(b, F.explode(_grams(F.col(b), 3)).alias("piece"))
+    common = held.groupBy("piece").agg(F.count("*").alias("n"))
+    asked = inner.filter(long).select(a, F.explode(_grams(F.col(a), 3)).alias("piece")).join(common, "piece", "left")
+    rarest = asked.groupBy(a).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).filter("r.n > 0")
+    pairs = rarest.select(a, F.col("r.piece").alias("piece")).join(held, "piece").select(a, b)
+    short = inner.filter(~long & (F.col(a) != ""))
+    for n in (1, 2):
+        pieces = outer.filter(F.length(b) >= n).select(b, F.explode(_grams(F.col(b), n)).alias("piece"))
+        pairs = pairs.unionAll(short.filter(F.length(a) == n).join(pieces, F.col(a) == F.col("piece")).select(a, b))
+    return pairs
+
+
+def _without_one(text: Column) -> Column:
+    """Hashes of a text, and of what is left of it without each one of its characters."""
+    cut = lambda i: F.xxhash64(F.concat(F.left(text, i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(text)), F.transform(F.sequence(F.lit(1), F.length(text)), cut)))
+
+
+def _one_edit(wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs one edit apart, and some two apart: they agree when one character of either or both is left out.
+
+    One edit leaves more of a text than two do (of texts of more than two characters), whatever the lengths, so a
+    text that has a partner here needs no other.
+    """
+    a = wanted.filter(F.length("w") > 2).select("w", F.explode(_without_one(F.col("w"))).alias("piece"))
+    b = keys.select("k", F.explode(_without_one(F.col("k"))).alias("piece"))
+    return a.join(b, "piece").select("w", "k").distinct().filter(F.levenshtein("w", "k") == 1)
 
 
 def _edits(length: Column, share: float) -> Column:
@@ -79,9 +116,10 @@ def fuzzy_join(requests: DataFrame, column: str, values: DataFrame, value: str,
     """Each request with its best value and score; NULL where nothing scores ``accept``.
 
     Distinct texts are matched once, however many rows have them, and there is no bound on how many values
-    there are. Candidates come from equality, from the first letters of a text inside the other, and from
-    an unchanged piece of close texts; together they miss no pair that is accepted. Equal scores go to the
-    first value in order. ``by_word`` also tries the single words of a request.
+    there are. Candidates come in steps of falling scores: equality, one text within the other by its rarest
+    piece, one edit, and an unchanged piece of close texts. Each step takes only what the steps before left
+    without a match, which no later step could better; together they miss no pair that could be the best. Equal
+    scores go to the first value in order. ``by_word`` also tries the single words of a request.
     """
     if not 0 < accept <= 1:
         raise ValueError("accept is above 0 and at most 1")
@@ -89,22 +127,28 @@ def fuzzy_join(requests: DataFrame, column: str, values: DataFrame, value: str,
     listed = requests.select(quoted(column).alias("text")).distinct()
     texts = F.concat(F.array("text"), F.split("text", r"\s+")) if by_word else F.array("text")
     listed = listed.select("text", F.explode(F.array_distinct(F.transform(F.filter(texts, usable), plain))).alias("w"))
-    listed = listed.filter("w <> ''")
-    wanted = listed.select("w").distinct()
+    listed = checkpointed(listed.filter("w <> ''"))
     named = values.select(quoted(value).cast("string").alias("v")).filter("v is not null").distinct().select("v", plain(F.col("v")).alias("k")).filter("k <> ''")
-    known = named.groupBy("k").agg(F.min("v").alias("v"))
-    keys = known.select("k")
-    head = lambda t: F.left(t, F.least(F.length(t), F.lit(3)))
-    inside = wanted.filter(F.length("w") > 2).select("w", head(F.col("w")).alias("piece")).join(keys.select("k", F.explode(_grams(F.col("k"))).alias("piece")), "piece")
-    around = keys.select("k", head(F.col("k")).alias("piece")).join(wanted.filter(F.length("w") > 2).select("w", F.explode(_grams(F.col("w"))).alias("piece")), "piece")
-    pairs = wanted.join(keys, F.col("w") == F.col("k")).select("w", "k")
+    known = checkpointed(named.groupBy("k").agg(F.min("v").alias("v")))
+    keys, floor = known.select("k"), max(SIMILARITY_FLOOR, accept / SIMILARITY_WEIGHT)
+
+    def within(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.filter(F.length("w") > 2)
+        return _inside(wanted, "w", keys, "k").unionAll(_inside(keys, "k", wanted, "w").select("w", "k"))
+
+    # Whether a match settles the whole request or only the word that has it: another, longer word may be closer.
+    steps = [(lambda wanted: wanted.join(keys, F.col("w") == F.col("k")).select("w", "k"), "text")]
     if accept <= CONTAINS_SCORE:
-        pairs = pairs.unionAll(inside.select("w", "k")).unionAll(around.select("w", "k"))
-    floor = max(SIMILARITY_FLOOR, accept / SIMILARITY_WEIGHT)
+        steps.append((within, "text"))
     if floor < 1:
-        pairs = pairs.unionAll(_close_pairs(wanted, keys, 1 - floor))
-    scored = pairs.distinct().select("w", "k", match_score(F.col("w"), F.col("k")).alias("score")).filter(F.col("score") >= accept)
-    # The least pair of a falling score and a value is the first value of the best score.
-    best = scored.join(known, "k").join(listed, "w").groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("s"), "v")).alias("b"))
+        steps += [(lambda wanted: _one_edit(wanted, keys), "w"), (lambda wanted: _close_pairs(wanted, keys, 1 - floor), "w")]
+    left, matched = listed, []
+    for pairs, settles in steps:
+        scored = pairs(left.select("w").distinct()).distinct().select("w", "k", match_score(F.col("w"), F.col("k")).alias("score")).filter(F.col("score") >= accept)
+        # The least pair of a falling score and a value is the first value of the best score.
+        best = scored.join(known, "k").join(left, "w").groupBy("text", "w").agg(F.min(F.struct((-F.col("score")).alias("s"), "v")).alias("b"))
+        matched.append(checkpointed(best))
+        left = left.join(matched[-1].select(settles).distinct(), settles, "left_anti")
+    best = reduce(DataFrame.unionAll, matched).groupBy("text").agg(F.min("b").alias("b"))
     found = best.select(F.col("text").alias("__text"), F.col("b.v").alias("matched_value"), (-F.col("b.s")).alias("match_score"))
     return requests.join(found, quoted(column) == F.col("__text"), "left").select(*[quoted(c) for c in requests.columns], "matched_value", "match_score")
