@@ -116,8 +116,8 @@ def fuzzy_join(requests: DataFrame, column: str, values: DataFrame, value: str,
     """Each request with its best value and score; NULL where nothing scores ``accept``.
 
     Distinct texts are matched once, however many rows have them, and there is no bound on how many values
-    there are. Candidates come in steps of falling scores: equality, one text within the other by its rarest
-    piece, one edit, and an unchanged piece of close texts. Each step takes only what the steps before left
+    there are. Candidates come in steps of falling scores: equality and one text within the other by its
+    rarest piece, then one edit, then an unchanged piece of close texts. Each step takes only what the steps before left
     without a match, which no later step could better; together they miss no pair that could be the best. Equal
     scores go to the first value in order. ``by_word`` also tries the single words of a request.
     """
@@ -137,13 +137,14 @@ def fuzzy_join(requests: DataFrame, column: str, values: DataFrame, value: str,
         return _inside(wanted, "w", keys, "k").unionAll(_inside(keys, "k", wanted, "w").select("w", "k"))
 
     # Whether a match settles the whole request or only the word that has it: another, longer word may be closer.
-    steps = [(lambda wanted: wanted.join(keys, F.col("w") == F.col("k")).select("w", "k"), "text")]
-    if accept <= CONTAINS_SCORE:
-        steps.append((within, "text"))
+    equal = lambda wanted: wanted.join(keys, F.col("w") == F.col("k")).select("w", "k")
+    steps = [(lambda wanted: equal(wanted).unionAll(within(wanted)) if accept <= CONTAINS_SCORE else equal(wanted), "text")]
     if floor < 1:
         steps += [(lambda wanted: _one_edit(wanted, keys), "w"), (lambda wanted: _close_pairs(wanted, keys, 1 - floor), "w")]
     left, matched = listed, []
     for pairs, settles in steps:
+        if matched and left.isEmpty():
+            break
         scored = pairs(left.select("w").distinct()).distinct().select("w", "k", match_score(F.col("w"), F.col("k")).alias("score")).filter(F.col("score") >= accept)
         # The least pair of a falling score and a value is the first value of the best score.
         best = scored.join(known, "k").join(left, "w").groupBy("text", "w").agg(F.min(F.struct((-F.col("score")).alias("s"), "v")).alias("b"))
