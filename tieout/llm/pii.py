@@ -35,7 +35,7 @@ BASE = {
 }
 #: Kinds without a check of their own.
 LOOSE = {
-    "veiled_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?i:at)[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[({](?i:dot)[\])}]) ?[A-Za-z0-9-]{1,63}+)+",
+    "veiled_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({](?i:at)[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[({](?i:dot)[\])}]) ?[A-Za-z0-9-]{1,63}+)++",
     "number": r"(?<![0-9A-Za-z])\(?[0-9]{2,4}+(?:[)\x20./-]{1,2}+[0-9]{2,4}+){2,5}+(?![0-9A-Za-z])",
     "account": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?+(?![0-9A-Za-z])",
 }
