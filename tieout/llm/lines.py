@@ -1,17 +1,19 @@
 """Fuzzy line deduplication by MinHash, all in DataFrame functions.
 
-Lines are compared trimmed; equal ones are one line from then on. A line's signature is made of least hashes
-over all its shingles of ``SHINGLE`` characters, the ones that are verified. Bands of the signature bring
-candidates together, in ``BANDS`` bands. First every line of a band is paired with the band's smallest line,
-and pairs are verified by the exact Jaccard similarity of their shingles. Then the lines of a band that are not
-yet connected are compared with each other and with all others of the band: directly in bands of up to ``FEW`` lines,
-and in larger ones where two lines share one of their rarest shingles in the band. Two lines of a similarity share
-one of so many of their rarest shingles that no similar pair of a band is passed over. The components of all verified
-pairs are found by star contraction. Of each component the first line of the smallest document stays, at its first
-place there; all other lines of the component go.
-
-Recall is that of the bands alone: two lines of similarity 0.8 meet in a band with probability 0.99, and any two
-lines that meet end up compared or already connected.
+Lines are compared trimmed; equal ones are one line from then on. The hashes of all shingles of ``SHINGLE``
+characters of a line, the ones that are verified, fall into ``PARTS`` parts, and a line's signature is made of the
+least hash of every part (one permutation; an empty part takes the next one's). Bands of the signature bring
+candidates together, and a sketch, four bits of each least hash, passes over candidates of which too few agree.
+First every line of a band is paired with the band's smallest line, and pairs are verified by the exact Jaccard
+similarity of their shingles. Then the lines of a band that are not yet connected are compared with all others of
+the band: by their sketches in bands of up to ``FEW`` lines, and in larger ones only where two lines also share one
+of their rarest shingles in the band. Two lines of a similarity share one of so many of their rarest shingles that
+no similar pair of a band is passed over. The components of all verified pairs are found by star contraction. Of
+each component the first line of the smallest document stays, at its first place there; all other lines of the
+component go.
+
+Recall is that of bands and sketches: two lines of similarity 0.8 meet in a band with probability 0.985, and
+their sketches agree enough with 0.9999. Any two lines that meet so end up compared or already connected.
 
 A NULL text counts as empty. Blank lines are left as they are. Rows with the same id count as one document: a line that
 stays, stays in each of them at its first place. A line of less than ``SHINGLE`` characters is its own
@@ -30,15 +32,19 @@ from tieout.session import stored
 
 SIMILARITY = 0.8
 SHINGLE = 5
-BANDS, ROWS = 7, 3
+BANDS, ROWS = 8, 4
+PARTS = BANDS * ROWS
+#: A shingle of a long line whose hash is not among the least of its line is no part's least: of so many hashes a part,
+#: none is left in 0.0067 of the parts, which then take the next part's.
+HELD = 5
+#: Of the sketches' 32 parts so many must agree. At similarity 0.8, one band agreeing, 26.7 do on average, with a
+#: standard deviation of 2.1.
+AGREE = 18
 #: Lines of a band with at most this many are compared without a look at their rarest shingles.
-FEW = 256
+FEW = 1024
 #: Candidates' lines are looked up through a set of at most this many slots, which goes to every task.
 SLOTS = 1 << 20
 
-EVERY = r"(?s)(?=(.{%d}))" % SHINGLE
-MASKS = [random.Random(i).getrandbits(64) - (1 << 63) for i in range(BANDS * ROWS)]
-
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, pos, line (trimmed, not blank), and its two hashes."""
@@ -48,77 +54,135 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("id", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
-def _shingles(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(EVERY), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(line))
+def _code_points(line: Column) -> Column:
+    """The line with four bytes for every character, so that a shingle is found without a walk over the text."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(points: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(points) / 4).cast("int") - SHINGLE, F.lit(0)))
+
+
+def _shingle_hash(points: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(points, at * 4 + 1, F.lit(4 * SHINGLE)))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """A row per distinct line: its hashes, how often it occurs, its smallest document, and its bands."""
-    each = lines.select("id", "h", "g", F.posexplode(_shingles(F.col("line"))).alias("at", "shingle"))
-    each = each.select("id", "h", "g", "at", F.xxhash64("shingle").alias("x"))
-    least = [F.min(F.col("x").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)]
-    distinct = each.groupBy("h", "g").agg(F.sum((F.col("at") == 0).cast("int")).alias("n"), F.min("id").alias("least"), *least)
+    """A row per distinct line: its hashes, how often it occurs, its smallest document, its bands and its sketch."""
+    each = lines.select("id", "h", "g", _code_points(F.col("line")).alias("points"))
+    # A part's least hash is almost surely among the least HELD of a line's hashes for every part, on average.
+    share = F.lit(HELD * PARTS) / F.greatest(F.octet_length("points") / 4, F.lit(HELD * PARTS + 1))
+    each = each.select("id", "h", "g", "points", (share * 2.0**64 - 2.0**63).cast("long").alias("limit"))
+    each = each.select("id", "h", "g", "points", "limit", F.explode(_starts(F.col("points"))).alias("at"))
+    each = each.select("id", "h", "g", "limit", "at", _shingle_hash(F.col("points"), F.col("at")).alias("x"))
+    each = each.filter("x <= limit or at = 0 or limit > 9e18")
+    each = each.withColumn("bin", F.col("x").bitwiseAND(F.lit(PARTS - 1)).cast("int"))
+    # A filter on an aggregate keeps a row from the other parts, so a shingle costs one update and not all.
+    least = [F.expr(f"min(x) filter (where bin = {i})").alias(f"m{i}") for i in range(PARTS)]
+    distinct = each.groupBy("h", "g").agg(F.expr("count(*) filter (where at = 0)").alias("n"), F.expr("min(id) filter (where at = 0)").alias("least"), *least)
+    for far in (1, 2, 4, 8, 16):  # a part without a shingle takes the next part's that has one
+        mark = F.lit(random.Random(far).getrandbits(63))
+        distinct = distinct.select("h", "g", "n", "least", *[F.coalesce(f"m{i}", F.col(f"m{(i + far) % PARTS}").bitwiseXOR(mark)).alias(f"m{i}") for i in range(PARTS)])
     bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return distinct.select("h", "g", "n", "least", *bands)
+    return distinct.select("h", "g", "n", "least", *bands, *[_sketch(16 * k).alias(f"s{k}") for k in range(2)])
+
+
+def _sketch(first: int) -> Column:
+    """Four bits of each of sixteen least hashes side by side."""
+    parts = [F.shiftleft(F.shiftright(F.col(f"m{first + i}"), 8).bitwiseAND(F.lit(15)), 4 * i) for i in range(16)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.bitwiseOR(part)
+    return whole
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether enough parts of two lines' sketches (columns with these prefixes) agree."""
+    differing = F.lit(0)
+    for k in range(2):
+        x = F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differing <= 32 - AGREE
 
 
 def shared(signed: DataFrame) -> DataFrame:
-    """Columns band and h: the lines of every band that has more than one."""
+    """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one."""
     bands = signed.select("h", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
-    several = bands.groupBy("band").agg(F.min("h").alias("b"), F.max("h").alias("top")).filter("b <> top").select("band")
-    return bands.join(several, "band").distinct()
+    bands = bands.repartition("band")  # one exchange for the counts and for the lines they belong to
+    several = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("top"))
+    return bands.join(several.filter("low <> top").select("band", "n", "low"), "band")
+
+
+def _sketched(found: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree enough."""
+    for side in "ab":
+        found = found.join(signed.select(F.col("h").alias(side), *[F.col(f"s{k}").alias(f"{side}s{k}") for k in range(2)]), side)
+    return found.filter(_alike("a", "b")).select("a", "b")
 
 
-def pairs(bands: DataFrame) -> DataFrame:
-    """Columns a and b: each line of a band with the band's smallest line."""
-    least = bands.groupBy("band").agg(F.min("h").alias("b"))
-    return bands.join(least, "band").filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
+def pairs(bands: DataFrame, signed: DataFrame) -> DataFrame:
+    """Columns a and b: each line of a band with the band's smallest line, where their sketches agree."""
+    return _sketched(bands.filter("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b")).distinct(), signed)
 
 
-def unconnected(bands: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def unconnected(bands: DataFrame, classes: DataFrame, signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Columns a and b: all pairs of a band that are not of one component and may have this similarity."""
+    spark = bands.sparkSession
     placed = bands.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    several = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    held = stored(placed.join(several.filter("low <> high").select("band", "n"), "band")).read(bands.sparkSession)
-    few = held.filter(F.col("n") <= FEW).select("band", F.lit(0).cast("long").alias("x"), "h", "component")
-    # Of two similar sets each has one of the other's among so many of its rarest, in any one order of all.
-    named = texts.join(held.filter(F.col("n") > FEW).select("h").distinct(), "h", "left_semi").select("h", "size", _hashes(F.col("line")).alias("xs"))
-    each = held.filter(F.col("n") > FEW).join(named, "h").select("band", "h", "component", "size", F.explode("xs").alias("x"))
-    each = each.join(each.groupBy("band", "x").agg(F.count("*").alias("often")), ["band", "x"])
-    ordered = each.groupBy("band", "h", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
-    many = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
-    rare = ordered.select("band", "h", "component", F.explode(F.slice("xs", F.lit(1), many)).alias("s")).filter("s.often > 1")
-    met = stored(few.unionByName(rare.select("band", F.col("s.x").alias("x"), "h", "component"))).read(bands.sparkSession)
+    several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
+    held = stored(placed.join(several.select("band"), "band").select("band", "h", "n", "component"))
+    rows = held.read(spark)
+    met = rows.filter(F.col("n") <= FEW).select("band", F.lit(0).cast("long").alias("x"), "h", "component")
+    large = rows.filter(F.col("n") > FEW)
+    if not large.isEmpty():
+        # Of two similar sets each has one of the other's among so many of its rarest, in any one order of all.
+        texts = texts_of(large.select("h").distinct(), signed, lines)
+        named = texts.select("h", _hashes(F.col("points")).alias("xs")).select("h", "xs", F.size("xs").alias("size"))
+        each = large.join(named, "h").select("band", "h", "component", "size", F.explode("xs").alias("x"))
+        each = each.join(each.groupBy("band", "x").agg(F.count("*").alias("often")), ["band", "x"])
+        ordered = each.groupBy("band", "h", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
+        many = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
+        rare = ordered.select("band", "h", "component", F.explode(F.slice("xs", F.lit(1), many)).alias("s")).filter("s.often > 1")
+        met = met.unionByName(rare.select("band", F.col("s.x").alias("x"), "h", "component"))
+    met = met.join(signed.select("h", "s0", "s1"), "h")
     # One end of each pair is outside the largest component of those that meet.
     largest = met.groupBy("band", "x", "component").count().groupBy("band", "x").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    outside = met.join(largest, ["band", "x"]).filter("component <> largest").select("band", "x", F.col("h").alias("o"), F.col("component").alias("c"))
-    both = outside.join(met, ["band", "x"]).filter("c <> component")
+    outside = met.join(largest, ["band", "x"]).filter("component <> largest")
+    outside = outside.select("band", "x", F.col("h").alias("o"), F.col("component").alias("c"), F.col("s0").alias("os0"), F.col("s1").alias("os1"))
+    both = outside.join(met, ["band", "x"]).filter(F.col("c") != F.col("component")).filter(_alike("o", ""))
     return both.select(F.greatest("o", "h").alias("a"), F.least("o", "h").alias("b")).distinct()
 
 
 def texts_of(named: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Columns h, line and size (of its set of shingles) of the lines that ``named`` holds."""
+    """Columns h and points (the line, four bytes a character) of the lines that ``named`` holds, as a written table."""
     spark = named.sparkSession
     # A line's text is taken from its smallest document; which lines those may be, a bounded set tells every task.
-    wanted = stored(signed.select("h", F.col("least").alias("id")).join(named, "h", "left_semi")).read(spark)
+    wanted = stored(signed.select("h", F.col("least").alias("id")).join(named, "h", "left_semi"))
     slot = F.pmod(F.xxhash64("h", "id"), F.lit(SLOTS)).alias("slot")
-    likely = lines.select("h", "id", "line", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi")
-    return likely.select("h", "id", "line").join(wanted, ["h", "id"], "left_semi").dropDuplicates(["h"]).select("h", "line", F.size(_hashes(F.col("line"))).alias("size"))
+    likely = lines.select("h", "id", "line", slot).join(F.broadcast(wanted.read(spark).select(slot).distinct()), "slot", "left_semi")
+    texts = likely.select("h", "id", "line").join(wanted.read(spark), ["h", "id"], "left_semi").dropDuplicates(["h"])
+    found = stored(texts.select("h", _code_points(F.col("line")).alias("points")))
+    wanted.drop(spark)
+    return found.read(spark)
 
 
-def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(_shingles(line), lambda s: F.xxhash64(s)))
+def _hashes(points: Column) -> Column:
+    # The outer step binds the line to a name, so that it isn't copied out of its row for every shingle.
+    bound = F.transform(F.array(points), lambda p: F.array_distinct(F.transform(_starts(p), lambda at: _shingle_hash(p, at))))
+    return F.get(bound, F.lit(0))
 
 
-def verified(found: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def verified(found: DataFrame, signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose sets of all shingles have this Jaccard similarity."""
-    both = found.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x"), F.col("size").alias("m")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y"), F.col("size").alias("n")), "b")
-    both = both.filter(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
-    sets = both.select("a", "b", (F.col("m") + F.col("n")).alias("sizes"), *[_hashes(F.col(c)).alias(c) for c in "xy"])
-    common = F.size(F.array_intersect("x", "y"))
-    counted = sets.select("a", "b", common.alias("common"), "sizes")
-    return counted.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b")
+    ends = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = texts_of(ends, signed, lines)
+    both = found.join(texts.select(F.col("h").alias("a"), F.col("points").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("points").alias("y")), "b")
+    sets = both.select("a", "b", *[_hashes(F.col(c)).alias(c) for c in "xy"])
+    counted = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    # Written before the filter, which would otherwise be moved down and make the sets again.
+    return stored(counted).read(found.sparkSession).filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
 def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -126,11 +190,12 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     spark = docs.sparkSession
     lines = _lines(docs, key, text)
     signed = stored(signatures(lines)).read(spark)
-    bands = stored(shared(signed)).read(spark)
-    texts = stored(texts_of(bands.select("h").distinct(), signed, lines)).read(spark)
-    close = stored(verified(pairs(bands), texts, similarity)).read(spark)
-    further = verified(unconnected(bands, components(close).read(spark), texts, similarity), texts, similarity)
-    classes = components(close.unionByName(further)).read(spark)
+    met = stored(shared(signed))
+    bands = met.read(spark)
+    close = stored(verified(stored(pairs(bands, signed)).read(spark), signed, lines, similarity)).read(spark)
+    further = stored(unconnected(bands, components(close).read(spark), signed, lines, similarity)).read(spark)
+    met.drop(spark)
+    classes = components(close.unionByName(verified(further, signed, lines, similarity))).read(spark)
     # Lines that occur once and are like no other need no further look.
     several = signed.select("h", "g", "n", "least").join(classes.withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
     several = several.withColumn("component", F.coalesce("component", "h"))
