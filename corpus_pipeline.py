@@ -19,6 +19,13 @@ from tieout.session import stored
 TOXIC = 0.3
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the documents starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name = "_" + name
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. It learns from the labels of the documents that are here;
     without labels of both classes it knows nothing and rejects none."""
@@ -26,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not model.weights.any():
         return docs
-    scored = toxicity.score(docs, model, whole=True, name="_toxic")
-    return scored.filter(F.col("_toxic") < TOXIC).drop("_toxic")
+    name = unused(docs, "_toxic")
+    return toxicity.score(docs, model, whole=True, name=name).filter(F.col(name) < TOXIC).drop(name)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +48,9 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one document, of which one row stays; rows without an id are in no group and stay."""
     reachable(spark)
     groups = simhash.near_duplicates(docs.filter("doc_id is not null"))
-    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    name = unused(docs, "_id")
+    stays = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(stays, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionAll(docs.filter("doc_id is null"))
 
 
@@ -50,8 +58,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in which less than one word in twenty is from the benchmark."""
     reachable(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_overlap(docs, benchmark, whole=True, prefix="_overlap_")
-    return found.filter(~decontaminate.is_contaminated("_overlap_")).drop(*[c for c in found.columns if c.startswith("_overlap_")])
+    prefix = unused(docs, "_overlap_")
+    found = decontaminate.find_overlap(docs, benchmark, whole=True, prefix=prefix)
+    return found.filter(~decontaminate.is_contaminated(prefix)).drop(*[c for c in found.columns if c.startswith(prefix)])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
