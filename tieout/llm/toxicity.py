@@ -33,6 +33,8 @@ PER_CLASS = 2500
 SAMPLE_BYTES = 96 << 20
 #: Buckets kept, the smoothing of counts, passes over the sample, and the strength of the penalty.
 KEPT, SMOOTHING, EPOCHS, PENALTY = 40_000, 0.5, 15, 1e-5
+#: Passes are added until so many steps were taken, since a few labels make few steps a pass.
+STEPS = 600
 #: A kept bucket's log ratio is at least TELLING, and at least FIRM times its standard error.
 TELLING, FIRM = 2.0, 2.5
 
@@ -126,10 +128,11 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> Model:
 
 def _logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression over presences times ``scale``, by adaptive steps over small groups of rows."""
-    weights, bias = np.zeros(len(scale)), 0.0
+    # The bias starts at what fits without any n-gram: from zero, a small sample ends before it gets there.
+    weights, bias = np.zeros(len(scale)), float(np.log(labels.sum() / (~labels).sum()))
     speed, bias_speed = np.full(len(scale), 1e-3), 1e-3
     order, target = np.random.default_rng(0), labels.astype(float)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * 32 // len(rows)))):
         shuffled = order.permutation(len(rows))
         for i in range(0, len(shuffled), 32):
             some = shuffled[i : i + 32]
