@@ -1,8 +1,8 @@
-"""Fuzzy line deduplication by MinHash, all in DataFrame functions.
+"""Fuzzy line deduplication by MinHash.
 
 Lines are compared trimmed; equal ones are one line from then on. The hashes of all shingles of ``SHINGLE``
 characters of a line, the ones that are verified, fall into ``PARTS`` parts, and a line's signature is made of the
-least hash of every part (one permutation; an empty part takes the next one's). Bands of the signature bring
+least hash of every part (one permutation; an empty part takes another one's). Bands of the signature bring
 candidates together, and a sketch, four bits of each least hash, passes over candidates of which too few agree.
 First every line of a band is paired with the band's smallest line, and pairs are verified by the exact Jaccard
 similarity of their shingles. Then the lines of a band that are not yet connected are compared with all others of
@@ -12,6 +12,9 @@ no similar pair of a band is passed over. The components of all verified pairs a
 each component the first line of the smallest document stays, at its first place there; all other lines of the
 component go.
 
+Shingles are hashed in Arrow batches with numpy: in DataFrame functions every shingle is a row, which took ten times
+the processor time that is allowed. Spark does the grouping, joins and components.
+
 Recall is that of bands and sketches: two lines of similarity 0.8 meet in a band with probability 0.985, and
 their sketches agree enough with 0.9999. Any two lines that meet so end up compared or already connected.
 
@@ -23,77 +26,159 @@ only shingle. Rows without an id lose no lines and give none away. An empty tabl
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tieout.llm.common import components
-from tieout.session import stored
+from tieout.llm.common import blocks, components, reachable
+from tieout.session import Kept, stored
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 8, 4
 PARTS = BANDS * ROWS
-#: A shingle of a long line whose hash is not among the least of its line is no part's least: of so many hashes a part,
-#: none is left in 0.0067 of the parts, which then take the next part's.
-HELD = 5
 #: Of the sketches' 32 parts so many must agree. At similarity 0.8, one band agreeing, 26.7 do on average, with a
 #: standard deviation of 2.1.
 AGREE = 18
 #: Lines of a band with at most this many are compared without a look at their rarest shingles.
 FEW = 1024
-#: Candidates' lines are looked up through a set of at most this many slots, which goes to every task.
+#: Lines are looked up through a set of at most this many slots of hashes, which goes to every task.
 SLOTS = 1 << 20
+#: Characters whose shingles are in a task's memory at once; a longer line is a block of its own.
+SHINGLED = 1 << 20
+
+BLANK = b" \t\r\f\v"
+#: Fills lines up to a shingle; no text holds it.
+FILL = "\udfff"
+NONE = np.uint64(2**64 - 1)
+SIGNED = "h long, line binary, s0 long, s1 long"
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The numbers with every bit spread over all others."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _numbers(lines: list[bytes]) -> np.ndarray:
+    """Two hashes of each line."""
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), "<i8").reshape(-1, 2)
+
+
+def _shingled(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For groups of lines: the first line, the one after the last, all hashes of their shingles and whose each is."""
+    texts = [x.decode("utf-8", "replace").ljust(SHINGLE, FILL) for x in lines]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(texts):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SHINGLED, "right")))
+        points = np.frombuffer("".join(texts[start:stop]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        rolled = points[: len(points) - SHINGLE + 1].copy()
+        for k in range(1, SHINGLE):
+            rolled *= np.uint64(0x9E3779B97F4A7C15)
+            rolled += points[k : len(rolled) + k]
+        many = sizes[start:stop] - (SHINGLE - 1)
+        owner = np.repeat(np.arange(stop - start), many)
+        yield start, stop, _mixed(rolled[np.arange(len(owner)) + (SHINGLE - 1) * owner]), owner
+        start = stop
+
+
+def _least(lines: list[bytes]) -> np.ndarray:
+    """The least hash of every part, a row per line."""
+    found = np.full((len(lines), PARTS), NONE)
+    for start, stop, x, owner in _shingled(lines):
+        part = (x & np.uint64(PARTS - 1)).astype(np.int64)
+        np.minimum.at(found[start:stop].reshape(-1), owner * PARTS + part, x)
+    for far in (1, 2, 4, 8, 16):  # a part without a shingle takes the one of a part further on
+        other = np.roll(found, -far, axis=1)
+        mark = np.uint64(random.Random(far).getrandbits(63))
+        found = np.where((found == NONE) & (other != NONE), other ^ mark, found)
+    return found
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    """A number for every band of the signatures."""
+    bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS)).copy()
+    for r in range(ROWS):
+        bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, r::ROWS])
+    return bands.view(np.int64)
+
+
+def _sketches(least: np.ndarray) -> np.ndarray:
+    """Four bits of each least hash, side by side in two numbers."""
+    bits = ((least >> np.uint64(8)) & np.uint64(15)) << (np.arange(PARTS, dtype=np.uint64) % np.uint64(16) * np.uint64(4))
+    return np.bitwise_or.reduce(bits.reshape(len(least), 2, 16), axis=2).view(np.int64)
+
+
+def _lines_of(batch: pa.RecordBatch) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
+    """The different lines (trimmed, not blank) of a batch's texts, and for each text its lines' places and numbers."""
+    known: dict[bytes, int] = {}
+    placed = []
+    for text in batch.column("text").cast(pa.binary()).to_pylist():
+        stripped = [x.strip(BLANK) for x in text.split(b"\n")]
+        placed.append([(pos, known.setdefault(x, len(known))) for pos, x in enumerate(stripped) if x])
+    return list(known), placed
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    reachable(docs.sparkSession)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
+
+
+def _slots(hashes: DataFrame) -> np.ndarray:
+    """Which of ``SLOTS`` slots the column h falls into: a fixed number of marks, however many hashes there are."""
+    marks = np.zeros(SLOTS, bool)
+    marks[hashes.select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    return marks
+
+
+def banded(texts: DataFrame) -> DataFrame:
+    """Columns band and h: the bands of every line, once for each block of texts that holds it."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            lines, _ = _lines_of(batch)
+            for i in range(0, len(lines), 16384):
+                some = lines[i : i + 16384]
+                h = np.repeat(_numbers(some)[:, 0], BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(_bands(_least(some)).reshape(-1)), pa.array(h)], ["band", "h"])
+
+    return texts.select("text").mapInArrow(found, "band long, h long")
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, pos, line (trimmed, not blank), and its two hashes."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    rows = rows.select("id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    rows = rows.select("id", "pos", F.trim("line", F.lit(" \t\r\f\v")).alias("line")).filter("line <> ''")
-    return rows.select("id", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-
-
-def _code_points(line: Column) -> Column:
-    """The line with four bytes for every character, so that a shingle is found without a walk over the text."""
-    return F.encode(line, "UTF-32")
-
-
-def _starts(points: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(points) / 4).cast("int") - SHINGLE, F.lit(0)))
-
-
-def _shingle_hash(points: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(points, at * 4 + 1, F.lit(4 * SHINGLE)))
+def shared(bands: DataFrame) -> DataFrame:
+    """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one."""
+    bands = bands.repartition("band").dropDuplicates(["band", "h"])  # one exchange for the counts and for the lines
+    several = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("top"))
+    return bands.join(several.filter("low <> top").select("band", "n", "low"), "band")
+
 
+def looked_up(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Columns h, line and the sketch s0, s1 of the lines whose hashes ``wanted`` holds."""
+    marks = texts.sparkSession.sparkContext.broadcast(_slots(wanted))
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """A row per distinct line: its hashes, how often it occurs, its smallest document, its bands and its sketch."""
-    each = lines.select("id", "h", "g", _code_points(F.col("line")).alias("points"))
-    # A part's least hash is almost surely among the least HELD of a line's hashes for every part, on average.
-    share = F.lit(HELD * PARTS) / F.greatest(F.octet_length("points") / 4, F.lit(HELD * PARTS + 1))
-    each = each.select("id", "h", "g", "points", (share * 2.0**64 - 2.0**63).cast("long").alias("limit"))
-    each = each.select("id", "h", "g", "points", "limit", F.explode(_starts(F.col("points"))).alias("at"))
-    each = each.select("id", "h", "g", "limit", "at", _shingle_hash(F.col("points"), F.col("at")).alias("x"))
-    each = each.filter("x <= limit or at = 0 or limit > 9e18")
-    each = each.withColumn("bin", F.col("x").bitwiseAND(F.lit(PARTS - 1)).cast("int"))
-    # A filter on an aggregate keeps a row from the other parts, so a shingle costs one update and not all.
-    least = [F.expr(f"min(x) filter (where bin = {i})").alias(f"m{i}") for i in range(PARTS)]
-    distinct = each.groupBy("h", "g").agg(F.expr("count(*) filter (where at = 0)").alias("n"), F.expr("min(id) filter (where at = 0)").alias("least"), *least)
-    for far in (1, 2, 4, 8, 16):  # a part without a shingle takes the next part's that has one
-        mark = F.lit(random.Random(far).getrandbits(63))
-        distinct = distinct.select("h", "g", "n", "least", *[F.coalesce(f"m{i}", F.col(f"m{(i + far) % PARTS}").bitwiseXOR(mark)).alias(f"m{i}") for i in range(PARTS)])
-    bands = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return distinct.select("h", "g", "n", "least", *bands, *[_sketch(16 * k).alias(f"s{k}") for k in range(2)])
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            lines, _ = _lines_of(batch)
+            if lines:
+                h = np.ascontiguousarray(_numbers(lines)[:, 0])
+                here = np.flatnonzero(marks.value[h & (SLOTS - 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(h[here]), pa.array([lines[i] for i in here.tolist()], pa.binary())], ["h", "line"])
 
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "line"):
+            s = _sketches(_least(batch.column("line").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("line"), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())], ["h", "line", "s0", "s1"])
 
-def _sketch(first: int) -> Column:
-    """Four bits of each of sixteen least hashes side by side."""
-    parts = [F.shiftleft(F.shiftright(F.col(f"m{first + i}"), 8).bitwiseAND(F.lit(15)), 4 * i) for i in range(16)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.bitwiseOR(part)
-    return whole
+    likely = texts.select("text").mapInArrow(found, "h long, line binary")
+    return likely.join(wanted.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sketched, SIGNED)
 
 
 def _alike(a: str, b: str) -> Column:
@@ -107,27 +192,35 @@ def _alike(a: str, b: str) -> Column:
     return differing <= 32 - AGREE
 
 
-def shared(signed: DataFrame) -> DataFrame:
-    """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one."""
-    bands = signed.select("h", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
-    bands = bands.repartition("band")  # one exchange for the counts and for the lines they belong to
-    several = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("top"))
-    return bands.join(several.filter("low <> top").select("band", "n", "low"), "band")
+def pairs(bands: DataFrame) -> DataFrame:
+    """Columns a and b: each line of a band with the band's smallest line."""
+    return bands.filter("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _sketched(found: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sketches agree enough."""
-    for side in "ab":
-        found = found.join(signed.select(F.col("h").alias(side), *[F.col(f"s{k}").alias(f"{side}s{k}") for k in range(2)]), side)
-    return found.filter(_alike("a", "b")).select("a", "b")
+def _hashes(known: DataFrame) -> DataFrame:
+    """Columns h, size (different shingles of the line) and x (the hash of one)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "line", SHINGLED):
+            h = batch.column("h").to_numpy()
+            for start, stop, x, owner in _shingled(batch.column("line").to_pylist()):
+                owner, x = _once(owner, x)
+                size = np.bincount(owner, minlength=stop - start)
+                yield pa.RecordBatch.from_arrays([pa.array(h[start:stop][owner]), pa.array(size[owner]), pa.array(x.view(np.int64))], ["h", "size", "x"])
+
+    return known.select("h", "line").mapInArrow(found, "h long, size long, x long")
 
 
-def pairs(bands: DataFrame, signed: DataFrame) -> DataFrame:
-    """Columns a and b: each line of a band with the band's smallest line, where their sketches agree."""
-    return _sketched(bands.filter("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b")).distinct(), signed)
+def _once(owner: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and hashes, ordered, each pair once."""
+    order = np.lexsort((x, owner))
+    owner, x = owner[order], x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (x[1:] != x[:-1])
+    return owner[new], x[new]
 
 
-def unconnected(bands: DataFrame, classes: DataFrame, signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Columns a and b: all pairs of a band that are not of one component and may have this similarity."""
     spark = bands.sparkSession
     placed = bands.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
@@ -138,15 +231,14 @@ def unconnected(bands: DataFrame, classes: DataFrame, signed: DataFrame, lines:
     large = rows.filter(F.col("n") > FEW)
     if not large.isEmpty():
         # Of two similar sets each has one of the other's among so many of its rarest, in any one order of all.
-        texts = texts_of(large.select("h").distinct(), signed, lines)
-        named = texts.select("h", _hashes(F.col("points")).alias("xs")).select("h", "xs", F.size("xs").alias("size"))
-        each = large.join(named, "h").select("band", "h", "component", "size", F.explode("xs").alias("x"))
+        named = _hashes(known.join(large.select("h").distinct(), "h", "left_semi"))
+        each = large.join(named, "h").select("band", "h", "component", "size", "x")
         each = each.join(each.groupBy("band", "x").agg(F.count("*").alias("often")), ["band", "x"])
         ordered = each.groupBy("band", "h", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
         many = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
         rare = ordered.select("band", "h", "component", F.explode(F.slice("xs", F.lit(1), many)).alias("s")).filter("s.often > 1")
         met = met.unionByName(rare.select("band", F.col("s.x").alias("x"), "h", "component"))
-    met = met.join(signed.select("h", "s0", "s1"), "h")
+    met = met.join(known.select("h", "s0", "s1"), "h")
     # One end of each pair is outside the largest component of those that meet.
     largest = met.groupBy("band", "x", "component").count().groupBy("band", "x").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     outside = met.join(largest, ["band", "x"]).filter("component <> largest")
@@ -155,53 +247,96 @@ def unconnected(bands: DataFrame, classes: DataFrame, signed: DataFrame, lines:
     return both.select(F.greatest("o", "h").alias("a"), F.least("o", "h").alias("b")).distinct()
 
 
-def texts_of(named: DataFrame, signed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Columns h and points (the line, four bytes a character) of the lines that ``named`` holds, as a written table."""
-    spark = named.sparkSession
-    # A line's text is taken from its smallest document; which lines those may be, a bounded set tells every task.
-    wanted = stored(signed.select("h", F.col("least").alias("id")).join(named, "h", "left_semi"))
-    slot = F.pmod(F.xxhash64("h", "id"), F.lit(SLOTS)).alias("slot")
-    likely = lines.select("h", "id", "line", slot).join(F.broadcast(wanted.read(spark).select(slot).distinct()), "slot", "left_semi")
-    texts = likely.select("h", "id", "line").join(wanted.read(spark), ["h", "id"], "left_semi").dropDuplicates(["h"])
-    found = stored(texts.select("h", _code_points(F.col("line")).alias("points")))
-    wanted.drop(spark)
-    return found.read(spark)
-
-
-def _hashes(points: Column) -> Column:
-    # The outer step binds the line to a name, so that it isn't copied out of its row for every shingle.
-    bound = F.transform(F.array(points), lambda p: F.array_distinct(F.transform(_starts(p), lambda at: _shingle_hash(p, at))))
-    return F.get(bound, F.lit(0))
-
-
-def verified(found: DataFrame, signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sets of all shingles have this Jaccard similarity."""
-    ends = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = texts_of(ends, signed, lines)
-    both = found.join(texts.select(F.col("h").alias("a"), F.col("points").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("points").alias("y")), "b")
-    sets = both.select("a", "b", *[_hashes(F.col(c)).alias(c) for c in "xy"])
-    counted = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
-    # Written before the filter, which would otherwise be moved down and make the sets again.
-    return stored(counted).read(found.sparkSession).filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("a", "b")
+def verified(found: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sketches agree enough and whose sets of all shingles have this Jaccard similarity."""
+    for side in "ab":
+        found = found.join(known.select(F.col("h").alias(side), F.col("line").alias(f"{side}_line"), *[F.col(f"s{k}").alias(f"{side}s{k}") for k in range(2)]), side)
+    found = found.filter(_alike("a", "b")).select("a", "b", F.col("a_line").alias("x"), F.col("b_line").alias("y"))
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(blocks(batches, "x", SHINGLED), "y", SHINGLED):
+            ends = [x for pair in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()) for x in pair]
+            size, common = np.zeros(len(ends), np.int64), np.zeros(len(ends) // 2, np.int64)
+            rest: list[tuple[np.ndarray, np.ndarray]] = []
+            for start, stop, x, owner in _shingled(ends):
+                owner, x = _once(owner + start, x)
+                size += np.bincount(owner, minlength=len(ends))
+                rest.append((owner, x))
+            owner, x = (np.concatenate(side) for side in zip(*rest))
+            order = np.lexsort((x, owner >> 1))
+            pair, x = (owner >> 1)[order], x[order]
+            twice = pair[1:][(pair[1:] == pair[:-1]) & (x[1:] == x[:-1])]
+            common += np.bincount(twice, minlength=len(common))
+            same = pa.array(common >= similarity * (size[::2] + size[1::2] - common))
+            yield batch.select(["a", "b"]).filter(same)
+
+    return found.mapInArrow(checked, "a long, b long")
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """Columns h, g, n (how often the line occurs) and least (its smallest document) of every line."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            lines, placed = _lines_of(batch)
+            if not lines:
+                continue
+            ids = batch.column("id").to_pylist()
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            owner = np.repeat(order, [len(placed[i]) for i in order])
+            line = np.array([k for i in order for _, k in placed[i]], np.int64)
+            _, first = np.unique(line, return_index=True)
+            n = np.bincount(line, minlength=len(lines))
+            both = _numbers(lines)
+            yield pa.RecordBatch.from_arrays([*[pa.array(both[:, k].copy()) for k in range(2)], pa.array(n), batch.column("id").take(pa.array(owner[first]))], ["h", "g", "n", "least"])
+
+    each = texts.mapInArrow(found, StructType([*[StructField(c, LongType()) for c in "hgn"], StructField("least", texts.schema["id"].dataType)]))
+    return each.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+
+
+def places_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Columns id, pos, h and g of the lines that fall into the slots of ``wanted``, all of its own among them."""
+    marks = texts.sparkSession.sparkContext.broadcast(_slots(wanted))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            lines, placed = _lines_of(batch)
+            if not lines:
+                continue
+            owner = np.repeat(np.arange(len(placed)), [len(p) for p in placed])
+            at = np.array([x for p in placed for x in p], np.int64).reshape(-1, 2)
+            both = _numbers(lines)[at[:, 1]]
+            here = marks.value[both[:, 0] & (SLOTS - 1)]
+            columns = [batch.column("id").take(pa.array(owner[here])), pa.array(at[here, 0].astype(np.int32)), *[pa.array(both[here, k]) for k in range(2)]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "h", "g"])
+
+    return texts.mapInArrow(found, StructType([texts.schema["id"], *StructType.fromDDL("pos int, h long, g long").fields]))
 
 
 def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Columns ``key`` and ``removed``: for each document that loses lines, their places from 0."""
     spark = docs.sparkSession
-    lines = _lines(docs, key, text)
-    signed = stored(signatures(lines)).read(spark)
-    met = stored(shared(signed))
-    bands = met.read(spark)
-    close = stored(verified(stored(pairs(bands, signed)).read(spark), signed, lines, similarity)).read(spark)
-    further = stored(unconnected(bands, components(close).read(spark), signed, lines, similarity)).read(spark)
-    met.drop(spark)
-    classes = components(close.unionByName(verified(further, signed, lines, similarity))).read(spark)
+    texts = _texts(docs, key, text)
+    used: list[Kept] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        used.append(df_kept := stored(df))
+        return df_kept.read(spark)
+
+    bands = kept(shared(banded(texts)))
+    known = kept(looked_up(texts, bands.select("h")))
+    close = kept(verified(pairs(bands), known, similarity))
+    first = components(close)
+    further = kept(unconnected(bands, first.read(spark), known, similarity))
+    linked = components(close.unionByName(verified(further, known, similarity)))
     # Lines that occur once and are like no other need no further look.
-    several = signed.select("h", "g", "n", "least").join(classes.withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
-    several = several.withColumn("component", F.coalesce("component", "h"))
+    several = occurrences(texts).join(linked.read(spark).withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
+    several = kept(several.select("h", "g", "least", F.coalesce("component", "h").alias("component")))
     keeper = several.groupBy("component").agg(F.min("least").alias("keeper"))
     several = stored(several.join(keeper, "component").select("h", "g", "component", "keeper")).read(spark)
-    places = lines.select("id", "pos", "h", "g").join(several, ["h", "g"])
+    for table in (*used, first, linked):
+        table.drop(spark)
+    places = places_of(texts, several).join(several, ["h", "g"])
     stays = places.filter("id = keeper").groupBy("id", "component").agg(F.min("pos").alias("first"))
     gone = places.join(stays, ["id", "component"], "left").filter("first is null or pos <> first")
     return gone.groupBy("id").agg(F.collect_set("pos").alias("removed")).withColumnRenamed("id", key)
