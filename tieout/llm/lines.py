@@ -47,8 +47,8 @@ PARTS = BANDS * ROWS
 AGREE = 18
 #: Lines of a band with at most this many are compared without a look at their rarest shingles.
 FEW = 1024
-#: Lines are looked up through a set of at most this many slots of hashes, which goes to every task.
-SLOTS = 1 << 20
+#: Lines are looked up through marks for so many slots of hashes (a bit each, 1 MB), which go to every task.
+SLOTS = 1 << 23
 #: Characters whose shingles are in a task's memory at once; a longer line is a block of its own.
 SHINGLED = 1 << 20
 
@@ -132,11 +132,19 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
 
 
-def _slots(hashes: DataFrame) -> np.ndarray:
-    """Which of ``SLOTS`` slots the column h falls into: a fixed number of marks, however many hashes there are."""
-    marks = np.zeros(SLOTS, bool)
-    marks[hashes.select(F.col("h").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    return marks
+def _marks(rows: DataFrame, number: Column) -> np.ndarray:
+    """Which of ``SLOTS`` slots the numbers fall into: words of 64 bits, as many however many rows there are."""
+    slot = number.bitwiseAND(F.lit(SLOTS - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    marks = np.zeros(SLOTS // 64, np.int64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return marks.view(np.uint64)
+
+
+def _marked(marks: np.ndarray, number: np.ndarray) -> np.ndarray:
+    slot = number & (SLOTS - 1)
+    return (marks[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 def banded(texts: DataFrame) -> DataFrame:
@@ -154,31 +162,37 @@ def banded(texts: DataFrame) -> DataFrame:
 
 
 def shared(bands: DataFrame) -> DataFrame:
-    """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one."""
+    """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one.
+    Of bands with the same lines (by their number, ends and the combined hash) one is enough."""
     bands = bands.repartition("band").dropDuplicates(["band", "h"])  # one exchange for the counts and for the lines
-    several = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("top"))
-    return bands.join(several.filter("low <> top").select("band", "n", "low"), "band")
+    several = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("top"), F.bit_xor("h").alias("all"))
+    several = several.filter("low <> top").groupBy("n", "low", "top", "all").agg(F.min("band").alias("band"))
+    return bands.join(several.select("band", "n", "low"), "band")
 
 
 def looked_up(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Columns h, line and the sketch s0, s1 of the lines whose hashes ``wanted`` holds."""
-    marks = texts.sparkSession.sparkContext.broadcast(_slots(wanted))
+    """Columns h, line and the sketch s0, s1 of the lines in ``wanted`` (h, and least, the document to take it from)."""
+    wanted = wanted.select("h", F.xxhash64("least").alias("k"))
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, F.col("h").bitwiseXOR(F.col("k"))))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            lines, _ = _lines_of(batch)
-            if lines:
-                h = np.ascontiguousarray(_numbers(lines)[:, 0])
-                here = np.flatnonzero(marks.value[h & (SLOTS - 1)])
-                yield pa.RecordBatch.from_arrays([pa.array(h[here]), pa.array([lines[i] for i in here.tolist()], pa.binary())], ["h", "line"])
+            lines, placed = _lines_of(batch)
+            if not lines:
+                continue
+            line = np.array([n for p in placed for _, n in p], np.int64)
+            h = _numbers(lines)[line, 0]
+            k = np.repeat(batch.column("k").to_numpy(), [len(p) for p in placed])
+            here = np.flatnonzero(_marked(marks.value, h ^ k))
+            yield pa.RecordBatch.from_arrays([pa.array(h[here]), pa.array(k[here]), pa.array([lines[i] for i in line[here].tolist()], pa.binary())], ["h", "k", "line"])
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "line"):
             s = _sketches(_least(batch.column("line").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("line"), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())], ["h", "line", "s0", "s1"])
 
-    likely = texts.select("text").mapInArrow(found, "h long, line binary")
-    return likely.join(wanted.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]).mapInArrow(sketched, SIGNED)
+    likely = texts.select("text", F.xxhash64("id").alias("k")).mapInArrow(found, "h long, k long, line binary")
+    return likely.join(wanted, ["h", "k"], "left_semi").dropDuplicates(["h"]).mapInArrow(sketched, SIGNED)
 
 
 def _alike(a: str, b: str) -> Column:
@@ -223,7 +237,8 @@ def _once(owner: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Columns a and b: all pairs of a band that are not of one component and may have this similarity."""
     spark = bands.sparkSession
-    placed = bands.join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    # Two lines of a band alone were compared when they were paired with the smallest.
+    placed = bands.filter("n > 2").join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
     held = stored(placed.join(several.select("band"), "band").select("band", "h", "n", "component"))
     rows = held.read(spark)
@@ -250,8 +265,11 @@ def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, similari
 def verified(found: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose sketches agree enough and whose sets of all shingles have this Jaccard similarity."""
     for side in "ab":
-        found = found.join(known.select(F.col("h").alias(side), F.col("line").alias(f"{side}_line"), *[F.col(f"s{k}").alias(f"{side}s{k}") for k in range(2)]), side)
-    found = found.filter(_alike("a", "b")).select("a", "b", F.col("a_line").alias("x"), F.col("b_line").alias("y"))
+        found = found.join(known.select(F.col("h").alias(side), *[F.col(f"s{k}").alias(f"{side}s{k}") for k in range(2)]), side)
+    found = found.filter(_alike("a", "b")).select("a", "b")
+    for side, line in ("ax", "by"):  # lines move only for pairs that sketches leave
+        found = found.join(known.select(F.col("h").alias(side), F.col("line").alias(line)), side)
+    found = found.select("a", "b", "x", "y")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(blocks(batches, "x", SHINGLED), "y", SHINGLED):
@@ -296,7 +314,7 @@ def occurrences(texts: DataFrame) -> DataFrame:
 
 def places_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Columns id, pos, h and g of the lines that fall into the slots of ``wanted``, all of its own among them."""
-    marks = texts.sparkSession.sparkContext.broadcast(_slots(wanted))
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, F.col("h")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -306,7 +324,7 @@ def places_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(placed)), [len(p) for p in placed])
             at = np.array([x for p in placed for x in p], np.int64).reshape(-1, 2)
             both = _numbers(lines)[at[:, 1]]
-            here = marks.value[both[:, 0] & (SLOTS - 1)]
+            here = _marked(marks.value, both[:, 0])
             columns = [batch.column("id").take(pa.array(owner[here])), pa.array(at[here, 0].astype(np.int32)), *[pa.array(both[here, k]) for k in range(2)]]
             yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "h", "g"])
 
@@ -324,13 +342,15 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return df_kept.read(spark)
 
     bands = kept(shared(banded(texts)))
-    known = kept(looked_up(texts, bands.select("h")))
+    # Lines that occur once and are alone in their bands need no further look.
+    met = bands.select("h", F.lit(True).alias("meets")).distinct()
+    counted = kept(occurrences(texts).join(met, "h", "left").filter("n > 1 or meets"))
+    known = kept(looked_up(texts, counted.filter("meets")))
     close = kept(verified(pairs(bands), known, similarity))
     first = components(close)
     further = kept(unconnected(bands, first.read(spark), known, similarity))
     linked = components(close.unionByName(verified(further, known, similarity)))
-    # Lines that occur once and are like no other need no further look.
-    several = occurrences(texts).join(linked.read(spark).withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
+    several = counted.join(linked.read(spark).withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
     several = kept(several.select("h", "g", "least", F.coalesce("component", "h").alias("component")))
     keeper = several.groupBy("component").agg(F.min("least").alias("keeper"))
     several = stored(several.join(keeper, "component").select("h", "g", "component", "keeper")).read(spark)
