@@ -164,7 +164,8 @@ def banded(texts: DataFrame) -> DataFrame:
 def shared(bands: DataFrame) -> DataFrame:
     """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one.
     Of bands with the same lines (by their number, ends and the combined hash) one is enough."""
-    bands = bands.repartition("band").dropDuplicates(["band", "h"])  # one exchange for the counts and for the lines
+    # One exchange for the counts and for the lines: the filter, which the join would add to one of them, is on both.
+    bands = bands.filter("band is not null").repartition("band").dropDuplicates(["band", "h"])
     several = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("top"), F.bit_xor("h").alias("all"))
     several = several.filter("low <> top").groupBy("n", "low", "top", "all").agg(F.min("band").alias("band"))
     return bands.join(several.select("band", "n", "low"), "band")
@@ -338,8 +339,11 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     used: list[Kept] = []
 
     def kept(df: DataFrame) -> DataFrame:
-        used.append(df_kept := stored(df))
-        return df_kept.read(spark)
+        used.append(stored(df))
+        # The shuffles behind a written table are of no more use; Spark deletes their files once the JVM has
+        # collected their plans.
+        spark._jvm.System.gc()
+        return used[-1].read(spark)
 
     bands = kept(shared(banded(texts)))
     # Lines that occur once and are alone in their bands need no further look.
@@ -349,6 +353,7 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     close = kept(verified(pairs(bands), known, similarity))
     first = components(close)
     further = kept(unconnected(bands, first.read(spark), known, similarity))
+    used.pop(0).drop(spark)  # the bands
     linked = components(close.unionByName(verified(further, known, similarity)))
     several = counted.join(linked.read(spark).withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
     several = kept(several.select("h", "g", "least", F.coalesce("component", "h").alias("component")))
