@@ -231,6 +231,14 @@ def test_refusals(spark, classification):
         compare(source, target, [("Nope", "Year")], values)
 
 
+def test_sample_keys_start_with_the_shortest(spark):
+    """Keys whose tagged text has ten characters or more come after the shorter ones."""
+    source = spark.createDataFrame([(k,) for k in (0, 1, 2, 999999, 1000000, 123456789)], "k long")
+    refused = compare(source, source.select((-F.col("k") - 1).alias("k")), ["k"])
+    assert [r["sample"] for r in refused.sample_keys("target").collect()] == ["-1", "-2", "-3"]
+    assert [r["sample"] for r in refused.sample_keys("target", 9).collect()][3:] == ["-1000000", "-1000001", "-123456790"]
+
+
 def test_bracketed_names_and_drift(classification):
     source, target = classification
     target = target.withColumnRenamed("Total", "[Total]")

@@ -198,10 +198,11 @@ class Comparison:
         )
 
     def sample_keys(self, side: str, n: int = 3) -> DataFrame:
-        """A few readable keys of one side, to show what a refused pairing looked like."""
+        """A few readable keys of one side, to show what a refused pairing looked like: the shortest, in text order."""
         present = F.col("source_row_count" if side == "source" else "target_row_count") > 0
         shown = F.concat_ws(" · ", *[quoted(k) for k in self.keys]).alias("sample")
-        return self.all_rows.where(present).orderBy("composite_key").select(shown).limit(n)
+        # A composite key starts with its first key's length, which as text puts 10 before 9.
+        return self.all_rows.where(present).orderBy(F.length("composite_key"), "composite_key").select(shown).limit(n)
 
 
 def magnitude(values) -> Column:
