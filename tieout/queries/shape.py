@@ -30,6 +30,11 @@ KINDS = {
 }
 
 
+def star_columns(t):
+    """The star tables with the columns that the SQL names; a copy of a table may carry more."""
+    return {name: df.select(*KINDS[name]) for name, df in t.star().items()}
+
+
 def value_sql(column: str, kind: str) -> str:
     if kind == "decimal":
         return f"regexp_replace(CAST({column} AS VARCHAR), '\\.0$', '')"
@@ -66,7 +71,7 @@ PROFILE = f"WITH {profile_sql()}, {ROLES}"
       CAST(data_bytes AS BIGINT) AS data_bytes, CAST(dictionary_bytes AS BIGINT) AS dictionary_bytes FROM r"""
 )
 def profile_columns(t):
-    return P.profile_tables(t.star()).drop("position").withColumn("mean", ratio("mean", 4))
+    return P.profile_tables(star_columns(t)).drop("position").withColumn("mean", ratio("mean", 4))
 
 
 @query(
@@ -75,7 +80,7 @@ def profile_columns(t):
       round(LEAST(1.0, distinct_count / CAST(rows AS DOUBLE)), 8) AS uniqueness FROM r"""
 )
 def storage_profile(t):
-    storage = P.storage_profile(P.profile_tables(t.star()))
+    storage = P.storage_profile(P.profile_tables(star_columns(t)))
     return storage.select("table", "column", "total_bytes", ratio("share", 8).alias("share"), ratio("uniqueness", 8).alias("uniqueness"))
 
 
@@ -87,7 +92,7 @@ def storage_profile(t):
       round((SELECT SUM(b) FROM (SELECT b FROM s ORDER BY b DESC LIMIT 10)) / CAST(SUM(b) AS DOUBLE), 8) AS top_share FROM s"""
 )
 def storage_summary(t):
-    summary = P.storage_summary(P.storage_profile(P.profile_tables(t.star())))
+    summary = P.storage_summary(P.storage_profile(P.profile_tables(star_columns(t))))
     return summary.withColumn("top_share", ratio("top_share", 8))
 
 
@@ -108,7 +113,7 @@ OWN = "regexp_replace(regexp_replace(col, '(id|key|code|no|number)$', ''), '[^a-
 )
 def storage_findings(t):
     """Findings when only the columns of the orders are known to be used."""
-    profiles = P.profile_tables(t.star())
+    profiles = P.profile_tables(star_columns(t))
     used = profiles.where("table = 'orders'").select("table", "column")
     return D.storage_findings(P.storage_profile(profiles), used).select("table", "column", "total_bytes", "severity", "reasons")
 
@@ -256,7 +261,7 @@ KEYS = """k AS (SELECT tbl, col, data_type, distinct_count AS key_values,
 
 @query(f"""{PROFILE}, {KEYS} SELECT tbl AS "table", col AS "column", data_type, CAST(key_values AS BIGINT) AS key_values FROM pk""")
 def primary_keys(t):
-    return D.primary_keys(P.sketch_tables(t.star())).drop("score")
+    return D.primary_keys(P.sketch_tables(star_columns(t))).drop("score")
 
 
 FAMILY = {"integer": "number", "decimal": "number", "dateTime": "time", "string": "string"}
@@ -284,11 +289,11 @@ LINKS = f"""{PROFILE}, {KEYS}, v AS ({VALUES}),
     f"""{LINKS} SELECT tbl AS from_table, col AS from_col, parent AS to_table, pcol AS to_col, round(cont, 6) AS containment, round(conf, 2) AS confidence, active FROM rel"""
 )
 def foreign_keys(t):
-    return D.relationships(t.star(), P.sketch_tables(t.star()))
+    return D.relationships(star_columns(t), P.sketch_tables(star_columns(t)))
 
 
 def discovered(t):
-    tables = t.star()
+    tables = star_columns(t)
     profiles = P.sketch_tables(tables)
     keys = D.primary_keys(profiles)
     rels = D.relationships(tables, profiles, keys)
