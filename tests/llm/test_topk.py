@@ -80,3 +80,25 @@ def test_repeated_ids_are_searched(spark, monkeypatch):
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = as_lists(covertree.top_k(df, asked))
     assert got[1] == [(256 * 256 * i, 7) for i in range(299, 294, -1)] and got[2] == [(65536, 7)] * 5
+
+
+def test_leaves_are_scored_together():
+    """Many small leaves: the products taken are far fewer than the pairs of leaves, and the result is exact."""
+    rng = np.random.default_rng(5)
+    q, d = (np.floor(rng.normal(size=(n, 32)) * 256) for n in (600, 900))
+    queries, data, taken = covertree.build(q), covertree.build(d), []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            taken.append(1)
+            return np.asarray(self) @ np.asarray(other)
+
+    queries.points = queries.points.view(Counted)
+    best = covertree.Best(len(q), 5)
+    covertree.search(queries, np.arange(len(q)), data, np.arange(1000, 1000 + len(d)), best)
+    scores = q @ d.T
+    for i in range(len(q)):
+        order = np.lexsort((np.arange(len(d)), -scores[i]))[:5]
+        assert best.ids[i].tolist() == (1000 + order).tolist() and best.scores[i].tolist() == scores[i, order].tolist()
+    leaves = [sum(not c for c in t.children) for t in (queries, data)]
+    assert leaves[0] * leaves[1] > 1000 and len(taken) < 200

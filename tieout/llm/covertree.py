@@ -104,36 +104,53 @@ class Best:
 
 
 def search(queries: Tree, query_ids: np.ndarray, data: Tree, data_ids: np.ndarray, best: Best) -> None:
-    """Traverse both trees together, the more promising node pairs first."""
+    """Traverse both trees together, the more promising node pairs first.
+
+    The children of two nodes are bounded in one product of their centres. What is left of leaves below two nodes
+    is scored in one product as well: a product for each small leaf took most of the time.
+    """
     if not queries.begin or not data.begin:
         return
-    lengths_q = np.linalg.norm(queries.points, axis=1)
-    lengths_d = np.linalg.norm(data.points, axis=1)
+    sides = []
+    for tree in (queries, data):
+        centres = tree.points[tree.centre]
+        sides.append((centres, np.linalg.norm(centres, axis=1), np.array(tree.radius), np.array([not c for c in tree.children])))
+    (at_q, long_q, r, leaf_q), (at_d, long_d, s, leaf_d) = sides
+
+    def bounds(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return at_q[q] @ at_d[d].T + np.outer(long_q[q], s[d]) + np.outer(r[q], long_d[d]) + np.outer(r[q], s[d])
+
+    def members(tree: Tree, nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([tree.order[tree.begin[n] : tree.end[n]] for n in nodes.tolist()])
+
+    def score(group: np.ndarray, some: np.ndarray) -> None:
+        scores = queries.points[group] @ data.points[some].T
+        fits = (scores >= best.worst[group][:, None]) & (data_ids[some][None, :] != query_ids[group][:, None])
+        for i in np.flatnonzero(fits.any(axis=1)).tolist():
+            best.offer(int(group[i]), scores[i, fits[i]].astype(np.int64), data_ids[some[fits[i]]])
 
-    def bound(q: int, d: int) -> float:
-        a, b, r, s = queries.centre[q], data.centre[d], queries.radius[q], data.radius[d]
-        return float(queries.points[a] @ data.points[b]) + lengths_q[a] * s + lengths_d[b] * r + r * s
+    def least(nodes: np.ndarray) -> np.ndarray:
+        return np.array([best.worst[queries.order[queries.begin[n] : queries.end[n]]].min() for n in nodes.tolist()])
 
-    stack = [(bound(0, 0), 0, 0)]
+    root = np.zeros(1, np.int64)
+    stack = [(float(bounds(root, root)[0, 0]), 0, 0)]
     while stack:
         top, q, d = stack.pop()
-        group = queries.order[queries.begin[q] : queries.end[q]]
         # A score equal to the worst may still win by its id; the slack covers rounding of the bound.
-        if top + 1e-6 * (1 + abs(top)) < best.worst[group].min():
+        if top + 1e-6 * (1 + abs(top)) < least(np.array([q]))[0]:
             continue
-        split_q, split_d = bool(queries.children[q]), bool(data.children[d])
-        if not split_q and not split_d:
-            some = data.order[data.begin[d] : data.end[d]]
-            scores = queries.points[group] @ data.points[some].T
-            fits = (scores >= best.worst[group][:, None]) & (data_ids[some][None, :] != query_ids[group][:, None])
-            for i in np.flatnonzero(fits.any(axis=1)).tolist():
-                best.offer(int(group[i]), scores[i, fits[i]].astype(np.int64), data_ids[some[fits[i]]])
-            continue
-        if split_d and (not split_q or data.radius[d] >= queries.radius[q]):
-            pairs = [(q, c) for c in data.children[d]]
+        qs, ds = (np.array(tree.children[n] or [n]) for tree, n in ((queries, q), (data, d)))
+        upper = bounds(qs, ds)
+        hopeful = upper + 1e-6 * (1 + np.abs(upper)) >= least(qs)[:, None]
+        whole = np.outer(leaf_q[qs], leaf_d[ds])
+        ready = hopeful & whole
+        if ready.sum() > 0.5 * whole.sum():  # little is pruned: one product for all leaves here
+            score(members(queries, qs[ready.any(axis=1)]), members(data, ds[ready.any(axis=0)]))
         else:
-            pairs = [(c, d) for c in queries.children[q]]
-        stack += sorted((bound(a, b), a, b) for a, b in pairs)
+            for i in np.flatnonzero(ready.any(axis=1)).tolist():
+                score(members(queries, qs[i : i + 1]), members(data, ds[ready[i]]))
+        later = np.argwhere(hopeful & ~whole).tolist()
+        stack += sorted((float(upper[i, j]), int(qs[i]), int(ds[j])) for i, j in later)
 
 
 def _usable(vector) -> object:
@@ -187,12 +204,24 @@ BALLS = "centre int, part int, middle array<double>, radius double, n long, ids
 
 
 def _searched(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best of each row's block of queries in its block of data; the rows of a block of data follow each other."""
+    known: dict[str, tuple[object, np.ndarray, Tree]] = {}
+
+    def planted(batch: pa.RecordBatch, i: int, side: str) -> tuple[object, np.ndarray, Tree]:
+        """A row's block: ids and tree, which stays for the next row of the same block."""
+        name = tuple(batch.column(f"{side}_{c}")[i].as_py() for c in ("centre", "part"))
+        if side not in known or known[side][0] != name:
+            ids = batch.column(f"{side}_ids").slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+            points = batch.column(f"{side}_flat").slice(i, 1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            known[side] = (name, ids, build(points))
+        return known[side]
+
     for batch in batches:
-        for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-            q_ids, d_ids = np.array(row["q_ids"], np.int64), np.array(row["d_ids"], np.int64)
-            q, d = (np.array(row[c]).reshape(len(i), -1) for c, i in (("q_flat", q_ids), ("d_flat", d_ids)))
-            best = Best(len(q_ids), k, np.array(row["floor"], float) if row["floor"] is not None else None)
-            search(build(q), q_ids, build(d), d_ids, best)
+        for i in range(batch.num_rows):
+            (_, q_ids, q), (_, d_ids, d) = (planted(batch, i, side) for side in "qd")
+            floor = batch.column("floor")[i].as_py()
+            best = Best(len(q_ids), k, None if floor is None else np.array(floor, float))
+            search(q, q_ids, d, d_ids, best)
             n = [len(s) for s in best.scores]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "id", "score"])
 
@@ -225,18 +254,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     away = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     middles = blocks.groupBy("centre").agg(F.min_by("middle", "part").alias("m"))  # few ids may leave part 0 empty
     balls = blocks.join(F.broadcast(middles), "centre", "left").groupBy("centre").agg(F.first("m").alias("middle"), F.max(away(F.col("middle"), F.col("m")) + F.col("radius")).alias("radius"))
-    held = [(r["centre"], r["middle"], r["radius"]) for r in balls.collect()]
-    known = F.array(*[F.struct(F.lit(c).alias("d_centre"), F.array(*[F.lit(x) for x in m or []]).alias("middle"), F.lit(r).alias("radius")) for c, m, r in held])
-    pairs = q.select("q_centre", "q_part", "q_middle", "q_radius", F.explode(known).alias("c"))
-    pairs = stored(pairs.select("q_centre", "q_part", "c.d_centre", _upper("q_middle", "q_radius", "c.middle", "c.radius").alias("upper"))).read(spark)
+    balls = balls.withColumnRenamed("centre", "d_centre")
+    pairs = q.select("q_centre", "q_part", "q_middle", "q_radius").crossJoin(F.broadcast(balls))
+    pairs = stored(pairs.select("q_centre", "q_part", "d_centre", _upper("q_middle", "q_radius", "middle", "radius").alias("upper"))).read(spark)
     schema = "query_id long, id long, score long"
 
     def searched(chosen: DataFrame) -> DataFrame:
         """``chosen`` names blocks and the scores to beat; their vectors are joined to it."""
         whole = chosen.join(q.select("q_centre", "q_part", "q_ids", "q_flat"), ["q_centre", "q_part"])
         whole = whole.join(d.select("d_centre", "d_part", "d_ids", "d_flat"), ["d_centre", "d_part"])
-        spread = whole.repartition("q_centre", "q_part", "d_centre", "d_part")
-        return spread.select("q_ids", "q_flat", "d_ids", "d_flat", "floor").mapInArrow(lambda b: _searched(k, b), schema)
+        # A block of data goes to one task, which builds its tree once; it holds BLOCK vectors at most.
+        spread = whole.repartition("d_centre", "d_part").sortWithinPartitions("d_centre", "d_part")
+        return spread.mapInArrow(lambda b: _searched(k, b), schema)
 
     pick = pairs.groupBy("q_centre", "q_part").agg(F.max_by("d_centre", "upper").alias("d_centre"))
     pick = pick.withColumn("d_part", F.lit(0)).withColumn("floor", F.lit(None).cast("array<double>"))
