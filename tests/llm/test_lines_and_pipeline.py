@@ -186,3 +186,17 @@ def test_entry_registers_all():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_bands_are_read_whole(spark):
+    """Bands that run over several batches are not cut; a band of two has one row, one of one none, equal ones count once."""
+    import pyarrow as pa
+
+    band, h = [1, 1, 1, 2, 3, 3, 3, 3, 3, 4, 4, 9], [5, 5, 6, 7, 1, 2, 2, 3, 4, 5, 6, 8]
+    for size in (1, 2, 3, 5, 12):
+        batches = [pa.RecordBatch.from_pydict({"band": pa.array(band[i : i + size]), "h": pa.array(h[i : i + size])}) for i in range(0, len(h), size)]
+        got = [(int(x), int(y)) for found in lines._whole_bands(iter(batches)) for x, y in zip(*found)]
+        assert got == sorted(set(zip(band, h)))
+    made = [(1, *[k for k in range(8)]), (2, *[k for k in range(8)]), (3, *[100 + k for k in range(8)]), (4, 0, *[200 + k for k in range(7)])]
+    df = spark.createDataFrame(made, "h long, " + ", ".join(f"b{k} long" for k in range(8)))
+    assert sorted((r["h"], r["n"], r["low"]) for r in lines.shared(df).collect()) == [(1, 3, 1), (2, 2, 1), (2, 3, 1), (4, 3, 1)]

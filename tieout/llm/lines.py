@@ -56,7 +56,6 @@ BLANK = b" \t\r\f\v"
 #: Fills lines up to a shingle; no text holds it.
 FILL = "\udfff"
 NONE = np.uint64(2**64 - 1)
-SIGNED = "h long, line binary, s0 long, s1 long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -147,32 +146,92 @@ def _marked(marks: np.ndarray, number: np.ndarray) -> np.ndarray:
     return (marks[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def banded(texts: DataFrame) -> DataFrame:
-    """Columns band and h: the bands of every line, once for each block of texts that holds it."""
+def signed(texts: DataFrame) -> DataFrame:
+    """Every line, once for each block of texts that holds it: its two hashes h and g, n (how often it occurs there),
+    least (its smallest document there), its sketch s0, s1 and its bands b0, b1 …"""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            lines, _ = _lines_of(batch)
-            for i in range(0, len(lines), 16384):
-                some = lines[i : i + 16384]
-                h = np.repeat(_numbers(some)[:, 0], BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(_bands(_least(some)).reshape(-1)), pa.array(h)], ["band", "h"])
+            lines, placed = _lines_of(batch)
+            if not lines:
+                continue
+            ids = batch.column("id").to_pylist()
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            owner = np.repeat(order, [len(placed[i]) for i in order])
+            line = np.array([k for i in order for _, k in placed[i]], np.int64)
+            _, first = np.unique(line, return_index=True)
+            n = np.bincount(line, minlength=len(lines))
+            both = _numbers(lines)
+            least = batch.column("id").take(pa.array(owner[first]))
+            for i in range(0, len(lines), 8192):
+                some = slice(i, i + 8192)
+                hashes = _least(lines[some])
+                numbers = [both[some], np.ascontiguousarray(n[some, None]), _sketches(hashes), _bands(hashes)]
+                h, g, many, *rest = [pa.array(np.ascontiguousarray(x[:, k])) for x in numbers for k in range(x.shape[1])]
+                yield pa.RecordBatch.from_arrays([h, g, many, least.slice(i, len(h)), *rest], names)
+
+    names = ["h", "g", "n", "least", "s0", "s1", *[f"b{k}" for k in range(BANDS)]]
+    kinds = [texts.schema["id"].dataType if c == "least" else LongType() for c in names]
+    return texts.mapInArrow(found, StructType([StructField(c, t) for c, t in zip(names, kinds)]))
+
+
+def _whole_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bands and lines, each pair once, of batches in the order of both. A band is never cut."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, h = batch.column("band").to_numpy(), batch.column("h").to_numpy()
+        start = int(np.searchsorted(band, band[-1]))  # where its last band begins
+        if start or held and held[0][0][0] != band[-1]:
+            whole = [*held, (band[:start], h[:start])]
+            yield _each_once(*(np.concatenate(x) for x in zip(*whole)))
+            held = []
+        held.append(_each_once(band[start:], h[start:]))
+    if held:
+        yield _each_once(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _each_once(band: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.ones(len(h), bool)
+    new[1:] = (band[1:] != band[:-1]) | (h[1:] != h[:-1])
+    return band[new], h[new]
+
+
+def shared(lines: DataFrame) -> DataFrame:
+    """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one.
+    Of a band of two there is only the row of the larger. Bands with the same lines are one: they are named by them."""
+    bands = lines.select(F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band"), "h")
 
-    return texts.select("text").mapInArrow(found, "band long, h long")
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for band, h in _whole_bands(batches):
+            first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])[: len(band)])
+            n = np.diff(np.append(first, len(band)))
+            owner, keep = np.repeat(np.arange(len(first)), n), np.repeat(n, n) > 1
+            keep[first[n == 2]] = False
+            if not keep.any():
+                continue
+            low = h[first]
+            spread = _mixed(h.view(np.uint64))
+            name = _mixed(np.add.reduceat(spread, first) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) ^ np.bitwise_xor.reduceat(spread, first)
+            rows = owner[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64)[rows], h[keep], n[rows], low[rows])], ["band", "h", "n", "low"])
 
+    met = bands.repartition("band").sortWithinPartitions("band", "h").mapInArrow(found, "band long, h long, n long, low long")
+    return met.dropDuplicates(["band", "h"])
 
-def shared(bands: DataFrame) -> DataFrame:
-    """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one.
-    Of bands with the same lines (by their number, ends and the combined hash) one is enough."""
-    # One exchange for the counts and for the lines: the filter, which the join would add to one of them, is on both.
-    bands = bands.filter("band is not null").repartition("band").dropDuplicates(["band", "h"])
-    several = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("top"), F.bit_xor("h").alias("all"))
-    several = several.filter("low <> top").groupBy("n", "low", "top", "all").agg(F.min("band").alias("band"))
-    return bands.join(several.select("band", "n", "low"), "band")
+
+def counted(lines: DataFrame, bands: DataFrame) -> DataFrame:
+    """Columns h, g, n (how often the line occurs), least (its smallest document), the sketch s0, s1 and meets (NULL if
+    it is alone in its bands) of the lines that occur more than once or meet."""
+    ends = bands.select(F.explode(F.array("h", "low")).alias("h"), F.lit(True).alias("meets")).distinct()
+    each = lines.repartition("h").groupBy("h", "g")
+    each = each.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
+    return each.join(ends, "h", "left").filter("n > 1 or meets")
 
 
 def looked_up(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Columns h, line and the sketch s0, s1 of the lines in ``wanted`` (h, and least, the document to take it from)."""
+    """Columns h and line of the lines in ``wanted`` (h, and least, the document to take it from)."""
     wanted = wanted.select("h", F.xxhash64("least").alias("k"))
     marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, F.col("h").bitwiseXOR(F.col("k"))))
 
@@ -187,13 +246,8 @@ def looked_up(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             here = np.flatnonzero(_marked(marks.value, h ^ k))
             yield pa.RecordBatch.from_arrays([pa.array(h[here]), pa.array(k[here]), pa.array([lines[i] for i in line[here].tolist()], pa.binary())], ["h", "k", "line"])
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "line"):
-            s = _sketches(_least(batch.column("line").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("line"), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())], ["h", "line", "s0", "s1"])
-
     likely = texts.select("text", F.xxhash64("id").alias("k")).mapInArrow(found, "h long, k long, line binary")
-    return likely.join(wanted, ["h", "k"], "left_semi").dropDuplicates(["h"]).mapInArrow(sketched, SIGNED)
+    return likely.join(wanted, ["h", "k"], "left_semi").select("h", "line").dropDuplicates(["h"])
 
 
 def _alike(a: str, b: str) -> Column:
@@ -235,8 +289,9 @@ def _once(owner: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], x[new]
 
 
-def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Columns a and b: all pairs of a band that are not of one component and may have this similarity."""
+def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Columns a and b: all pairs of a band that are not of one component and may have this similarity. ``known`` holds
+    the lines' sketches and smallest documents."""
     spark = bands.sparkSession
     # Two lines of a band alone were compared when they were paired with the smallest.
     placed = bands.filter("n > 2").join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
@@ -247,7 +302,7 @@ def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, similari
     large = rows.filter(F.col("n") > FEW)
     if not large.isEmpty():
         # Of two similar sets each has one of the other's among so many of its rarest, in any one order of all.
-        named = _hashes(known.join(large.select("h").distinct(), "h", "left_semi"))
+        named = _hashes(looked_up(texts, known.join(large.select("h").distinct(), "h", "left_semi")))
         each = large.join(named, "h").select("band", "h", "component", "size", "x")
         each = each.join(each.groupBy("band", "x").agg(F.count("*").alias("often")), ["band", "x"])
         ordered = each.groupBy("band", "h", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
@@ -263,13 +318,22 @@ def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, similari
     return both.select(F.greatest("o", "h").alias("a"), F.least("o", "h").alias("b")).distinct()
 
 
-def verified(found: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose sketches agree enough and whose sets of all shingles have this Jaccard similarity."""
+def alike(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree enough."""
     for side in "ab":
         found = found.join(known.select(F.col("h").alias(side), *[F.col(f"s{k}").alias(f"{side}s{k}") for k in range(2)]), side)
-    found = found.filter(_alike("a", "b")).select("a", "b")
-    for side, line in ("ax", "by"):  # lines move only for pairs that sketches leave
-        found = found.join(known.select(F.col("h").alias(side), F.col("line").alias(line)), side)
+    return found.filter(_alike("a", "b")).select("a", "b")
+
+
+def ends_of(found: DataFrame, known: DataFrame) -> DataFrame:
+    """Columns h and least of the lines in pairs."""
+    return known.join(found.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi").select("h", "least")
+
+
+def verified(found: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets of all shingles have this Jaccard similarity."""
+    for side, line in ("ax", "by"):
+        found = found.join(lines.select(F.col("h").alias(side), F.col("line").alias(line)), side)
     found = found.select("a", "b", "x", "y")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,27 +356,6 @@ def verified(found: DataFrame, known: DataFrame, similarity: float = SIMILARITY)
     return found.mapInArrow(checked, "a long, b long")
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """Columns h, g, n (how often the line occurs) and least (its smallest document) of every line."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            lines, placed = _lines_of(batch)
-            if not lines:
-                continue
-            ids = batch.column("id").to_pylist()
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            owner = np.repeat(order, [len(placed[i]) for i in order])
-            line = np.array([k for i in order for _, k in placed[i]], np.int64)
-            _, first = np.unique(line, return_index=True)
-            n = np.bincount(line, minlength=len(lines))
-            both = _numbers(lines)
-            yield pa.RecordBatch.from_arrays([*[pa.array(both[:, k].copy()) for k in range(2)], pa.array(n), batch.column("id").take(pa.array(owner[first]))], ["h", "g", "n", "least"])
-
-    each = texts.mapInArrow(found, StructType([*[StructField(c, LongType()) for c in "hgn"], StructField("least", texts.schema["id"].dataType)]))
-    return each.groupBy("h", "g").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
-
-
 def places_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Columns id, pos, h and g of the lines that fall into the slots of ``wanted``, all of its own among them."""
     marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, F.col("h")))
@@ -345,17 +388,21 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         spark._jvm.System.gc()
         return used[-1].read(spark)
 
-    bands = kept(shared(banded(texts)))
-    # Lines that occur once and are alone in their bands need no further look.
-    met = bands.select("h", F.lit(True).alias("meets")).distinct()
-    counted = kept(occurrences(texts).join(met, "h", "left").filter("n > 1 or meets"))
-    known = kept(looked_up(texts, counted.filter("meets")))
-    close = kept(verified(pairs(bands), known, similarity))
+    lines = kept(signed(texts))
+    bands = kept(shared(lines))
+    found = kept(counted(lines, bands))
+    used.pop(0).drop(spark)  # the bands of all lines
+    known = found.filter("meets").select("h", "least", "s0", "s1")
+
+    def similar(some: DataFrame) -> DataFrame:
+        return kept(verified(some, looked_up(texts, ends_of(some, known)), similarity))
+
+    close = similar(kept(alike(pairs(bands), known)))
     first = components(close)
-    further = kept(unconnected(bands, first.read(spark), known, similarity))
-    used.pop(0).drop(spark)  # the bands
-    linked = components(close.unionByName(verified(further, known, similarity)))
-    several = counted.join(linked.read(spark).withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
+    further = kept(unconnected(bands, first.read(spark), known, texts, similarity))
+    used.pop(0).drop(spark)  # the shared bands
+    linked = components(close.unionByName(similar(further)))
+    several = found.join(linked.read(spark).withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
     several = kept(several.select("h", "g", "least", F.coalesce("component", "h").alias("component")))
     keeper = several.groupBy("component").agg(F.min("least").alias("keeper"))
     several = stored(several.join(keeper, "component").select("h", "g", "component", "keeper")).read(spark)
