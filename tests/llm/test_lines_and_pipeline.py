@@ -200,3 +200,15 @@ def test_bands_are_read_whole(spark):
     made = [(1, *[k for k in range(8)]), (2, *[k for k in range(8)]), (3, *[100 + k for k in range(8)]), (4, 0, *[200 + k for k in range(7)])]
     df = spark.createDataFrame(made, "h long, " + ", ".join(f"b{k} long" for k in range(8)))
     assert sorted((r["h"], r["n"], r["low"]) for r in lines.shared(df).collect()) == [(1, 3, 1), (2, 2, 1), (2, 3, 1), (4, 3, 1)]
+
+
+def test_lines_need_no_python(spark):
+    """Signing, looking up, comparing and placing lines are plans of DataFrame functions alone."""
+    df = spark.createDataFrame([(1, "a line of some length\nb"), (2, "a line of some length!")], "doc_id long, text string")
+    texts = lines._texts(df, "doc_id", "text")
+    signed = lines.signed(texts)
+    known = lines.looked_up(texts, signed)
+    pairs = signed.select(signed["h"].alias("a"), signed["h"].alias("b"))
+    for plan in (signed, lines.shared(lines.banded(signed, 0, 8)), known, lines.verified(pairs, known), lines.places_of(texts, signed), lines.deduplicate(df)):
+        assert not re.search("Python|Pandas|InArrow", plan._jdf.queryExecution().toString())
+    assert lines.verified(pairs, known).count() == 3

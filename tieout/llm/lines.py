@@ -1,22 +1,21 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared trimmed; equal ones are one line from then on. The hashes of all shingles of ``SHINGLE``
-characters of a line, the ones that are verified, fall into ``PARTS`` parts, and a line's signature is made of the
-least hash of every part (one permutation; an empty part takes another one's). Bands of the signature bring
-candidates together, and a sketch, four bits of each least hash, passes over candidates of which too few agree.
+Lines are compared trimmed; equal ones are one line from then on. A line's signature has ``PARTS`` numbers: of the
+hashes of all its shingles of ``SHINGLE`` characters, the ones that are verified, each takes the one that is nearest to
+a mark of its own (the least after exclusive or). The marks differ in their first bits, so each looks at another part of
+one permutation, and where a part is empty at its neighbours. ``BANDS`` bands of ``ROWS`` of the numbers bring
+candidates together, and a sketch, four bits of each number, passes over candidates of which too few agree.
 First every line of a band is paired with the band's smallest line, and pairs are verified by the exact Jaccard
-similarity of their shingles. Then the lines of a band that are not yet connected are compared with all others of
-the band: by their sketches in bands of up to ``FEW`` lines, and in larger ones only where two lines also share one
-of their rarest shingles in the band. Two lines of a similarity share one of so many of their rarest shingles that
-no similar pair of a band is passed over. The components of all verified pairs are found by star contraction. Of
-each component the first line of the smallest document stays, at its first place there; all other lines of the
-component go.
+similarity of their shingles. Then the lines of a band that are not yet connected are compared by their sketches with
+all others of the band, inside the join, so that only pairs that may be similar become rows. The components of all
+verified pairs are found by star contraction. Of each component the first line of the smallest document stays, at its
+first place there; all other lines of the component go.
 
-Shingles are hashed in Arrow batches with numpy: in DataFrame functions every shingle is a row, which took ten times
-the processor time that is allowed. Spark does the grouping, joins and components.
+All of it is DataFrame functions. Shingles never are rows of their own: a line in UTF-32 is cut at fixed places into
+``CHUNK`` shingles a row, which are hashed as columns and reduced to the signature by one aggregate.
 
 Recall is that of bands and sketches: two lines of similarity 0.8 meet in a band with probability 0.985, and
-their sketches agree enough with 0.9999. Any two lines that meet so end up compared or already connected.
+their sketches agree enough with 0.999. Any two lines that meet so end up compared or already connected.
 
 A NULL text counts as empty. Blank lines are left as they are. Rows with the same id count as one document: a line that
 stays, stays in each of them at its first place. A line of less than ``SHINGLE`` characters is its own
@@ -26,104 +25,52 @@ only shingle. Rows without an id lose no lines and give none away. An empty tabl
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tieout.llm.common import blocks, components, reachable
+from tieout.llm.common import components, reachable
 from tieout.session import Kept, stored
 
 SIMILARITY = 0.8
 SHINGLE = 5
-BANDS, ROWS = 8, 4
-PARTS = BANDS * ROWS
-#: Of the sketches' 32 parts so many must agree. At similarity 0.8, one band agreeing, 26.7 do on average, with a
-#: standard deviation of 2.1.
-AGREE = 18
-#: Lines of a band with at most this many are compared without a look at their rarest shingles.
-FEW = 1024
+PARTS = 32
+BANDS, ROWS = 16, 5
+#: So many bands are dealt at once; their shuffle is the largest but for that of the lines.
+DEALT = 8
+#: Of the sketches' 32 parts so many must agree. At similarity 0.8, one band agreeing, 26.1 do on average, with a
+#: standard deviation of 2.2.
+AGREE = 19
+#: Shingles of a line that are hashed in one row.
+CHUNK = 16
 #: Lines are looked up through marks for so many slots of hashes (a bit each, 1 MB), which go to every task.
 SLOTS = 1 << 23
-#: Characters whose shingles are in a task's memory at once; a longer line is a block of its own.
-SHINGLED = 1 << 20
-
-BLANK = b" \t\r\f\v"
-#: Fills lines up to a shingle; no text holds it.
-FILL = "\udfff"
-NONE = np.uint64(2**64 - 1)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The numbers with every bit spread over all others."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _numbers(lines: list[bytes]) -> np.ndarray:
-    """Two hashes of each line."""
-    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), "<i8").reshape(-1, 2)
-
-
-def _shingled(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For groups of lines: the first line, the one after the last, all hashes of their shingles and whose each is."""
-    texts = [x.decode("utf-8", "replace").ljust(SHINGLE, FILL) for x in lines]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    ends, start = np.cumsum(sizes), 0
-    while start < len(texts):
-        before = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SHINGLED, "right")))
-        points = np.frombuffer("".join(texts[start:stop]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        rolled = points[: len(points) - SHINGLE + 1].copy()
-        for k in range(1, SHINGLE):
-            rolled *= np.uint64(0x9E3779B97F4A7C15)
-            rolled += points[k : len(rolled) + k]
-        many = sizes[start:stop] - (SHINGLE - 1)
-        owner = np.repeat(np.arange(stop - start), many)
-        yield start, stop, _mixed(rolled[np.arange(len(owner)) + (SHINGLE - 1) * owner]), owner
-        start = stop
-
-
-def _least(lines: list[bytes]) -> np.ndarray:
-    """The least hash of every part, a row per line."""
-    found = np.full((len(lines), PARTS), NONE)
-    for start, stop, x, owner in _shingled(lines):
-        part = (x & np.uint64(PARTS - 1)).astype(np.int64)
-        np.minimum.at(found[start:stop].reshape(-1), owner * PARTS + part, x)
-    for far in (1, 2, 4, 8, 16):  # a part without a shingle takes the one of a part further on
-        other = np.roll(found, -far, axis=1)
-        mark = np.uint64(random.Random(far).getrandbits(63))
-        found = np.where((found == NONE) & (other != NONE), other ^ mark, found)
-    return found
-
 
-def _bands(least: np.ndarray) -> np.ndarray:
-    """A number for every band of the signatures."""
-    bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS)).copy()
-    for r in range(ROWS):
-        bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, r::ROWS])
-    return bands.view(np.int64)
+BLANK = " \t\r\f\v"
 
 
-def _sketches(least: np.ndarray) -> np.ndarray:
-    """Four bits of each least hash, side by side in two numbers."""
-    bits = ((least >> np.uint64(8)) & np.uint64(15)) << (np.arange(PARTS, dtype=np.uint64) % np.uint64(16) * np.uint64(4))
-    return np.bitwise_or.reduce(bits.reshape(len(least), 2, 16), axis=2).view(np.int64)
+def _constants() -> list[int]:
+    """A number of 64 bits for each part, signed, the part's number in its first bits."""
+    chance, low = random.Random(5), 64 - (PARTS.bit_length() - 1)
+    made = [k << low | chance.getrandbits(low) for k in range(PARTS)]
+    return [x - (1 << 64) if x >> 63 else x for x in made]
 
 
-def _lines_of(batch: pa.RecordBatch) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
-    """The different lines (trimmed, not blank) of a batch's texts, and for each text its lines' places and numbers."""
-    known: dict[bytes, int] = {}
-    placed = []
-    for text in batch.column("text").cast(pa.binary()).to_pylist():
-        stripped = [x.strip(BLANK) for x in text.split(b"\n")]
-        placed.append([(pos, known.setdefault(x, len(known))) for pos, x in enumerate(stripped) if x])
-    return list(known), placed
+def _layout() -> list[list[int]]:
+    """The parts of each band: every part is in as many bands, and no band has one twice."""
+    chance, left, found = random.Random(7), [], []
+    for _ in range(BANDS):
+        band: list[int] = []
+        while len(band) < ROWS:
+            if not set(left) - set(band):
+                left += chance.sample(range(PARTS), PARTS)
+            band.append(left.pop(next(i for i, p in enumerate(left) if p not in band)))
+        found.append(band)
+    return found
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -131,6 +78,13 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
 
 
+def _lines(texts: DataFrame) -> DataFrame:
+    """Columns id, pos, line (trimmed, not blank) and its two hashes h and g."""
+    lines = texts.select("id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.select("id", "pos", F.btrim("line", F.lit(BLANK)).alias("line")).filter("line <> ''")
+    return lines.select("id", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
+
+
 def _marks(rows: DataFrame, number: Column) -> np.ndarray:
     """Which of ``SLOTS`` slots the numbers fall into: words of 64 bits, as many however many rows there are."""
     slot = number.bitwiseAND(F.lit(SLOTS - 1))
@@ -138,41 +92,57 @@ def _marks(rows: DataFrame, number: Column) -> np.ndarray:
     words = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     marks = np.zeros(SLOTS // 64, np.int64)
     marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return marks.view(np.uint64)
+    return marks
+
+
+def _marked(rows: DataFrame, marks: np.ndarray, number: Column) -> DataFrame:
+    """The rows whose number falls into a marked slot; the marks are a table of one row that goes to every task."""
+    array = pa.ListArray.from_arrays(pa.array([0, len(marks)], pa.int32()), pa.array(marks))
+    one = rows.sparkSession.createDataFrame(pa.Table.from_arrays([array], ["_marks"]))
+    slot = number.bitwiseAND(F.lit(SLOTS - 1))
+    here = rows.withColumn("_word", F.shiftright(slot, 6).cast("int")).withColumn("_bit", slot.bitwiseAND(F.lit(63)).cast("int"))
+    return here.join(F.broadcast(one), F.expr("(shiftrightunsigned(get(_marks, _word), _bit) & 1L) = 1")).drop("_marks", "_word", "_bit")
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """The rows with their lines as four bytes a character (u), and where the last shingle begins (last)."""
+    rows = rows.withColumn("u", F.encode("line", "UTF-32"))
+    return rows.withColumn("last", F.expr(f"greatest(0, cast(octet_length(u) div 4 as int) - {SHINGLE})")).drop("line")
 
 
-def _marked(marks: np.ndarray, number: np.ndarray) -> np.ndarray:
-    slot = number & (SLOTS - 1)
-    return (marks[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+def _shingle(at: str) -> Column:
+    return F.xxhash64(F.expr(f"substring(u, 4 * {at} + 1, {4 * SHINGLE})"))
 
 
 def signed(texts: DataFrame) -> DataFrame:
-    """Every line, once for each block of texts that holds it: its two hashes h and g, n (how often it occurs there),
-    least (its smallest document there), its sketch s0, s1 and its bands b0, b1 …"""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            lines, placed = _lines_of(batch)
-            if not lines:
-                continue
-            ids = batch.column("id").to_pylist()
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            owner = np.repeat(order, [len(placed[i]) for i in order])
-            line = np.array([k for i in order for _, k in placed[i]], np.int64)
-            _, first = np.unique(line, return_index=True)
-            n = np.bincount(line, minlength=len(lines))
-            both = _numbers(lines)
-            least = batch.column("id").take(pa.array(owner[first]))
-            for i in range(0, len(lines), 8192):
-                some = slice(i, i + 8192)
-                hashes = _least(lines[some])
-                numbers = [both[some], np.ascontiguousarray(n[some, None]), _sketches(hashes), _bands(hashes)]
-                h, g, many, *rest = [pa.array(np.ascontiguousarray(x[:, k])) for x in numbers for k in range(x.shape[1])]
-                yield pa.RecordBatch.from_arrays([h, g, many, least.slice(i, len(h)), *rest], names)
-
-    names = ["h", "g", "n", "least", "s0", "s1", *[f"b{k}" for k in range(BANDS)]]
-    kinds = [texts.schema["id"].dataType if c == "least" else LongType() for c in names]
-    return texts.mapInArrow(found, StructType([StructField(c, t) for c, t in zip(names, kinds)]))
+    """Every line once: its two hashes h and g, n (how often it occurs), least (its smallest document) and the
+    numbers m0, m1 … of its signature."""
+    each = _lines(texts).groupBy("h", "g").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("line").alias("line"))
+    parts = _points(each).withColumn("at", F.explode(F.sequence(F.lit(0), "last", F.lit(CHUNK))))
+    # Beyond the end the last shingle repeats, which changes no least number.
+    parts = parts.select("h", "g", "n", "least", *[_shingle(f"least(at + {k}, last)").alias(f"x{k}") for k in range(CHUNK)])
+    # The rows are dealt by h and g already, so this moves none.
+    nearest = [F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(CHUNK)])).alias(f"m{i}") for i, c in enumerate(_constants())]
+    found = parts.groupBy("h", "g", "n", "least").agg(*nearest)
+    # The first bits are alike in all; the last 32 tell one shingle from another.
+    last = [F.shiftright(F.shiftleft(f"m{i}", 32), 32).cast("int").alias(f"m{i}") for i in range(PARTS)]
+    return found.select("h", "g", "n", "least", *last)
+
+
+def _sketches() -> list[Column]:
+    """Four bits of each number of the signature, side by side in s0 and s1."""
+    out = []
+    for half in range(PARTS // 16):
+        bits = F.lit(0).cast("long")
+        for k in range(16):
+            bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{16 * half + k}").cast("long").bitwiseAND(F.lit(15)), 4 * k))
+        out.append(bits.alias(f"s{half}"))
+    return out
+
+
+def banded(lines: DataFrame, start: int, stop: int) -> DataFrame:
+    """Column h and some of the bands, each under its number."""
+    return lines.select("h", *[F.xxhash64(F.lit(k), *[f"m{p}" for p in parts]).alias(f"b{k}") for k, parts in enumerate(_layout()) if start <= k < stop])
 
 
 def _whole_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -201,53 +171,26 @@ def _each_once(band: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def shared(lines: DataFrame) -> DataFrame:
     """Columns band, h, n (lines of the band) and low (the smallest): the lines of every band that has more than one.
     Of a band of two there is only the row of the larger. Bands with the same lines are one: they are named by them."""
-    bands = lines.select(F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band"), "h")
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for band, h in _whole_bands(batches):
-            first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]])[: len(band)])
-            n = np.diff(np.append(first, len(band)))
-            owner, keep = np.repeat(np.arange(len(first)), n), np.repeat(n, n) > 1
-            keep[first[n == 2]] = False
-            if not keep.any():
-                continue
-            low = h[first]
-            spread = _mixed(h.view(np.uint64))
-            name = _mixed(np.add.reduceat(spread, first) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) ^ np.bitwise_xor.reduceat(spread, first)
-            rows = owner[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64)[rows], h[keep], n[rows], low[rows])], ["band", "h", "n", "low"])
-
-    met = bands.repartition("band").sortWithinPartitions("band", "h").mapInArrow(found, "band long, h long, n long, low long")
-    return met.dropDuplicates(["band", "h"])
-
-
-def counted(lines: DataFrame, bands: DataFrame) -> DataFrame:
-    """Columns h, g, n (how often the line occurs), least (its smallest document), the sketch s0, s1 and meets (NULL if
-    it is alone in its bands) of the lines that occur more than once or meet."""
-    ends = bands.select(F.explode(F.array("h", "low")).alias("h"), F.lit(True).alias("meets")).distinct()
-    each = lines.repartition("h").groupBy("h", "g")
-    each = each.agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.min("s0").alias("s0"), F.min("s1").alias("s1"))
-    return each.join(ends, "h", "left").filter("n > 1 or meets")
+    spark = lines.sparkSession
+    rows = lines.select(F.explode(F.array(*[c for c in lines.columns if re.fullmatch(r"b\d+", c)])).alias("band"), "h")
+    each = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    each = stored(each.filter("n > 1")).read(spark)
+    two = each.filter("n = 2").select(F.xxhash64("low", "high").alias("band"), F.col("high").alias("h"), "n", "low")
+    # Only what may be in a band of three or more moves once more.
+    more = each.filter("n > 2").select("band", "n", "low")
+    met = _marked(rows, _marks(more, F.col("band")), F.col("band")).join(more, "band")
+    names = met.groupBy("band").agg(*[F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"x{k}") for k in range(2)])
+    named = met.join(names, "band").select(F.xxhash64("n", "x0", "x1").alias("band"), "h", "n", "low")
+    return two.unionAll(named).dropDuplicates(["band", "h"])
 
 
 def looked_up(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Columns h and line of the lines in ``wanted`` (h, and least, the document to take it from)."""
     wanted = wanted.select("h", F.xxhash64("least").alias("k"))
-    marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, F.col("h").bitwiseXOR(F.col("k"))))
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            lines, placed = _lines_of(batch)
-            if not lines:
-                continue
-            line = np.array([n for p in placed for _, n in p], np.int64)
-            h = _numbers(lines)[line, 0]
-            k = np.repeat(batch.column("k").to_numpy(), [len(p) for p in placed])
-            here = np.flatnonzero(_marked(marks.value, h ^ k))
-            yield pa.RecordBatch.from_arrays([pa.array(h[here]), pa.array(k[here]), pa.array([lines[i] for i in line[here].tolist()], pa.binary())], ["h", "k", "line"])
-
-    likely = texts.select("text", F.xxhash64("id").alias("k")).mapInArrow(found, "h long, k long, line binary")
-    return likely.join(wanted, ["h", "k"], "left_semi").select("h", "line").dropDuplicates(["h"])
+    marks = _marks(wanted, F.col("h").bitwiseXOR(F.col("k")))
+    each = _lines(texts).select("h", F.xxhash64("id").alias("k"), "line")
+    likely = _marked(each, marks, F.col("h").bitwiseXOR(F.col("k")))
+    return likely.join(wanted, ["h", "k"], "left_semi").groupBy("h").agg(F.min("line").alias("line"))
 
 
 def _alike(a: str, b: str) -> Column:
@@ -266,55 +209,18 @@ def pairs(bands: DataFrame) -> DataFrame:
     return bands.filter("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def _hashes(known: DataFrame) -> DataFrame:
-    """Columns h, size (different shingles of the line) and x (the hash of one)."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "line", SHINGLED):
-            h = batch.column("h").to_numpy()
-            for start, stop, x, owner in _shingled(batch.column("line").to_pylist()):
-                owner, x = _once(owner, x)
-                size = np.bincount(owner, minlength=stop - start)
-                yield pa.RecordBatch.from_arrays([pa.array(h[start:stop][owner]), pa.array(size[owner]), pa.array(x.view(np.int64))], ["h", "size", "x"])
-
-    return known.select("h", "line").mapInArrow(found, "h long, size long, x long")
-
-
-def _once(owner: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owners and hashes, ordered, each pair once."""
-    order = np.lexsort((x, owner))
-    owner, x = owner[order], x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (x[1:] != x[:-1])
-    return owner[new], x[new]
-
-
-def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Columns a and b: all pairs of a band that are not of one component and may have this similarity. ``known`` holds
-    the lines' sketches and smallest documents."""
-    spark = bands.sparkSession
+def unconnected(bands: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+    """Columns a and b: all pairs of a band that are not of one component and may be similar. ``known`` holds the
+    lines' sketches."""
     # Two lines of a band alone were compared when they were paired with the smallest.
     placed = bands.filter("n > 2").join(classes.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     several = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most")
-    held = stored(placed.join(several.select("band"), "band").select("band", "h", "n", "component"))
-    rows = held.read(spark)
-    met = rows.filter(F.col("n") <= FEW).select("band", F.lit(0).cast("long").alias("x"), "h", "component")
-    large = rows.filter(F.col("n") > FEW)
-    if not large.isEmpty():
-        # Of two similar sets each has one of the other's among so many of its rarest, in any one order of all.
-        named = _hashes(looked_up(texts, known.join(large.select("h").distinct(), "h", "left_semi")))
-        each = large.join(named, "h").select("band", "h", "component", "size", "x")
-        each = each.join(each.groupBy("band", "x").agg(F.count("*").alias("often")), ["band", "x"])
-        ordered = each.groupBy("band", "h", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("xs"))
-        many = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
-        rare = ordered.select("band", "h", "component", F.explode(F.slice("xs", F.lit(1), many)).alias("s")).filter("s.often > 1")
-        met = met.unionByName(rare.select("band", F.col("s.x").alias("x"), "h", "component"))
-    met = met.join(known.select("h", "s0", "s1"), "h")
-    # One end of each pair is outside the largest component of those that meet.
-    largest = met.groupBy("band", "x", "component").count().groupBy("band", "x").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-    outside = met.join(largest, ["band", "x"]).filter("component <> largest")
-    outside = outside.select("band", "x", F.col("h").alias("o"), F.col("component").alias("c"), F.col("s0").alias("os0"), F.col("s1").alias("os1"))
-    both = outside.join(met, ["band", "x"]).filter(F.col("c") != F.col("component")).filter(_alike("o", ""))
+    met = placed.join(several.select("band"), "band").select("band", "h", "component").join(known.select("h", "s0", "s1"), "h")
+    # One end of each pair is outside the largest component of its band.
+    largest = met.groupBy("band", "component").count().groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    outside = met.join(largest, "band").filter("component <> largest")
+    outside = outside.select(F.col("band").alias("ob"), F.col("h").alias("o"), F.col("component").alias("c"), F.col("s0").alias("os0"), F.col("s1").alias("os1"))
+    both = outside.join(met, (F.col("ob") == F.col("band")) & (F.col("c") != F.col("component")) & _alike("o", ""))
     return both.select(F.greatest("o", "h").alias("a"), F.least("o", "h").alias("b")).distinct()
 
 
@@ -334,45 +240,19 @@ def verified(found: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     """The pairs whose sets of all shingles have this Jaccard similarity."""
     for side, line in ("ax", "by"):
         found = found.join(lines.select(F.col("h").alias(side), F.col("line").alias(line)), side)
-    found = found.select("a", "b", "x", "y")
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(blocks(batches, "x", SHINGLED), "y", SHINGLED):
-            ends = [x for pair in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()) for x in pair]
-            size, common = np.zeros(len(ends), np.int64), np.zeros(len(ends) // 2, np.int64)
-            rest: list[tuple[np.ndarray, np.ndarray]] = []
-            for start, stop, x, owner in _shingled(ends):
-                owner, x = _once(owner + start, x)
-                size += np.bincount(owner, minlength=len(ends))
-                rest.append((owner, x))
-            owner, x = (np.concatenate(side) for side in zip(*rest))
-            order = np.lexsort((x, owner >> 1))
-            pair, x = (owner >> 1)[order], x[order]
-            twice = pair[1:][(pair[1:] == pair[:-1]) & (x[1:] == x[:-1])]
-            common += np.bincount(twice, minlength=len(common))
-            same = pa.array(common >= similarity * (size[::2] + size[1::2] - common))
-            yield batch.select(["a", "b"]).filter(same)
-
-    return found.mapInArrow(checked, "a long, b long")
+    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(line).alias("line")) for i, line in enumerate("xy")]))
+    each = _points(found.select("a", "b", sides.alias("s")).select("a", "b", "s.*"))
+    each = each.withColumn("at", F.explode(F.sequence(F.lit(0), "last", F.lit(CHUNK))))
+    each = each.select("a", "b", "side", F.array(*[_shingle(f"least(at + {k}, last)") for k in range(CHUNK)]).alias("xs"))
+    # The rows are dealt by one end of the pair already, so this moves none.
+    both = each.groupBy("a", "b").agg(*[F.flatten(F.collect_list(F.when(F.col("side") == i, F.col("xs")))).alias(x) for i, x in enumerate("xy")])
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= F.lit(similarity) * F.size(F.array_union("x", "y"))).select("a", "b")
 
 
 def places_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Columns id, pos, h and g of the lines that fall into the slots of ``wanted``, all of its own among them."""
-    marks = texts.sparkSession.sparkContext.broadcast(_marks(wanted, F.col("h")))
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            lines, placed = _lines_of(batch)
-            if not lines:
-                continue
-            owner = np.repeat(np.arange(len(placed)), [len(p) for p in placed])
-            at = np.array([x for p in placed for x in p], np.int64).reshape(-1, 2)
-            both = _numbers(lines)[at[:, 1]]
-            here = _marked(marks.value, both[:, 0])
-            columns = [batch.column("id").take(pa.array(owner[here])), pa.array(at[here, 0].astype(np.int32)), *[pa.array(both[here, k]) for k in range(2)]]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "h", "g"])
-
-    return texts.mapInArrow(found, StructType([texts.schema["id"], *StructType.fromDDL("pos int, h long, g long").fields]))
+    return _marked(_lines(texts).select("id", "pos", "h", "g"), _marks(wanted, F.col("h")), F.col("h"))
 
 
 def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -389,9 +269,13 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         return used[-1].read(spark)
 
     lines = kept(signed(texts))
-    bands = kept(shared(lines))
-    found = kept(counted(lines, bands))
-    used.pop(0).drop(spark)  # the bands of all lines
+    parts = [stored(shared(banded(lines, k, min(k + DEALT, BANDS)))) for k in range(0, BANDS, DEALT)]
+    bands = kept(parts[0].read(spark, *parts[1:]).dropDuplicates(["band", "h"]))
+    for part in parts:
+        part.drop(spark)
+    ends = bands.select(F.explode(F.array("h", "low")).alias("h")).distinct().withColumn("meets", F.lit(True))
+    found = kept(lines.select("h", "g", "n", "least", *_sketches()).join(ends, "h", "left").filter("n > 1 or meets"))
+    used.pop(0).drop(spark)  # the signatures
     known = found.filter("meets").select("h", "least", "s0", "s1")
 
     def similar(some: DataFrame) -> DataFrame:
@@ -399,7 +283,7 @@ def find_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     close = similar(kept(alike(pairs(bands), known)))
     first = components(close)
-    further = kept(unconnected(bands, first.read(spark), known, texts, similarity))
+    further = kept(unconnected(bands, first.read(spark), known))
     used.pop(0).drop(spark)  # the shared bands
     linked = components(close.unionByName(similar(further)))
     several = found.join(linked.read(spark).withColumnRenamed("node", "h"), "h", "left").filter("n > 1 or component is not null")
